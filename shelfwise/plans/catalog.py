@@ -39,6 +39,11 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def r2(c) -> F.Column:
+    """Money totals to the penny (sums of many doubles differ beyond that by engine)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 2)
+
+
 # ---------------------------------------------------------------- sources / sinks
 @query
 def scan_daily(spark, sf_dir):
@@ -365,7 +370,7 @@ def high_waste(spark, sf_dir):
 def monthly_losses(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     m = sk.monthly_losses(i.backtest(True), i.price, year=P.TEST_YEAR)
-    return m.select("month", r6("waste_money").alias("waste_money"), r6("stockout_money").alias("stockout_money"))
+    return m.select("month", r2("waste_money").alias("waste_money"), r2("stockout_money").alias("stockout_money"))
 
 
 def _kpis(i: Inputs, adaptive: bool) -> DataFrame:
@@ -375,7 +380,8 @@ def _kpis(i: Inputs, adaptive: bool) -> DataFrame:
 @query
 def year_kpis(spark, sf_dir):
     k = _kpis(Inputs(spark, sf_dir), True)
-    return k.select(*[r6(c).alias(c) for c in k.columns])
+    money = ("revenue", "cost_of_sales", "waste_money", "stockout_money")
+    return k.select(*[(r2(c) if c in money else r6(c)).alias(c) for c in k.columns])
 
 
 @query
