@@ -130,21 +130,22 @@ def order_quantity(inputs: DataFrame, forecast: str = "forecast", submit_only: b
 
 
 # ------------------------------------------------------- 60. waste_adjust_forecast
-def waste_adjust_forecast(fc: DataFrame, ratios: DataFrame, key: str = "dish",
+def waste_adjust_forecast(fc: DataFrame, ratios: DataFrame, on: Sequence[str] = ("dish",),
                           forecast: str = "forecast", ladder=FORECAST_LADDER,
                           low=FORECAST_LOW) -> DataFrame:
-    """Scale the forecast by the waste-ratio ladder; no history -> unchanged."""
-    j = fc.join(ratios.select(key, F.col("waste_ratio").alias("_r")), key, "left")
+    """Scale the forecast by the waste-ratio ladder; no history -> unchanged.
+    ``on`` = ('dish',) for one ratio per dish, ('dish', 'date') for a ratio per day."""
+    j = fc.join(ratios.select(*on, F.col("waste_ratio").alias("_r")), list(on), "left")
     f = F.when(F.col("_r").isNull(), F.lit(1.0)).otherwise(forecast_factor_expr(F.col("_r"), ladder, low))
     return j.withColumn("forecast_adj", F.col(forecast) * f).drop("_r")
 
 
 # -------------------------------------------------------- 61. waste_adjust_buffer
-def waste_adjust_buffer(buffers: DataFrame, ratios: DataFrame, key: str = "dish",
+def waste_adjust_buffer(buffers: DataFrame, ratios: DataFrame, on: Sequence[str] = ("dish",),
                         ladder=BUFFER_LADDER, low=BUFFER_LOW, cap=BUFFER_CAP) -> DataFrame:
     """Adjust the base buffer by the waste-ratio ladder, only once orders > 0."""
-    j = buffers.join(ratios.select(key, F.col("waste_ratio").alias("_r"), F.col("orders").alias("_o")),
-                     key, "left")
+    j = buffers.join(ratios.select(*on, F.col("waste_ratio").alias("_r"), F.col("orders").alias("_o")),
+                     list(on), "left")
     adj = adjust_buffer_expr(F.col("buffer"), F.col("_r"), F.coalesce(F.col("_o"), F.lit(0)),
                              ladder, low, cap)
     return j.withColumn("buffer_adj", adj).drop("_r", "_o")

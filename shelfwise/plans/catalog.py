@@ -250,6 +250,12 @@ def dish_rollup(spark, sf_dir):
     return Inputs(spark, sf_dir).dish_daily
 
 
+@query
+def split_by_year(spark, sf_dir):
+    s = fc.split_by_year(Inputs(spark, sf_dir).dense, P.TRAIN_YEAR, P.TEST_YEAR)
+    return s.select("date", "item", "qty", "split")
+
+
 @query
 def forecast_vs_actual(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -509,25 +515,29 @@ def order_quantity(spark, sf_dir):
     return o.select("dish", "date", "forecast", "buffer", "usable", "order_qty")
 
 
-def _ratios_before(i: Inputs) -> DataFrame:
-    """Waste history of the adaptive back-test up to the day before AS_OF."""
-    led = i.backtest(True).where(F.col("date") < F.lit(P.AS_OF).cast("date"))
-    return sk.waste_ratio(led)
+def _ratios_by_day(i: Inputs) -> DataFrame:
+    """Waste history of the adaptive back-test as known at the start of each day:
+    the cumulative ratio and orders at the close of the previous day."""
+    led = i.backtest(True)
+    return led.select("dish", F.date_add("date", 1).alias("date"), "waste_ratio",
+                      F.col("orders_cum").alias("orders"))
 
 
 @query
 def waste_adjust_forecast(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    f = i.dish_forecast.where(F.col("date") == F.lit(P.AS_OF).cast("date"))
-    out = po.waste_adjust_forecast(f, _ratios_before(i))
+    f = i.dish_forecast.where(F.year("date") == P.TEST_YEAR).select("dish", "date", "forecast")
+    out = po.waste_adjust_forecast(f, _ratios_by_day(i), on=("dish", "date"))
     return out.select("dish", "date", r6("forecast").alias("forecast"), r6("forecast_adj").alias("forecast_adj"))
 
 
 @query
 def waste_adjust_buffer(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    out = po.waste_adjust_buffer(i.share_buffers, _ratios_before(i))
-    return out.select("dish", "buffer", r6("buffer_adj").alias("buffer_adj"))
+    days = i.dish_forecast.where(F.year("date") == P.TEST_YEAR).select("dish", "date")
+    b = days.join(i.share_buffers, "dish", "left")
+    out = po.waste_adjust_buffer(b, _ratios_by_day(i), on=("dish", "date"))
+    return out.select("dish", "date", "buffer", r6("buffer_adj").alias("buffer_adj"))
 
 
 # ------------------------------------------------------------------ stock

@@ -381,6 +381,9 @@ _add("map_stats", ("dense_cal", "dow_prof"), """
 SELECT d.date, d.item, round(coalesce(p.dow_mean, 0.0), 6) AS dow_mean
 FROM dense_cal d LEFT JOIN dow_prof p ON p.item = d.item AND p.dow = d.dow""")
 _add("dish_rollup", ("dish_daily",), "SELECT date, dish, qty FROM dish_daily")
+_add("split_by_year", ("dense",), f"""
+SELECT date, item, qty, CASE WHEN year(date) = {P.TRAIN_YEAR} THEN 'train' ELSE 'test' END AS split
+FROM dense WHERE year(date) IN ({P.TRAIN_YEAR}, {P.TEST_YEAR})""")
 _add("forecast_vs_actual", ("test_pairs",), "SELECT date, item, round(pred, 6) AS pred, actual FROM test_pairs")
 
 _ALIGNED = f"""
@@ -537,15 +540,19 @@ ORACLE_SQL["order_quantity"] = ORACLE_SQL["order_inputs"].replace(
     "SELECT *, CAST(greatest(0, ceil(forecast + buffer - usable)) AS BIGINT) AS order_qty FROM (\n"
     "SELECT f.dish, f.date, f.forecast, coalesce(b.buffer, 0.0) AS buffer, CAST(coalesce(u.usable, 0) AS BIGINT) AS usable"
 ) + ")"
-_RATIOS_BEFORE = f"({_ratio_sql('bt_adaptive', f'AND date < {AS_OF}')})"
+_RATIOS_BY_DAY = "(SELECT dish, date + 1 AS date, waste_ratio, orders_cum AS orders FROM bt_adaptive WHERE n > 0)"
 _add("waste_adjust_forecast", ("bt_adaptive", "dish_fc"), f"""
 SELECT f.dish, f.date, round(f.forecast, 6) AS forecast,
        round(f.forecast * CASE WHEN r.waste_ratio IS NULL THEN 1.0::DOUBLE ELSE {_ladder_sql('r.waste_ratio')} END, 6)
          AS forecast_adj
-FROM dish_fc f LEFT JOIN {_RATIOS_BEFORE} r ON r.dish = f.dish WHERE f.date = {AS_OF}""")
-_add("waste_adjust_buffer", ("bt_adaptive", "share_buffers"), f"""
-SELECT s.dish, s.buffer, round({_buffer_sql('s.buffer', 'r.waste_ratio', 'coalesce(r.orders, 0)')}, 6) AS buffer_adj
-FROM share_buffers s LEFT JOIN {_RATIOS_BEFORE} r ON r.dish = s.dish""")
+FROM dish_fc f LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date
+WHERE year(f.date) = {P.TEST_YEAR}""")
+_add("waste_adjust_buffer", ("bt_adaptive", "dish_fc", "share_buffers"), f"""
+SELECT f.dish, f.date, s.buffer,
+       round({_buffer_sql('s.buffer', 'r.waste_ratio', 'coalesce(r.orders, 0)')}, 6) AS buffer_adj
+FROM dish_fc f LEFT JOIN share_buffers s ON s.dish = f.dish
+LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date
+WHERE year(f.date) = {P.TEST_YEAR}""")
 
 # ----------------------------------------------------------------------- stock
 _add("receive", ("lots",), "SELECT item, expiry, qty FROM lots")
