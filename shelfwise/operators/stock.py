@@ -30,11 +30,13 @@ from shelfwise.operators.policy import (
 # ---------------------------------------------------------------- 23. dish_rollup
 def dish_rollup(df: DataFrame, dish_item: DataFrame, values: Sequence[str] = ("qty",),
                 date_col: str = "date") -> DataFrame:
-    """Item values summed to their dish per day (items absent from the data add 0)."""
-    m = dish_item.select("item", "dish")
-    src = df.drop("dish") if "dish" in df.columns else df
-    return (src.join(m, "item", "inner").groupBy(date_col, "dish")
-            .agg(*[F.sum(v).alias(v) for v in values]))
+    """Item values summed to their dish per day (items absent from the data add 0).
+
+    A series that already carries its dish (e.g. the dense item series) is summed
+    directly; otherwise the item -> dish mapping is joined first. Partial sums are
+    taken map-side, so a dish with many items is spread over tasks by day."""
+    src = df if "dish" in df.columns else df.join(dish_item.select("item", "dish"), "item", "inner")
+    return src.groupBy(date_col, "dish").agg(*[F.sum(v).alias(v) for v in values])
 
 
 # --------------------------------------------------------------------- 62. receive

@@ -13,6 +13,7 @@ from shelfwise.operators.forecast import same_weekday_forecast
 from shelfwise.operators.policy import buffers_share
 from shelfwise.operators.stats import item_stats, unit_price
 from shelfwise.plans import params as P
+from shelfwise.session import cut_lineage
 from shelfwise.sources import tables
 
 
@@ -23,7 +24,10 @@ class Inputs:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return tables.sales(self.spark, self.sf_dir)
+        """Daily sales per item, materialised once in the shared checkpoint folder: every
+        query below derives several frames from it (keys, day span, values), and without
+        the cut Catalyst would re-aggregate the raw line table for each of them."""
+        return cut_lineage(tables.sales(self.spark, self.sf_dir))
 
     @cached_property
     def dish_item(self) -> DataFrame:
@@ -37,13 +41,20 @@ class Inputs:
     def weather(self) -> DataFrame:
         return tables.weather(self.spark, self.sf_dir)
 
+    @cached_property
+    def flows(self) -> DataFrame:
+        """Deliveries and demand per (date, dish) from one pass, materialised once."""
+        return cut_lineage(tables.stock_flows(self.spark, self.sf_dir))
+
     @cached_property
     def deliveries(self) -> DataFrame:
-        return tables.deliveries(self.spark, self.sf_dir)
+        return (self.flows.where(F.col("delivered").isNotNull())
+                .select("date", "item", F.col("delivered").alias("qty")))
 
     @cached_property
     def demand(self) -> DataFrame:
-        return tables.demand(self.spark, self.sf_dir)
+        return (self.flows.where(F.col("demand").isNotNull())
+                .select("date", "item", F.col("demand").alias("qty")))
 
     @cached_property
     def lots(self) -> DataFrame:
@@ -55,8 +66,7 @@ class Inputs:
 
     @cached_property
     def dense(self) -> DataFrame:
-        keys = self.sales.select("item", "dish", "channel").distinct()
-        return cal.densify(self.sales, ("item",), ("qty",), key_table=keys)
+        return cal.densify(self.sales, ("item",), ("qty",), attrs=("dish", "channel"))
 
     @cached_property
     def dense_cal(self) -> DataFrame:

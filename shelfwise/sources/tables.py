@@ -56,6 +56,16 @@ def stock_flow(spark: SparkSession, sf_dir: str, returnflag: str) -> DataFrame:
             .agg(F.sum("l_quantity").cast("bigint").alias("qty")))
 
 
+def stock_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries ('R') and demand ('A') per (date, dish) in one pass over the lines;
+    a side without lines that day is null."""
+    lp = _lineitem_part(spark, sf_dir).where(F.col("l_returnflag").isin("R", "A"))
+    q = F.col("l_quantity")
+    return (lp.groupBy(F.to_date("l_shipdate").alias("date"), F.col("p_brand").alias("item"))
+            .agg(F.sum(F.when(F.col("l_returnflag") == "R", q)).cast("bigint").alias("delivered"),
+                 F.sum(F.when(F.col("l_returnflag") == "A", q)).cast("bigint").alias("demand")))
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stock_flow(spark, sf_dir, "R")
 
