@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS, FOREST
+from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS, FOREST, FOREST_ENGINE
 from shelfwise.operators.calendar import calendar_dummies, calendar_features
 from shelfwise.operators.features import (
     dow_rolling_mean, dow_std_feature, lags, sales_ratio_dow, season_interactions, trend)
@@ -105,7 +105,7 @@ def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, labe
     """Random forest (150 trees, depth 8, min 3 rows per leaf, seed 42) in a pipeline."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import RandomForestRegressor
-    params = {**FOREST, **overrides}
+    params = {**FOREST, **FOREST_ENGINE, **overrides}
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="rf_pred",
                                featureSubsetStrategy="all", **params)
     return Pipeline(stages=[*_prep_stages(features), rf]).fit(train)

@@ -26,6 +26,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     parts = shuffle_partitions or int(os.environ.get("SHELFWISE_SHUFFLE_PARTITIONS", "8"))
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(parts))
+        # local mode runs every task in the driver JVM: give it the heap (ignored when a
+        # session already exists or on a cluster, where executors are sized separately)
+        .config("spark.driver.memory", os.environ.get("SHELFWISE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

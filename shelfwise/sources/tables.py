@@ -36,6 +36,20 @@ def net_revenue() -> F.Column:
             * (one - F.col("l_discount").cast("decimal(4,2)")))
 
 
+def net_revenue_units() -> F.Column:
+    """The same exact amount as a BIGINT count of 1/10000 currency units: price in
+    cents times the kept share in percent. Summing BIGINT stays on the fast path,
+    while a DECIMAL sum widens past 18 digits and runs on BigDecimal."""
+    cents = (F.col("l_extendedprice").cast("decimal(12,2)") * 100).cast("bigint")
+    kept = ((F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")) * 100).cast("bigint")
+    return cents * kept
+
+
+def units_to_money(units: F.Column) -> F.Column:
+    """Exact DECIMAL(38,4) from a sum of 1/10000 units (once per group, not per row)."""
+    return (units.cast("decimal(38,4)") / 10000).cast("decimal(38,4)")
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sales per item (= dish + channel). Partial aggregation happens map-side."""
     lp = _lineitem_part(spark, sf_dir)
@@ -46,7 +60,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(F.col("l_linestatus") == "O", F.lit("DINE_IN"))
                  .otherwise(F.lit("TAKEAWAY")).alias("channel"))
             .agg(F.sum("l_quantity").cast("bigint").alias("qty"),
-                 F.sum(net_revenue()).alias("revenue")))
+                 units_to_money(F.sum(net_revenue_units())).alias("revenue")))
 
 
 def stock_flow(spark: SparkSession, sf_dir: str, returnflag: str) -> DataFrame:
