@@ -4,27 +4,26 @@
 
 Stock is keyed by the stock key (``dish`` in the app; ``item`` here is that key).
 The two day-by-day folds (63, 66) carry state from one day to the next, which no
-window can express; they run as ``groupBy(key).applyInPandas``: Spark hash-partitions
-the keys, every key's daily rows (one per day, so bounded by the calendar, not by the
-raw data volume) are folded in one Arrow batch, and keys run in parallel.
+window can express. Spark hash-partitions the keys and sorts each partition by
+(key, date); ``mapInPandas`` folds chunks of whole keys with numpy arrays across keys
+(:mod:`shelfwise.operators.folds`). A key has one row per day, so its history is
+bounded by the calendar, not by the raw data volume; keys run in parallel.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.constants import COST_RATE, DEFAULT_PRICE, SHELF_DAYS
 from shelfwise.functions.exprs import date_lit
-from shelfwise.operators.calendar import attach_row
+from shelfwise.operators import folds
+from shelfwise.operators.calendar import attach_row, densify
 from shelfwise.operators.policy import (
-    BUFFER_CAP, BUFFER_LADDER, BUFFER_LOW, FORECAST_LADDER, FORECAST_LOW, adjust_buffer,
-    forecast_factor)
+    BUFFER_CAP, BUFFER_LADDER, BUFFER_LOW, FORECAST_LADDER, FORECAST_LOW)
 
 
 # ---------------------------------------------------------------- 23. dish_rollup
@@ -167,48 +166,26 @@ def fifo_sell(buckets: list[int], demand: int) -> tuple[list[int], int]:
     return out, max(demand - cum, 0)
 
 
-def _ledger_fold(shelf_days: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        days = pd.date_range(lo, hi, freq="D")
-        idx = pd.to_datetime(pdf["date"])
-        dl = pd.Series(pdf["delivered"].to_numpy(), index=idx).groupby(level=0).sum()
-        dm = pd.Series(pdf["demand"].to_numpy(), index=idx).groupby(level=0).sum()
-        dl = dl.reindex(days, fill_value=0).astype("int64").tolist()
-        dm = dm.reindex(days, fill_value=0).astype("int64").tolist()
-        n = len(days)
-        b = [0] * (shelf_days + 1)     # b[a]: left of the lot received a days ago
-        sold, short, waste, closing = [0] * n, [0] * n, [0] * n, [0] * n
-        for t in range(n):
-            waste[t] = b[-1]            # received shelf_days+1 days ago: expired yesterday
-            b = [dl[t]] + b[:-1]
-            b, short[t] = fifo_sell(b, dm[t])
-            sold[t] = dm[t] - short[t]
-            closing[t] = sum(b)
-        return pd.DataFrame({"item": pdf["item"].iloc[0], "date": days.date,
-                             "delivered": dl, "demand": dm, "sold": sold, "short": short,
-                             "waste": waste, "closing": closing})
-    return fold
-
-
 def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHELF_DAYS,
-                 key: str = "item", span: str = "global") -> DataFrame:
+                 key: str = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS) -> DataFrame:
     """Day-by-day ledger per key over the dense calendar: lots arrive, demand is served
     first-in-first-out from unexpired lots, the shortfall is recorded, and a lot not
     sold by expiry (received + shelf_days) is waste the day after. Invariant:
-    sum(delivered) = sum(sold) + sum(waste) + closing on the last day."""
+    sum(delivered) = sum(sold) + sum(waste) + closing on the last day.
+
+    Plan: daily flows -> dense per key (hash-partitioned by key) -> sorted within
+    partitions -> vectorised fold over chunks of whole keys (:mod:`folds`)."""
     d = deliveries.select(F.col(key).alias("item"), "date", F.col("qty").cast("bigint").alias("delivered"),
                           F.lit(0).cast("bigint").alias("demand"))
     m = demand.select(F.col(key).alias("item"), "date", F.lit(0).cast("bigint").alias("delivered"),
                       F.col("qty").cast("bigint").alias("demand"))
     flows = (d.unionByName(m).groupBy("item", "date")
              .agg(F.sum("delivered").alias("delivered"), F.sum("demand").alias("demand")))
-    if span == "global":
-        flows = attach_row(flows, flows.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi")))
-    else:
-        w = Window.partitionBy("item")
-        flows = flows.withColumn("_lo", F.min("date").over(w)).withColumn("_hi", F.max("date").over(w))
-    out = flows.groupBy("item").applyInPandas(_ledger_fold(shelf_days), LEDGER_SCHEMA)
+    dense = densify(flows, ("item",), ("delivered", "demand"), span=span).sortWithinPartitions("item", "date")
+
+    def run(batches):
+        return folds.keyed_chunks(batches, "item", lambda c: folds.ledger_fold(c, shelf_days), chunk_rows)
+    out = dense.mapInPandas(run, LEDGER_SCHEMA)
     return out if key == "item" else out.withColumnRenamed("item", key)
 
 
@@ -223,63 +200,28 @@ BACKTEST_SCHEMA = T.StructType([
     T.StructField("waste_cum", T.LongType()), T.StructField("waste_ratio", T.DoubleType())])
 
 
-def _backtest_fold(adaptive: bool, shelf_days: int, f_ladder, f_low, b_ladder, b_low, b_cap):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        dates = pd.to_datetime(pdf["date"]).to_numpy()
-        ords = (dates.astype("datetime64[D]").astype("int64")).tolist()
-        fc = pdf["forecast"].astype("float64").tolist()
-        act = pdf["actual"].tolist()
-        base = pdf["buffer"].astype("float64").tolist()
-        lots: list[list[int]] = []            # [expiry ordinal, qty], expiry ascending
-        orders = waste_tot = 0
-        ratio = 0.0
-        rows = []
-        for t, d in enumerate(ords):
-            if act[t] is None or (isinstance(act[t], float) and math.isnan(act[t])):
-                continue                       # no actuals: the day is skipped entirely
-            a = int(act[t])
-            pred = 0.0 if fc[t] is None or math.isnan(fc[t]) else fc[t]
-            adj = pred * forecast_factor(ratio, f_ladder, f_low) if adaptive else pred
-            usable = sum(q for e, q in lots if e >= d)
-            buf = adjust_buffer(base[t], ratio, orders, b_ladder, b_low, b_cap) if adaptive else base[t]
-            order = max(0, math.ceil(adj + buf - usable))
-            if order > 0:
-                lots.append([d + shelf_days, order])
-                lots.sort(key=lambda x: x[0])
-                orders += order
-            rem = a
-            for lot in lots:
-                if rem <= 0:
-                    break
-                if lot[0] >= d:
-                    used = min(lot[1], rem)
-                    lot[1] -= used
-                    rem -= used
-            waste = sum(q for e, q in lots if e < d)
-            waste_tot += waste
-            if orders > 0:
-                ratio = waste_tot / orders
-            lots = [lot for lot in lots if lot[0] >= d and lot[1] > 0]
-            rows.append((pdf["dish"].iloc[0], pdf["date"].iloc[t], pred, adj, float(buf), int(usable),
-                         int(order), a, a - rem, int(rem), int(waste), int(orders), int(waste_tot), float(ratio)))
-        return pd.DataFrame(rows, columns=BACKTEST_SCHEMA.fieldNames())
-    return fold
-
-
 def policy_backtest(plan: DataFrame, adaptive: bool = True, shelf_days: int = SHELF_DAYS,
                     forecast_ladder=FORECAST_LADDER, forecast_low=FORECAST_LOW,
-                    buffer_ladder=BUFFER_LADDER, buffer_low=BUFFER_LOW, buffer_cap=BUFFER_CAP) -> DataFrame:
+                    buffer_ladder=BUFFER_LADDER, buffer_low=BUFFER_LOW, buffer_cap=BUFFER_CAP,
+                    chunk_rows: int = folds.CHUNK_ROWS) -> DataFrame:
     """Replay historic days per dish: waste-adjusted forecast (60) and buffer (61),
     usable stock (36), order (59), FIFO sale with expiry (63), waste-ratio feedback.
 
-    ``plan`` has one row per (dish, date): forecast, actual (null = no data that day:
-    skipped, as the original does), buffer (base). Emits the daily ledger."""
-    cols = plan.select("dish", "date", F.col("forecast").cast("double"), F.col("actual").cast("bigint"),
-                       F.col("buffer").cast("double"))
-    fold = _backtest_fold(adaptive, shelf_days, forecast_ladder, forecast_low,
-                          buffer_ladder, buffer_low, buffer_cap)
-    return cols.groupBy("dish").applyInPandas(fold, BACKTEST_SCHEMA)
+    ``plan`` has one row per (dish, date): forecast, actual (null or no row = no data
+    that day: skipped, as the original does), buffer (base). Emits the daily ledger.
+    Plan: hash-partition by dish, sort by (dish, date), vectorised fold over chunks of
+    whole dishes; dishes run in parallel, no day loop on the driver."""
+    cols = (plan.select("dish", "date", F.col("forecast").cast("double"), F.col("actual").cast("bigint"),
+                        F.col("buffer").cast("double"))
+            .repartition("dish").sortWithinPartitions("dish", "date"))
+
+    def fold(c):
+        return folds.backtest_fold(c, adaptive, shelf_days, forecast_ladder, forecast_low,
+                                   buffer_ladder, buffer_low, buffer_cap)
+
+    def run(batches):
+        return folds.keyed_chunks(batches, "dish", fold, chunk_rows)
+    return cols.mapInPandas(run, BACKTEST_SCHEMA)
 
 
 # ------------------------------------------------------------------ 37. waste_ratio

@@ -437,7 +437,11 @@ def _model_frames(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     m = fc.feature_matrix(i.dense, i.weather, i.holidays, P.TRAIN_YEAR, P.LAG_GROUPS)
     m = m.where(F.year("date").isin(P.TRAIN_YEAR, P.TEST_YEAR))
-    m = cut_lineage(m)
+    # the learners make many passes over this matrix: spread it over all cores (AQE
+    # coalesces small shuffles to one partition), with a deterministic row layout so
+    # the seeded bootstrap is repeatable, and cut its lineage once for both learners
+    n = spark.sparkContext.defaultParallelism
+    m = cut_lineage(m.repartition(n, "item", "date").sortWithinPartitions("item", "date"))
     return m.where(F.year("date") == P.TRAIN_YEAR), m.where(F.year("date") == P.TEST_YEAR)
 
 
