@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.constants import QTY_PREFIX, REV_PREFIX
+from shelfwise.functions.constants import QTY_PREFIX
 from shelfwise.operators import calendar as cal
 from shelfwise.operators import features as fe
 from shelfwise.operators import forecast as fc

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.constants import (
     DATE_COL, QTY_PREFIX, REV_PREFIX, WEEKDAY_ONEHOT_ORDER, WEEKDAY_PREFIX)
-from shelfwise.functions.exprs import col_of, weekday_name
+from shelfwise.functions.exprs import weekday_name
 
 
 def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
