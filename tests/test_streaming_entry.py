@@ -115,3 +115,39 @@ def test_no_python_udf_outside_folds(spark):
         plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan and "FlatMapGroupsInPandas" not in plan
 
+
+
+def test_late_event_past_watermark_is_dropped(spark, tmp_path):
+    src = tmp_path / "late"
+    src.mkdir()
+    schema = "ts timestamp, user_id bigint, event_type string, value double"
+
+    def put(name, rows):
+        spark.createDataFrame(pd.DataFrame(rows, columns=["ts", "user_id", "event_type", "value"]), schema) \
+            .write.mode("overwrite").parquet(str(src / name))
+    put("a", [(dt.datetime(2024, 1, 1, 10), 1, "purchase", 1.0), (dt.datetime(2024, 1, 5, 10), 1, "purchase", 2.0)])
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+    q = (sd.stream_daily_sales(stream).writeStream.format("memory").queryName("t_late")
+         .outputMode("append").start())
+    q.processAllAvailable()
+    # Jan 2 is older than the watermark (Jan 5 10:00 - 1 day): dropped; Jan 8 moves it on
+    put("b", [(dt.datetime(2024, 1, 2, 10), 1, "purchase", 50.0), (dt.datetime(2024, 1, 8, 10), 1, "purchase", 3.0)])
+    q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.day: r.total_value for r in spark.sql("SELECT * FROM t_late").collect()}
+    assert got.get(d("2024-01-01")) == 1.0 and got.get(d("2024-01-05")) == 2.0
+    assert d("2024-01-02") not in got
+
+
+def test_yoy_alignment_matches_day_by_day_search(spark):
+    from shelfwise.operators import yoy
+    days = pd.date_range("2022-01-01", "2023-12-31", freq="D")
+    daily = spark.createDataFrame(pd.DataFrame({"date": days.date, "sales": [float(i % 17) for i in range(len(days))]}))
+    got = {r.date: r.base_date for r in yoy.yoy_weekday_aligned(daily, "2023-08-20", 2022).collect()}
+    for cur in pd.date_range("2023-01-02", "2023-08-20", freq="D"):
+        start = pd.Timestamp("2022-01-02")
+        while start.day_name() != cur.day_name():          # the original's search
+            start += pd.Timedelta(days=1)
+        expect = start + pd.Timedelta(weeks=(cur - pd.Timestamp("2023-01-02")).days // 7)
+        assert got[cur.date()] == expect.date()
