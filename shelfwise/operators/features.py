@@ -176,15 +176,34 @@ def trend(df: DataFrame, days: Sequence[int] = (7, 14, 21), value: str = "qty",
     return out
 
 
+def dow_profile_columns(df: DataFrame, year: int, value: str = "qty", keys: Sequence[str] = ("item",),
+                        dow_col: str = "dow", date_col: str = "date") -> DataFrame:
+    """Training-year weekday mean and sample std attached to every row as window
+    aggregates over (key, weekday): no join and, on a key-partitioned series, no
+    shuffle (a lookup table would be joined on (key, weekday) and reshuffle the series)."""
+    w = Window.partitionBy(*keys, dow_col)
+    v = F.when(F.year(date_col) == year, F.col(value))
+    return df.withColumn("dow_mean", F.avg(v).over(w)).withColumn("dow_std", F.stddev_samp(v).over(w))
+
+
+def _with_profile(df: DataFrame, profile, value: str, keys: Sequence[str], dow_col: str) -> DataFrame:
+    """``profile`` is a (key, weekday) statistics frame (joined) or a training year
+    (window aggregates); returns df with ``_m`` and ``_s``."""
+    if isinstance(profile, DataFrame):
+        p = profile.select(*keys, dow_col, F.col("dow_mean").alias("_m"), F.col("dow_std").alias("_s"))
+        return df.join(p, [*keys, dow_col], "left")
+    out = dow_profile_columns(df, int(profile), value, keys, dow_col)
+    return out.withColumnRenamed("dow_mean", "_m").withColumnRenamed("dow_std", "_s")
+
+
 # ------------------------------------------------------- 46. sales_ratio_dow
-def sales_ratio_dow(df: DataFrame, profile: DataFrame, value: str = "qty",
+def sales_ratio_dow(df: DataFrame, profile, value: str = "qty",
                     keys: Sequence[str] = ("item",), dow_col: str = "dow",
-                    zero_mean: str = "raw") -> DataFrame:
+                    zero_mean: str = "raw", profile_value: str | None = None) -> DataFrame:
     """qty / training-year weekday mean. zero_mean='raw' (training): a mean of 0
     divides by 1 and no mean gives 1.0; 'one' (serving): a mean of 0 gives 1.0 and
-    no mean divides by 1."""
-    m = profile.select(*keys, dow_col, F.col("dow_mean").alias("_m"))
-    j = df.join(m, [*keys, dow_col], "left")
+    no mean divides by 1. ``profile``: statistics frame, or the training year."""
+    j = _with_profile(df, profile, profile_value or "qty", keys, dow_col)
     v = F.col(value).cast("double")
     if zero_mean == "raw":
         r = F.coalesce(v / F.when(F.col("_m") == 0, F.lit(1.0)).otherwise(F.col("_m")), F.lit(1.0))
@@ -193,16 +212,16 @@ def sales_ratio_dow(df: DataFrame, profile: DataFrame, value: str = "qty",
         r = F.when(F.col("_m") == 0, F.lit(1.0)).otherwise(v / F.coalesce(F.col("_m"), F.lit(1.0)))
     else:
         raise ValueError("zero_mean must be 'raw' or 'one'")
-    return j.withColumn("sales_ratio_dow", r).drop("_m")
+    return j.withColumn("sales_ratio_dow", r).drop("_m", "_s")
 
 
 # -------------------------------------------------------- 47. dow_std_feature
-def dow_std_feature(df: DataFrame, profile: DataFrame, keys: Sequence[str] = ("item",),
-                    dow_col: str = "dow") -> DataFrame:
-    """Training-year weekday sample std per row, missing -> 0."""
-    s = profile.select(*keys, dow_col, F.col("dow_std").alias("_s"))
-    return (df.join(s, [*keys, dow_col], "left")
-              .withColumn("dow_std", F.coalesce(F.col("_s"), F.lit(0.0))).drop("_s"))
+def dow_std_feature(df: DataFrame, profile, keys: Sequence[str] = ("item",),
+                    dow_col: str = "dow", value: str = "qty") -> DataFrame:
+    """Training-year weekday sample std per row, missing -> 0. ``profile``: statistics
+    frame, or the training year."""
+    j = _with_profile(df, profile, value, keys, dow_col)
+    return j.withColumn("dow_std", F.coalesce(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 
 def rounded(c: str | Column, places: int = 6) -> Column:

@@ -20,7 +20,6 @@ from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS,
 from shelfwise.operators.calendar import calendar_dummies, calendar_features
 from shelfwise.operators.features import (
     dow_rolling_mean, dow_std_feature, lags, sales_ratio_dow, season_interactions, trend)
-from shelfwise.operators.stats import dow_profile
 
 
 # -------------------------------------------------------------- 19. split_by_year
@@ -70,15 +69,14 @@ def feature_matrix(dense: DataFrame, weather: DataFrame, holidays, train_year: i
     rolling means, interactions) to the previous day, so the model forecasts from
     information known the day before (the original's frames include the label)."""
     base = calendar_features(dense, holidays)
-    prof = dow_profile(base, train_year)
     src = "qty"
     if as_of_lag:
         base = lags(base, "qty", {as_of_lag: None}, prefix="_known")
         src = f"_known{as_of_lag}"
         base = base.withColumn(src, F.coalesce(F.col(src), F.lit(0)))
     f = lags(base, "qty", lag_groups or {1: None, 2: None, 3: None, 4: None, 5: None})
-    f = sales_ratio_dow(f, prof, value=src)
-    f = dow_std_feature(f, prof)
+    f = sales_ratio_dow(f, train_year, value=src)      # weekday profile as window aggregates
+    f = dow_std_feature(f, train_year)
     f = dow_rolling_mean(f, 6, src)
     f = trend(f, (7, 14, 21), src)
     f = season_interactions(f.withColumn("_v", F.col(src)), "_v").drop("_v")

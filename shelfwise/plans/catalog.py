@@ -225,15 +225,14 @@ def trend(spark, sf_dir):
 @query
 def sales_ratio_dow(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    prof = st.dow_profile(i.dense_cal, P.TRAIN_YEAR)
-    return fe.sales_ratio_dow(i.dense_cal, prof).select("date", "item", r6("sales_ratio_dow").alias("sales_ratio_dow"))
+    r = fe.sales_ratio_dow(i.dense_cal, P.TRAIN_YEAR)
+    return r.select("date", "item", r6("sales_ratio_dow").alias("sales_ratio_dow"))
 
 
 @query
 def dow_std_feature(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    prof = st.dow_profile(i.dense_cal, P.TRAIN_YEAR)
-    return fe.dow_std_feature(i.dense_cal, prof).select("date", "item", r6("dow_std").alias("dow_std"))
+    return fe.dow_std_feature(i.dense_cal, P.TRAIN_YEAR).select("date", "item", r6("dow_std").alias("dow_std"))
 
 
 # ---------------------------------------------------------------------- joins
