@@ -128,3 +128,28 @@ def test_csv_round_trip_keeps_dotted_names(spark, tmp_path):
     p = daily.write_daily_csv(wide, str(tmp_path / "w"))
     back = daily.scan_daily(spark, p, daily.wide_schema(["A. B"]))
     assert back.select(F.col("`Qty (Sales)_A. B`"), F.col("`Gross Rev._A. B`")).first() == (3, 12.5)
+
+
+def test_wide_file_to_long_with_presets(spark):
+    from shelfwise.functions import presets
+    from shelfwise.plans.wide_file import long_sales, weather_days
+    cols = (["Date"] + WEEKDAY_COLS
+            + ["Qty (Sales)_LASAGNE - 3513", "Qty (Sales)_TA LASAGNE - 25200", "Qty (Sales)_RIBEYE STEAK - 6501",
+               "Gross Rev._LASAGNE - 3513", "Gross Rev._TA LASAGNE - 25200",
+               "Temp Avg (°C)", "Temp Avg (°C)_norm", "Precipitation (mm)"])
+    rows_ = [("2023-01-02", 0, 1, 0, 0, 0, 0, 0, 3.0, 1.0, 0.0, 45.0, 12.5, 7.5, 0.1, 0.0),
+             ("2023-01-03", 0, 0, 0, 0, 0, 0, 0, None, 2.0, 1.0, None, 25.0, 8.0, 0.2, 1.5),
+             ("not a date", 0, 0, 0, 0, 0, 0, 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    schema = ", ".join([f"`{c}` string" if c == "Date" else f"`{c}` double" if not c.startswith("Day") else f"`{c}` int"
+                        for c in cols])
+    wide = spark.createDataFrame(rows_, schema)
+    dims = presets.frames(spark)
+    long = long_sales(wide, dims["dish_item"], date_mode="coerce")
+    got = rows(long, "date", "item", "dish", "channel", "dow", "qty", "revenue")
+    assert (d("2023-01-02"), "LASAGNE - 3513", "LASAGNE", "DINE_IN", "Monday", 3, 45.0) in got
+    assert (d("2023-01-03"), "TA LASAGNE - 25200", "LASAGNE", "TAKEAWAY", "Unknown", 2, 25.0) in got
+    assert (d("2023-01-03"), "RIBEYE STEAK - 6501", "RIBEYE STEAK", "DINE_IN", "Unknown", 1, None) in got
+    assert len(got) == 6                                   # the unparseable date is dropped
+    w = rows(weather_days(wide, "coerce"), "date", "temp_avg", "temp_avg_norm", "precipitation")
+    assert w == [(d("2023-01-02"), 7.5, 0.1, 0.0), (d("2023-01-03"), 8.0, 0.2, 1.5)]
+    assert dims["holiday"].count() == 19 and dims["dish_item"].count() == 26
