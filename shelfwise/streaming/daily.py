@@ -14,15 +14,31 @@ from pyspark.sql import functions as F
 from shelfwise.session import scratch_path
 
 
+def event_instant(c: F.Column, dtype: str) -> F.Column:
+    """Event time as a TIMESTAMP instant. A zone-less (NTZ) wall clock is read as UTC
+    whatever the session time zone (watermarks need TIMESTAMP, and a plain cast would
+    read the wall clock in the session zone and shift the day windows)."""
+    if dtype != "timestamp_ntz":
+        return c.cast("timestamp")
+    micros = F.unix_timestamp(c) * 1_000_000 + F.date_format(c, "SSSSSS").cast("bigint")
+    return F.timestamp_micros(micros)
+
+
+def utc_day(c: F.Column) -> F.Column:
+    """Calendar day (UTC) of an instant, independent of the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / 86400).cast("int"))
+
+
 def stream_daily_sales(events: DataFrame, delay: str = "1 day", key: str = "user_id",
                        value: str = "value", sale_types=("purchase",), ts: str = "ts") -> DataFrame:
     """Streaming (or batch) frame of events -> (day, key, n_events, total_value)."""
+    t = event_instant(F.col(ts), events.schema[ts].dataType.simpleString())
     ev = (events.where(F.col("event_type").isin(list(sale_types)))
-          .select(F.col(ts).cast("timestamp").alias("ts"), key, value))
+          .select(t.alias("ts"), key, value))
     agg = (ev.withWatermark("ts", delay)
            .groupBy(F.window("ts", "1 day"), key)
            .agg(F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value")))
-    return agg.select(F.to_date(F.col("window.start")).alias("day"), key, "n_events", "total_value")
+    return agg.select(utc_day(F.col("window.start")).alias("day"), key, "n_events", "total_value")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
