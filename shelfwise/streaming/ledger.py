@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfwise.functions.constants import SHELF_DAYS
 from shelfwise.operators.stock import fifo_sell
-from shelfwise.streaming.daily import event_stream, run_to_table
+from shelfwise.streaming.daily import event_instant, event_stream, run_to_table
 
 DAY_MS = 86_400_000
 
@@ -66,7 +66,7 @@ def _ledger_state_fn(key_name: str, shelf_days: int):
         else:
             pdf = pd.concat(list(pdfs), ignore_index=True)
             if len(pdf):
-                day = (pdf["ts"].astype("datetime64[ms]").astype("int64") // DAY_MS)
+                day = pdf["_us"].to_numpy() // (DAY_MS * 1000)
                 g = (pdf.assign(_day=day, _dl=pdf["qty"].where(pdf["kind"] == "delivery", 0.0),
                                 _dm=pdf["qty"].where(pdf["kind"] == "sale", 0.0))
                      .groupby("_day")[["_dl", "_dm"]].sum().sort_index())
@@ -104,8 +104,11 @@ def _ledger_state_fn(key_name: str, shelf_days: int):
 def stream_stock_ledger(events: DataFrame, shelf_days: int = SHELF_DAYS, key: str = "user_id",
                         delay: str = "1 day") -> DataFrame:
     """``events(key, ts, kind in {'delivery','sale'}, qty)`` (streaming) -> ledger rows."""
-    ev = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "kind",
-                       F.col("qty").cast("double").alias("qty")).withWatermark("ts", delay)
+    t = event_instant(F.col("ts"), events.schema["ts"].dataType.simpleString())
+    # event time travels to Python as epoch microseconds: day numbers and timers then
+    # agree with the watermark whatever the session time zone
+    ev = (events.select(key, t.alias("ts"), "kind", F.col("qty").cast("double").alias("qty"))
+          .withColumn("_us", F.unix_micros("ts")).withWatermark("ts", delay))
     return ev.groupBy(key).applyInPandasWithState(
         _ledger_state_fn(key, shelf_days), _out_schema(key, events.schema[key].dataType),
         _state_schema(shelf_days), "append", GroupStateTimeout.EventTimeTimeout)
