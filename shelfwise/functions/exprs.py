@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,24 +36,5 @@ def flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
-def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """num/den as double, null when den is 0 or null (never raises under ANSI)."""
-    return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
-
-
-def ladder(value: str | Column, steps: Sequence[tuple[Column, object]], default: object) -> Column:
-    """First matching (condition, result) wins; conditions are built by the caller."""
-    out = None
-    for cond, res in steps:
-        res_c = res if isinstance(res, Column) else F.lit(res)
-        out = F.when(cond, res_c) if out is None else out.when(cond, res_c)
-    default_c = default if isinstance(default, Column) else F.lit(default)
-    return default_c if out is None else out.otherwise(default_c)
-
-
 def date_lit(d) -> Column:
     return F.lit(str(d)).cast("date")
-
-
-def in_list(c: str | Column, values: Iterable) -> Column:
-    return col_of(c).isin(list(values))

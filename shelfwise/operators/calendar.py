@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.exprs import col_of, date_lit, flag, is_weekend, weekday_name
+from shelfwise.functions.exprs import date_lit, flag, is_weekend, weekday_name
 
 
 def holiday_calendar(dates: DataFrame, month_days: Sequence[tuple[int, int]],
@@ -132,7 +132,3 @@ def densify(sales: DataFrame, keys: Sequence[str] = ("item",), values: Sequence[
     return (u.groupBy(date_col, *keys, *attrs)
             .agg(*[F.coalesce(F.sum(v), fill_c).cast(vtypes[v]).alias(v) for v in values])
             .select(date_col, *keys, *attrs, *values))
-
-
-def shift_days(df: DataFrame, days: int, date_col: str = "date") -> DataFrame:
-    return df.withColumn(date_col, F.date_add(col_of(date_col), days))

@@ -8,7 +8,6 @@ original cut-offs. The same ladders are evaluated in the keyed back-test fold
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,10 +59,6 @@ def adjust_buffer(base: float, ratio: float, orders: float, ladder=BUFFER_LADDER
     return base
 
 
-def order_amount(forecast: float, buffer: float, usable: float) -> int:
-    return max(0, math.ceil(forecast + buffer - usable))
-
-
 def representative_items(dish_item: DataFrame) -> DataFrame:
     """First item (lowest ``ord``) of each dish represents it."""
     return (dish_item.groupBy("dish")

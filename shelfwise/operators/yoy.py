@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.constants import WEEKDAYS
-from shelfwise.functions.exprs import date_lit, weekday_name, weekday_number
+from shelfwise.functions.exprs import weekday_name, weekday_number
 from shelfwise.operators.calendar import attach_row, date_slice
 
 
@@ -69,7 +69,3 @@ def yoy_weekday_report(aligned: DataFrame, value: str = "sales") -> DataFrame:
                     F.avg("base_avg").alias("base_overall"),
                     F.sum("n_days").alias("days_analysed"))
     return attach_row(t, overall).orderBy("weekday_no")
-
-
-def as_date(d) -> F.Column:
-    return date_lit(d)

@@ -29,15 +29,9 @@ def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(pt, li.l_partkey == pt.p_partkey, "inner")
 
 
-def net_revenue() -> F.Column:
-    """Exact money: DECIMAL price times DECIMAL (1 - discount)."""
-    one = F.lit(1).cast("decimal(4,2)")
-    return (F.col("l_extendedprice").cast("decimal(12,2)")
-            * (one - F.col("l_discount").cast("decimal(4,2)")))
-
-
 def net_revenue_units() -> F.Column:
-    """The same exact amount as a BIGINT count of 1/10000 currency units: price in
+    """Exact net revenue, price x (1 - discount) with both at 2 decimals, as a BIGINT
+    count of 1/10000 currency units: price in
     cents times the kept share in percent. Summing BIGINT stays on the fast path,
     while a DECIMAL sum widens past 18 digits and runs on BigDecimal."""
     cents = (F.col("l_extendedprice").cast("decimal(12,2)") * 100).cast("bigint")

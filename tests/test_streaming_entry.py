@@ -151,3 +151,20 @@ def test_yoy_alignment_matches_day_by_day_search(spark):
             start += pd.Timedelta(days=1)
         expect = start + pd.Timedelta(weeks=(cur - pd.Timestamp("2023-01-02")).days // 7)
         assert got[cur.date()] == expect.date()
+
+
+def test_invariants_on_test_tables(spark):
+    """delivered = sold + waste + last closing; sold + short = demand; months sum to the year."""
+    from pyspark.sql import functions as F
+    from shelfwise.operators import stock as sk
+    from shelfwise.plans.inputs import Inputs
+    from shelfwise.plans import params as P
+    i = Inputs(spark, SF001)
+    led = sk.stock_ledger(i.deliveries, i.demand)
+    assert sk.ledger_sum_check(led).where(F.col("imbalance") != 0).count() == 0
+    assert led.where(F.col("sold") + F.col("short") != F.col("demand")).count() == 0
+    bt = i.backtest(True)
+    months = sk.monthly_losses(bt, i.price, year=P.TEST_YEAR).agg(F.sum("waste_money"), F.sum("stockout_money")).first()
+    year = sk.year_kpis(bt, i.price).first()
+    assert abs(months[0] - year.waste_money) < 1e-6 and abs(months[1] - year.stockout_money) < 1e-6
+    assert bt.where(F.col("sold") + F.col("short") != F.col("actual")).count() == 0
