@@ -34,7 +34,8 @@ BLEND_WEIGHTS = (0.6, 0.4)  # forest, boosting
 
 # --- fixed values: learners ------------------------------------------------------
 FOREST = dict(numTrees=150, maxDepth=8, minInstancesPerNode=3, seed=42, maxBins=64)
-# engine settings, not model settings: more nodes per pass over the data, cached node ids
-FOREST_ENGINE = dict(maxMemoryInMB=1024, cacheNodeIds=True)
+# engine settings, not model settings: cached node ids; the split-statistics memory per
+# task is sized from the heap (see shelfwise.operators.forecast.forest_engine)
+FOREST_ENGINE = dict(cacheNodeIds=True)
 BOOSTING = dict(maxIter=120, maxDepth=4, stepSize=0.03, subsamplingRate=0.8, maxBins=64,
                 featureSubsetStrategy="0.8", seed=42)

@@ -97,13 +97,33 @@ def _prep_stages(features: Sequence[str]):
             VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
 
 
+def _mb(size: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    s = size.strip().lower().rstrip("b")
+    return int(float(s[:-1]) * units[s[-1]]) if s[-1] in units else int(s) // (1024 * 1024)
+
+
+def forest_engine(spark) -> dict:
+    """Split-statistics memory per task (``maxMemoryInMB``): about 30% of the heap that
+    runs tasks, shared by its concurrent task slots, between 64 and 1024 MB. Larger
+    groups mean fewer passes over the data; the bound keeps all slots inside the heap."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if sc.master.startswith("local"):
+        heap, slots = conf.get("spark.driver.memory", "1g"), sc.defaultParallelism
+    else:
+        heap, slots = conf.get("spark.executor.memory", "1g"), int(conf.get("spark.executor.cores", "1"))
+    per_task = int(_mb(heap) * 0.3 / max(slots, 1))
+    return {**FOREST_ENGINE, "maxMemoryInMB": max(64, min(1024, per_task))}
+
+
 # ------------------------------------------------------------------ 52. fit_forest
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, label: str = "qty",
                **overrides):
     """Random forest (150 trees, depth 8, min 3 rows per leaf, seed 42) in a pipeline."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import RandomForestRegressor
-    params = {**FOREST, **FOREST_ENGINE, **overrides}
+    params = {**FOREST, **forest_engine(train.sparkSession), **overrides}
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="rf_pred",
                                featureSubsetStrategy="all", **params)
     return Pipeline(stages=[*_prep_stages(features), rf]).fit(train)
