@@ -392,10 +392,11 @@ def year_kpis(spark, sf_dir):
 @query
 def yoy_weekday_report(spark, sf_dir):
     rep = yoy.yoy_weekday_report(_aligned(Inputs(spark, sf_dir)))
-    return rep.select("weekday", "weekday_no", r6("current_avg").alias("current_avg"),
-                      r6("base_avg").alias("base_avg"), "n_days", "current_rounded", "base_rounded",
-                      "change_pct", r6("current_overall").alias("current_overall"),
-                      r6("base_overall").alias("base_overall"), "days_analysed")
+    # day means of revenue are money: to the penny (6 places exceed double precision at 1e7)
+    return rep.select("weekday", "weekday_no", r2("current_avg").alias("current_avg"),
+                      r2("base_avg").alias("base_avg"), "n_days", "current_rounded", "base_rounded",
+                      "change_pct", r2("current_overall").alias("current_overall"),
+                      r2("base_overall").alias("base_overall"), "days_analysed")
 
 
 @query

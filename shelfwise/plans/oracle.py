@@ -462,12 +462,12 @@ _add("yoy_weekday_report", ("fx_sales",), _ALIGNED + """
         FROM wk LEFT JOIN g ON g.weekday = wk.weekday)
 , r AS (SELECT *, CAST(round_even(current_avg, 0) AS BIGINT) AS current_rounded,
                CAST(round_even(base_avg, 0) AS BIGINT) AS base_rounded FROM t)
-SELECT weekday, CAST(weekday_no AS INTEGER) AS weekday_no, round(current_avg, 6) AS current_avg,
-       round(base_avg, 6) AS base_avg, n_days, current_rounded, base_rounded,
+SELECT weekday, CAST(weekday_no AS INTEGER) AS weekday_no, round(current_avg, 2) AS current_avg,
+       round(base_avg, 2) AS base_avg, n_days, current_rounded, base_rounded,
        round_even(CAST(current_rounded - base_rounded AS DOUBLE) / nullif(CAST(base_rounded AS DOUBLE), 0) * 100, 2)
          AS change_pct,
-       round((SELECT avg(current_avg) FROM r), 6) AS current_overall,
-       round((SELECT avg(base_avg) FROM r), 6) AS base_overall,
+       round((SELECT avg(current_avg) FROM r), 2) AS current_overall,
+       round((SELECT avg(base_avg) FROM r), 2) AS base_overall,
        CAST((SELECT sum(n_days) FROM r) AS BIGINT) AS days_analysed
 FROM r""")
 _add("table_profile", ("dense_cal",), f"""
