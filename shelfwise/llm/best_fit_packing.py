@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import materialise
 from shelfwise.llm.textvec import chunks
 
-CACHE_WORDS = 300_000  # distinct words kept per worker; then the cache starts anew
+CACHE_WORDS = 1_000_000  # distinct words kept per worker (about 0.2 GB); then the cache starts anew
+MARK = b"|"              # stands between words that are encoded in one call
 RANK_ROWS = 1 << 14    # rows of one rank group
 MAX_SPLITS = 4096
 
@@ -44,11 +45,20 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     words = [t.split() for t in texts]
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    missing = list(set().union(*words) - _cache.keys()) if words else []
-    for a in range(0, len(missing), 1 << 15):
-        some = missing[a:a + (1 << 15)]
-        for w, e in zip(some, tok.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-            _cache[w] = np.asarray(e.ids, "<u4").tobytes()
+    missing = list(set().union(*words).difference(_cache)) if words else []
+    plain = [w for w in missing if MARK not in w]
+    mark = tok.encode(MARK.decode(), add_special_tokens=False).ids
+    for a in range(0, len(plain), 1 << 12):
+        some = plain[a:a + (1 << 12)]
+        text = (b" " + MARK + b" ").join(some).decode("utf-8")
+        ids = np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == mark[0])
+        data = ids.tobytes()
+        for w, x, y in zip(some, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]):
+            _cache[w] = data[x:y]
+    marked = [w for w in missing if MARK in w]
+    for w, e in zip(marked, tok.encode_batch_fast([w.decode("utf-8") for w in marked], add_special_tokens=False)):
+        _cache[w] = np.asarray(e.ids, "<u4").tobytes()
     return [b"".join(map(_cache.__getitem__, w)) for w in words]
 
 
