@@ -105,8 +105,7 @@ def _profiles(words: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), batch.column("row_key"), batch.column("doc_id"), pa.array(n, pa.int32()),
                  pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.binary())], names=names)
-            parts = [(i, _pack(np.flatnonzero(p).astype(np.uint32), p[p > 0].astype(np.uint32)))
-                     for i, p in enumerate(cells.reshape(SEGMENTS, -1)) if p.any()]
+            parts = [(i, _pack(p.astype(np.uint32))) for i, p in enumerate(cells.reshape(SEGMENTS, -1)) if p.any()]
             k = len(parts)
             if k:
                 yield pa.RecordBatch.from_arrays(
@@ -122,8 +121,7 @@ _PROFILE = "kind int, row_key long, doc_id long, n int, d1 long, d2 long, blob b
 def _add_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.zeros((1 << CELL_BITS) // SEGMENTS, np.int64)
     for b in table.column("blob").to_pylist():
-        x = np.frombuffer(zstandard.decompress(b), np.uint32)
-        total[x[:len(x) // 2]] += x[len(x) // 2:]
+        total += np.frombuffer(zstandard.decompress(b), np.uint32)
     return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
                      "cells": pa.array([total.tobytes()], pa.binary())})
 
@@ -219,33 +217,69 @@ def _sets(words: int):
         for batch in batches:
             for a, b, raw, offs in chunks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a),
+                    [batch.column("rep").slice(a, b - a),
                      pa.array([s.view(np.int64) for s in shingle_sets(raw, offs, words)], pa.list_(pa.int64()))],
-                    names=["doc_id", "items"])
+                    names=["rep", "items"])
+    return run
+
+
+def _long_maps(words: int):
+    def run(batches):
+        """Parity maps with at least as many bits as the set has elements, a power of two."""
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column("text")):
+                n, out = [], []
+                for s in shingle_sets(raw, offs, words):
+                    bits = 1 << max(9, len(s).bit_length())
+                    at = (mix(s ^ _U(0x3C3C)) % _U(bits)).astype(np.int64)
+                    n.append(len(s))
+                    out.append(np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep").slice(a, b - a), pa.array(n, pa.int32()), pa.array(out, pa.binary())],
+                    names=["rep", "n", "map"])
+    return run
+
+
+def _near(percent: int):
+    def run(batches):
+        """Pairs that their long maps do not tell apart; the longer map is folded onto the other."""
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                x, y = (x, y) if len(x) >= len(y) else (y, x)
+                x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+                differ = int(np.bitwise_count(x ^ y).sum())
+                keep.append(differ * (100 + percent) <= (100 - percent) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets reach the threshold, verified on the texts
-    of one document of each class."""
+    of one document of each class; long parity maps sort out most of the others first."""
     pairs = materialise(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = materialise(classes.join(ids, "rep").select("rep", "any_key", "n"), "wanted")
-    keys = wanted.select(F.col("any_key").alias("row_key"), "rep", "n")
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(keys) if small else keys, "row_key")
-    # several rows can carry one text: any one of them serves
-    sets = (picked.select(F.col("rep").alias("doc_id"), "text").mapInArrow(_sets(words), "doc_id long, items array<long>")
-            .withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]))
-    sets = materialise(sets, "sets")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    maps = materialise(_texts(pairs, classes, docs).mapInArrow(_long_maps(words), "rep long, n int, map binary")
+                       .dropDuplicates(["rep"]), "maps")
+    near = materialise(pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b")
+                       .mapInArrow(_near(percent), "a long, b long"), "near")
+    sets = materialise(_texts(near, classes, docs).mapInArrow(_sets(words), "rep long, items array<long>")
+                       .dropDuplicates(["rep"]), "sets")
     both = F.size(F.array_intersect("x", "y"))
     return materialise(
-        pairs.join(left, "a").join(right, "b")
+        near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         .where(both * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "verified")
 
 
+def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the classes in the pairs; where several rows carry a class's text, all of them."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = materialise(classes.join(ids, "rep").select(F.col("any_key").alias("row_key"), "rep"), "wanted")
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if small else wanted, "row_key").select("rep", "text")
+
+
 def _far_apart(l: str, r: str, percent: int) -> F.Column:
     """True when sizes or bitmaps prove that no member of group l links to one of group r.
     Bits on which a group's members disagree (and != or) are left out: still a lower bound."""

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, row_key, shuffle_partitions
+from shelfwise.llm.common import row_key, shuffle_partitions
 from shelfwise.llm.textvec import Words, chunks, grams, mix, ranges
 
 MINI = 2                # words of a minimiser
@@ -83,108 +83,136 @@ def _unframe(blob: bytes) -> list[bytes]:
     return out
 
 
-_DEALT = "kind int, bucket int, blob binary, row_key long, first int, last int"
+SLAB_BYTES = 8 << 20    # text among which equal super-k-mers collapse
 
 
-def _empty_range_columns(k: int) -> list[pa.Array]:
-    return [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())]
+def _slabs(column):
+    """Chunks of a batch in runs of about SLAB_BYTES."""
+    slab, size = [], 0
+    for chunk in chunks(column):
+        slab.append(chunk)
+        size += len(chunk[2])
+        if size >= SLAB_BYTES:
+            yield slab
+            slab, size = [], 0
+    if slab:
+        yield slab
 
 
-def _deal(size: int, buckets: int, hot_flags):
-    names = [c.split()[0] for c in _DEALT.split(", ")]
+def _by_bucket(home: np.ndarray, pick: np.ndarray):
+    """(bucket, rows) for the picked rows."""
+    pick = pick[np.argsort(home[pick], kind="stable")]
+    cut = np.flatnonzero(np.concatenate([[True], home[pick][1:] != home[pick][:-1]])).tolist() + [len(pick)]
+    for x, y in zip(cut[:-1], cut[1:]):
+        if y > x:
+            yield int(home[pick[x]]), pick[x:y]
+
 
+def _deal(size: int, buckets: int, hot_flags):
     def run(batches):
         hot = np.unpackbits(np.frombuffer(hot_flags.value, np.uint8)).astype(bool)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
-            best: dict[bytes, int] = {}     # packed string -> smallest document of the batch
-            strings, docs, rows, starts, lens, homes = [], [], [], [], [], []
-            for a, b, raw, offs in chunks(batch.column("text")):
-                w = Words(raw, offs)
-                s, k, key = _runs(w, size, hot)
-                if not len(s):
+            for slab in _slabs(batch.column("text")):
+                best: dict[bytes, int] = {}     # packed string -> smallest document of the slab
+                strings, docs, rows, starts, lens, homes = [], [], [], [], [], []
+                for a, _, raw, offs in slab:
+                    w = Words(raw, offs)
+                    s, k, key = _runs(w, size, hot)
+                    if not len(s):
+                        continue
+                    # words joined by one space, then one slice per super-k-mer
+                    width = w.end - w.start
+                    to = np.concatenate([[0], np.cumsum(width + 1)])
+                    text = np.full(int(to[-1]), 32, np.uint8)
+                    text[ranges(to[:-1], width)] = w.raw[ranges(w.start, width)]
+                    text = text.tobytes()
+                    lo, hi = to[s], to[s + k + size - 1] - 1
+                    strings += [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+                    row = w.doc[s] + a
+                    docs.append(ids[row]), rows.append(keys[row])
+                    starts.append(s - w.first[w.doc[s]]), lens.append(k)
+                    homes.append((mix(key ^ _U(0x77)) % _U(buckets)).astype(np.int64))
+                if not strings:
                     continue
-                # words joined by one space, then one slice per super-k-mer
-                width = w.end - w.start
-                to = np.concatenate([[0], np.cumsum(width + 1)])
-                text = np.full(int(to[-1]), 32, np.uint8)
-                text[ranges(to[:-1], width)] = w.raw[ranges(w.start, width)]
-                text = text.tobytes()
-                lo, hi = to[s], to[s + k + size - 1] - 1
-                strings += [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
-                row = w.doc[s] + a
-                docs.append(ids[row]), rows.append(keys[row])
-                starts.append(s - w.first[w.doc[s]]), lens.append(k)
-                homes.append((mix(key ^ _U(0x77)) % _U(buckets)).astype(np.int64))
-            if not strings:
-                continue
-            doc, row = np.concatenate(docs), np.concatenate(rows)
-            start, num, home = np.concatenate(starts), np.concatenate(lens), np.concatenate(homes)
-            ids_list = doc.tolist()
-            for x, d in zip(strings, ids_list):
-                if best.setdefault(x, d) > d:
-                    best[x] = d
-            least = np.fromiter((best[x] for x in strings), np.int64, len(strings))
-            done = doc > least
-            if done.any():  # a smaller document of this batch has every window of these
-                m = int(done.sum())
+                doc, row = np.concatenate(docs), np.concatenate(rows)
+                start, num, home = np.concatenate(starts), np.concatenate(lens), np.concatenate(homes)
+                for x, d in zip(strings, doc.tolist()):
+                    if best.setdefault(x, d) > d:
+                        best[x] = d
+                done = doc > np.fromiter((best[x] for x in strings), np.int64, len(strings))
+                out = ([], [], [])
+                for bucket, at in _by_bucket(home, np.flatnonzero(~done)):
+                    parts = [doc[at].tobytes(), row[at].tobytes(), start[at].astype(np.int32).tobytes(),
+                             b"\n".join([strings[i] for i in at])]
+                    out[0].append(bucket), out[1].append(False), out[2].append(_frame(parts))
+                # a smaller document of the slab has every window of these: they need no meeting
+                last = start + num + size - 1
+                for bucket, at in _by_bucket(home, np.flatnonzero(done)):
+                    parts = [row[at].tobytes(), start[at].astype(np.int32).tobytes(), last[at].astype(np.int32).tobytes()]
+                    out[0].append(bucket), out[1].append(True), out[2].append(_frame(parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(row[done]),
-                     pa.array(start[done].astype(np.int32)), pa.array((start + num + size - 1)[done].astype(np.int32))],
-                    names=names)
-            todo = np.flatnonzero(~done)
-            todo = todo[np.argsort(home[todo], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], home[todo][1:] != home[todo][:-1]])).tolist() + [len(todo)]
-            blobs = []
-            for x, y in zip(cut[:-1], cut[1:]):
-                at = todo[x:y]
-                blobs.append(_frame([doc[at].tobytes(), row[at].tobytes(), start[at].astype(np.int32).tobytes(),
-                                     b"\n".join([strings[i] for i in at])]))
-            k = len(blobs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), pa.array(home[todo][cut[:-1]].astype(np.int32)),
-                 pa.array(blobs, pa.binary()), *_empty_range_columns(k)], names=names)
+                    [pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())],
+                    names=["bucket", "settled", "blob"])
     return run
 
 
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
+    """Ranges of each row key, joined where they touch."""
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    if not len(row):
+        return pa.table({"row_key": pa.array(row, pa.int64()), "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32())})
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    # running maximum of the range ends inside each row key
+    group = np.cumsum(new)
+    span = np.int64(last.max()) + 1
+    reach = np.maximum.accumulate(group * span + last) - group * span
+    new |= np.concatenate([[True], first[1:] > reach[:-1]])
+    ends = np.concatenate([np.flatnonzero(new)[1:], [len(row)]]) - 1
+    return pa.table({"row_key": pa.array(row[new], pa.int64()), "first": pa.array(first[new].astype(np.int32)),
+                     "last": pa.array(reach[ends].astype(np.int32))})
+
+
 def _repeats(size: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Word ranges of the windows that a smaller document starts too."""
         doc, row, start, text = [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            d, r, s, t = _unframe(blob)
-            doc.append(np.frombuffer(d, np.int64)), row.append(np.frombuffer(r, np.int64))
-            start.append(np.frombuffer(s, np.int32))
-            text.append(t)
-        doc, row, start = np.concatenate(doc), np.concatenate(row), np.concatenate(start)
-        raw = np.frombuffer(b"\n".join(text), np.uint8)
-        ends = np.concatenate([np.flatnonzero(raw == 10) + 1, [len(raw)]])
-        w = Words(raw, np.concatenate([[0], ends]))
-        first = np.flatnonzero(w.doc[:len(w) - size + 1] == w.doc[size - 1:])  # every string has a window
-        h = grams(w.hash, size)[first]
-        order = np.argsort(h, kind="stable")
-        h, first = h[order], first[order]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        first = first[keep]
-        owner = doc[w.doc[first]]
-        lo, hi = w.start[first].tolist(), w.end[first + size - 1].tolist()
-        data, least = raw.tobytes(), {}
-        windows = [data[x:y] for x, y in zip(lo, hi)]  # the words themselves decide, not the hash
-        for x, d in zip(windows, owner.tolist()):
-            if least.setdefault(x, d) > d:
-                least[x] = d
-        hit = owner > np.fromiter((least[x] for x in windows), np.int64, len(windows))
-        string = w.doc[first[hit]]
-        at = start[string] + first[hit] - w.first[string]
-        r = row[string]
-        order = np.lexsort((at, r))
-        r, at = r[order], at[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] > at[:-1] + 1)]) if len(r) else np.zeros(0, bool)
-        last = np.concatenate([new[1:], [True]]) if len(r) else new
-        return pa.table({"row_key": pa.array(r[new], pa.int64()), "first": pa.array(at[new], pa.int32()),
-                         "last": pa.array(at[last] + size, pa.int32())})
+        ranges_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for settled, blob in zip(table.column("settled").to_pylist(), table.column("blob").to_pylist()):
+            parts = _unframe(blob)
+            if settled:
+                for col, p, kind in zip(ranges_, parts, (np.int64, np.int32, np.int32)):
+                    col.append(np.frombuffer(p, kind).astype(np.int64))
+                continue
+            for col, p, kind in zip((doc, row, start), parts, (np.int64, np.int64, np.int32)):
+                col.append(np.frombuffer(p, kind).astype(np.int64))
+            text.append(parts[3])
+        if text:
+            doc, row, start = np.concatenate(doc), np.concatenate(row), np.concatenate(start)
+            raw = np.frombuffer(b"\n".join(text), np.uint8)
+            ends = np.concatenate([np.flatnonzero(raw == 10) + 1, [len(raw)]])
+            w = Words(raw, np.concatenate([[0], ends]))
+            first = np.flatnonzero(w.doc[:len(w) - size + 1] == w.doc[size - 1:])  # every string has a window
+            h = grams(w.hash, size)[first]
+            order = np.argsort(h, kind="stable")
+            h, first = h[order], first[order]
+            same = h[1:] == h[:-1]
+            first = first[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            owner = doc[w.doc[first]]
+            data, least = raw.tobytes(), {}
+            # the words themselves decide, not the hash
+            windows = [data[x:y] for x, y in zip(w.start[first].tolist(), w.end[first + size - 1].tolist())]
+            for x, d in zip(windows, owner.tolist()):
+                if least.setdefault(x, d) > d:
+                    least[x] = d
+            hit = first[owner > np.fromiter((least[x] for x in windows), np.int64, len(windows))]
+            string = w.doc[hit]
+            at = start[string] + hit - w.first[string]
+            for col, v in zip(ranges_, (row[string], at, at + size)):
+                col.append(v)
+        return _merged(*(np.concatenate(c) for c in ranges_))
     return run
 
 
@@ -229,10 +257,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     buckets = max(shuffle_partitions(spark), windows // BUCKET_WINDOWS)
     flags = spark.sparkContext.broadcast(np.packbits(hot).tobytes())  # 2**CELL_BITS bits
 
-    dealt = materialise(known.mapInArrow(_deal(size, buckets, flags), _DEALT), "superkmers", by="kind")
-    found = (dealt.where("kind = 0").select("bucket", "blob").groupBy("bucket")
-             .applyInArrow(_repeats(size), "row_key long, first int, last int")
-             .union(dealt.where("kind = 1").select("row_key", "first", "last")))
+    found = (known.mapInArrow(_deal(size, buckets, flags), "bucket int, settled boolean, blob binary")
+             .groupBy("bucket").applyInArrow(_repeats(size), "row_key long, first int, last int"))
     spans = found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return (docs.join(spans, "row_key", "left").select("doc_id", "text", "spans")
             .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string"))
