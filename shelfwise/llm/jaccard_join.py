@@ -365,10 +365,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     every = open_.alias("r")
     once = (F.col("r.comp") == F.col("r.major")) | (F.col("l.comp") < F.col("r.comp"))
     # a shuffled join: a frequent shingle's list is split by the adaptive skew join
+    side = lambda x: F.struct(F.col(f"{x}.gkey").alias("g"), F.col(f"{x}.n").alias("n"), F.col(f"{x}.comp").alias("c"))
     met = (minor.join(every.hint("merge"), (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
                       & once & ~_far_apart("l", "r", percent))
-           .select(F.col("l.gkey").alias("ga"), F.col("l.n").alias("na"), F.col("l.comp").alias("ca"),
-                   F.col("r.gkey").alias("gb"), F.col("r.n").alias("nb"), F.col("r.comp").alias("cb")).distinct())
+           .select(F.least(side("l"), side("r")).alias("x"), F.greatest(side("l"), side("r")).alias("y"))
+           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("common")))
+    # what two sets share is what their prefixes share and at most what follows one of these
+    after = lambda n: F.ceil(n * percent / 100) - 1
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    met = (met.where(F.col("common") + F.greatest(after(F.col("x.n")), after(F.col("y.n"))) >= least)
+           .select(F.col("x.g").alias("ga"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"),
+                   F.col("y.g").alias("gb"), F.col("y.n").alias("nb"), F.col("y.c").alias("cb")))
     bits = [f"m{i}" for i in range(MAP_WORDS)]
     who = materialise(named.select("rep", "gkey", "n", "comp", *bits), "members")
     a = who.select(F.col("rep").alias("a"), F.col("gkey").alias("ga"), F.col("n").alias("na"), F.col("comp").alias("ca"),
