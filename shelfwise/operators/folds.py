@@ -68,16 +68,19 @@ def ledger_fold(pdf: pd.DataFrame, shelf_days: int, key: str = "item") -> pd.Dat
     dm[kidx, col] = pdf["demand"].to_numpy(np.int64)
     b = np.zeros((K, shelf_days + 1), np.int64)
     sold, short, waste, closing = (np.zeros((K, D), np.int64) for _ in range(4))
+    left = np.zeros((K, D, shelf_days + 1), np.int64)
     for t in range(D):
         waste[:, t] = b[:, 0]                      # not sold by its last day: waste today
         b = np.concatenate([b[:, 1:], dl[:, t:t + 1]], axis=1)
         b, short[:, t] = fifo_take(b, dm[:, t])
         sold[:, t] = dm[:, t] - short[:, t]
         closing[:, t] = b.sum(axis=1)
+        left[:, t] = b
     return pd.DataFrame({key: pdf[key].to_numpy(), "date": pdf["date"].to_numpy(),
                          "delivered": dl[kidx, col], "demand": dm[kidx, col],
                          "sold": sold[kidx, col], "short": short[kidx, col],
-                         "waste": waste[kidx, col], "closing": closing[kidx, col]})
+                         "waste": waste[kidx, col], "closing": closing[kidx, col],
+                         "left": list(left[kidx, col])})
 
 
 # ------------------------------------------------------------- 66. back-test

@@ -4,7 +4,7 @@ scoring.
 
 The original fits one multi-output model over a wide day row. Spark ML regressors are
 single-output, so the model here is pooled over the long (date, item) table with the
-item as an indexed feature: one model scores every item and day in one
+item as its training-year mean and deviation: one model scores every item and day in one
 ``transform``. The training matrix is checkpointed once into the shared folder and
 reused by both learners.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS, FOREST, FOREST_ENGINE
@@ -54,7 +54,7 @@ FEATURE_COLUMNS = [
     "holiday_interaction", "is_weekend", "is_holiday",
     *[f"Month_{m}" for m in range(2, 13)], *[f"Quarter_{q}" for q in range(2, 5)],
     "temp_avg", "precipitation", "windspeed", "humidity", "temp_avg_lag1", "precipitation_lag1",
-    "item_idx"]
+    "item_mean", "item_std"]
 
 CONTINUOUS = ["sales_ratio_dow", "dow_avg", "trend_7", "trend_14", "trend_21", "dow_std",
               "month_interaction", "quarter_interaction", "holiday_interaction",
@@ -69,17 +69,20 @@ def feature_matrix(dense: DataFrame, weather: DataFrame, holidays, train_year: i
     rolling means, interactions) to the previous day, so the model forecasts from
     information known the day before (the original's frames include the label)."""
     base = calendar_features(dense, holidays)
-    src = "qty"
-    if as_of_lag:
-        base = lags(base, "qty", {as_of_lag: None}, prefix="_known")
-        src = f"_known{as_of_lag}"
-        base = base.withColumn(src, F.coalesce(F.col(src), F.lit(0)))
     f = lags(base, "qty", lag_groups or {1: None, 2: None, 3: None, 4: None, 5: None})
-    f = sales_ratio_dow(f, train_year, value=src)      # weekday profile as window aggregates
+    f = sales_ratio_dow(f, train_year)      # weekday profile as window aggregates
     f = dow_std_feature(f, train_year)
-    f = dow_rolling_mean(f, 6, src)
-    f = trend(f, (7, 14, 21), src)
-    f = season_interactions(f.withColumn("_v", F.col(src)), "_v").drop("_v")
+    # means of the target's own weekday, without the target itself
+    f = dow_rolling_mean(f, 6, exclude_current=bool(as_of_lag))
+    f = trend(f, (7, 14, 21), exclude_current=bool(as_of_lag))
+    f = season_interactions(f)
+    if as_of_lag:  # a known day's ratio (by its own weekday) and interactions, moved to the target
+        for c in ("sales_ratio_dow", "month_interaction", "quarter_interaction", "holiday_interaction"):
+            f = lags(f, c, {as_of_lag: None}, prefix="_known").withColumn(c, F.col(f"_known{as_of_lag}")).drop(f"_known{as_of_lag}")
+    # the item by its training-year statistics: any number of items
+    of_year = F.when(F.year("date") == train_year, F.col("qty"))
+    own = Window.partitionBy("item")
+    f = f.withColumn("item_mean", F.avg(of_year).over(own)).withColumn("item_std", F.stddev_samp(of_year).over(own))
     f = calendar_dummies(f)
     w = weather.select("date", "temp_avg", "precipitation", "windspeed", "humidity")
     wl = w.select(F.date_add("date", 1).alias("date"), F.col("temp_avg").alias("temp_avg_lag1"),
@@ -87,14 +90,13 @@ def feature_matrix(dense: DataFrame, weather: DataFrame, holidays, train_year: i
     f = f.join(w, "date", "left").join(wl, "date", "left")
     # a feature the row cannot have (lag of an item outside its group, a day without
     # weather) is 0, as the serving path fills absent features
-    return f.na.fill(0.0, [c for c in FEATURE_COLUMNS if c != "item_idx"])
+    return f.na.fill(0.0, list(FEATURE_COLUMNS))
 
 
 def _prep_stages(features: Sequence[str]):
-    """Item index (label counts are a distributed aggregate) + vector assembly."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    return [StringIndexer(inputCol="item", outputCol="item_idx", handleInvalid="keep"),
-            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
+    """Vector assembly."""
+    from pyspark.ml.feature import VectorAssembler
+    return [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
 
 
 def _mb(size: str) -> int:
@@ -147,7 +149,7 @@ def predict(models: Sequence, df: DataFrame, keep: Sequence[str] = ("date", "ite
     out = df
     preds = []
     for m in models:
-        out = m.transform(out).drop("features", "item_idx")
+        out = m.transform(out).drop("features")
         preds += [c for c in out.columns if c.endswith("_pred") and c not in preds]
     return out.select(*keep, *preds)
 

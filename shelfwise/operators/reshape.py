@@ -36,8 +36,11 @@ def unpivot_measures(wide: DataFrame, prefix: str = QTY_PREFIX, value: str = "qt
 # ---------------------------------------------------------------- 6. pivot_items
 def pivot_items(long: DataFrame, value: str, items: Sequence[str], index: str = "date",
                 item_col: str = "item", prefix: str = "") -> DataFrame:
-    """Long -> matrix index x item; the item list is given (no distinct pre-pass)."""
-    p = long.groupBy(index).pivot(item_col, list(items)).agg(F.max(value))
+    """Long -> matrix index x item; the item list is given (no distinct pre-pass), and an item
+    outside it fails the job instead of vanishing."""
+    bad = F.raise_error(F.concat(F.lit("item outside the given list: "), F.coalesce(F.col(item_col), F.lit("null"))))
+    known = F.when(F.col(item_col).isin(list(items)), F.col(item_col)).otherwise(bad.cast("string"))
+    p = long.withColumn(item_col, known).groupBy(index).pivot(item_col, list(items)).agg(F.max(value))
     if prefix:
         p = p.select(index, *[quoted(i).alias(prefix + i) for i in items])
     return p

@@ -151,7 +151,8 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("item", T.StringType()), T.StructField("date", T.DateType()),
     T.StructField("delivered", T.LongType()), T.StructField("demand", T.LongType()),
     T.StructField("sold", T.LongType()), T.StructField("short", T.LongType()),
-    T.StructField("waste", T.LongType()), T.StructField("closing", T.LongType())])
+    T.StructField("waste", T.LongType()), T.StructField("closing", T.LongType()),
+    T.StructField("left", T.ArrayType(T.LongType()))])
 
 
 def fifo_sell(buckets: list[int], demand: int) -> tuple[list[int], int]:
@@ -167,13 +168,17 @@ def fifo_sell(buckets: list[int], demand: int) -> tuple[list[int], int]:
 
 
 def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHELF_DAYS,
-                 key: str = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS) -> DataFrame:
+                 key: str = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS,
+                 with_left: bool = False) -> DataFrame:
     """Day-by-day ledger per key over the dense calendar: lots arrive, demand is served
     first-in-first-out from unexpired lots, the shortfall is recorded, and a lot not
     sold by expiry (received + shelf_days) is waste the day after. Invariant:
     sum(delivered) = sum(sold) + sum(waste) + closing on the last day.
 
-    Plan: daily flows -> dense per key (hash-partitioned by key) -> sorted within
+    ``with_left`` adds what is left of each lot at the day's close, the lot that expires
+    that day first.
+
+    Plan: daily flows -> dense per key -> hash-partitioned by key and sorted within
     partitions -> vectorised fold over chunks of whole keys (:mod:`folds`)."""
     d = deliveries.select(F.col(key).alias("item"), "date", F.col("qty").cast("bigint").alias("delivered"),
                           F.lit(0).cast("bigint").alias("demand"))
@@ -181,14 +186,25 @@ def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHE
                       F.col("qty").cast("bigint").alias("demand"))
     flows = (d.unionByName(m).groupBy("item", "date")
              .agg(F.sum("delivered").alias("delivered"), F.sum("demand").alias("demand")))
-    dense = densify(flows, ("item",), ("delivered", "demand"), span=span).sortWithinPartitions("item", "date")
+    dense = densify(flows, ("item",), ("delivered", "demand"), span=span)
+    # the fold needs whole keys in a partition: say so, whatever the plan below provides
+    dense = dense.repartition("item").sortWithinPartitions("item", "date")
 
     def run(batches):
         return folds.keyed_chunks(batches, "item", lambda c: folds.ledger_fold(c, shelf_days), chunk_rows)
     out = dense.mapInPandas(run, LEDGER_SCHEMA)
+    out = out if with_left else out.drop("left")
     return out if key == "item" else out.withColumnRenamed("item", key)
 
 
+def lots_left(ledger: DataFrame, as_of, key: str = "item") -> DataFrame:
+    """Lots on hand when ``as_of`` opens: what the ledger (``with_left``) has left at the close of
+    the day before, as ``(item, expiry, qty)`` with qty > 0. A lot that expired that day is still listed, with an expiry before as_of."""
+    day = F.date_sub(date_lit(as_of), 1)
+    lots = ledger.where(F.col("date") == day).select(key, "date", F.posexplode("left").alias("age", "qty"))
+    return lots.where("qty > 0").select(key, F.expr("date_add(date, age)").alias("expiry"), "qty")
+
+
 # -------------------------------------------------------------- 66. policy_backtest
 BACKTEST_SCHEMA = T.StructType([
     T.StructField("dish", T.StringType()), T.StructField("date", T.DateType()),

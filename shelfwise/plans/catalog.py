@@ -66,7 +66,7 @@ def parse_dates(spark, sf_dir):
 @query
 def write_forecast(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    f = i.item_forecast.where(F.year("date") == P.TEST_YEAR).select("date", "item", "pred")
+    f = i.item_forecast.select("date", "item", "pred")
     out = daily.write_forecast(f, scratch_path(spark, "forecast"), "parquet")
     return daily.read_forecast(spark, out).select("date", "item", r6("pred").alias("pred"))
 
@@ -258,8 +258,7 @@ def split_by_year(spark, sf_dir):
 @query
 def forecast_vs_actual(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    f = i.item_forecast.where(F.year("date") == P.TEST_YEAR)
-    p = fc.forecast_vs_actual(f, i.dense)
+    p = fc.forecast_vs_actual(i.item_forecast, i.dense)
     return p.select("date", "item", r6("pred").alias("pred"), "actual")
 
 
@@ -278,7 +277,7 @@ def _aligned(i: Inputs) -> DataFrame:
 
 def _order_inputs(i: Inputs) -> DataFrame:
     f = i.dish_forecast.where(F.col("date") == F.lit(P.AS_OF).cast("date")).select("dish", "date", "forecast")
-    usable = sk.usable_stock(i.lots, P.AS_OF).withColumnRenamed("item", "dish")   # stock key = dish
+    usable = sk.usable_stock(i.stock, P.AS_OF).withColumnRenamed("item", "dish")   # stock key = dish
     return po.order_inputs(f, i.share_buffers, usable)
 
 
@@ -352,7 +351,7 @@ def bias_factors(spark, sf_dir):
 
 @query
 def usable_stock(spark, sf_dir):
-    return sk.usable_stock(Inputs(spark, sf_dir).lots, P.AS_OF)
+    return sk.usable_stock(Inputs(spark, sf_dir).stock, P.AS_OF)
 
 
 def _ratios(i: Inputs) -> DataFrame:
@@ -449,7 +448,6 @@ def _model_frames(spark, sf_dir):
 def standardize(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     f = fe.dow_rolling_mean(fe.trend(i.dense_cal, (7, 14)), 6)
-    f = f.where(F.year("date").isin(P.TRAIN_YEAR, P.TEST_YEAR))
     cols = ["trend_7", "trend_14", "dow_avg"]
     z = st.standardize(f, cols, fit=f.where(F.year("date") == P.TRAIN_YEAR))
     return z.select("date", "item", *[r6(c).alias(c) for c in cols])
@@ -481,9 +479,8 @@ def predict(spark, sf_dir):
 def _two_scores(i: Inputs) -> DataFrame:
     """Two deterministic score columns standing in for the learners' outputs."""
     f = fe.trend(i.item_forecast, (7,), exclude_current=True)
-    return (f.where(F.year("date") == P.TEST_YEAR)
-            .select("date", "item", F.col("pred").alias("rf_pred"),
-                    F.coalesce(F.col("trend_7"), F.lit(0.0)).alias("gbt_pred")))
+    return f.select("date", "item", F.col("pred").alias("rf_pred"),
+                    F.coalesce(F.col("trend_7"), F.lit(0.0)).alias("gbt_pred"))
 
 
 @query
@@ -496,7 +493,7 @@ def blend(spark, sf_dir):
 def apply_bias(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     factors = st.bias_factors(_test_pairs(i, P.TRAIN_YEAR))
-    f = fc.apply_bias(i.item_forecast.where(F.year("date") == P.TEST_YEAR), factors)
+    f = fc.apply_bias(i.item_forecast, factors)
     return f.select("date", "item", r6("pred_adj").alias("pred_adj"))
 
 
@@ -530,7 +527,7 @@ def _ratios_by_day(i: Inputs) -> DataFrame:
 @query
 def waste_adjust_forecast(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    f = i.dish_forecast.where(F.year("date") == P.TEST_YEAR).select("dish", "date", "forecast")
+    f = i.dish_forecast.select("dish", "date", "forecast")
     out = po.waste_adjust_forecast(f, _ratios_by_day(i), on=("dish", "date"))
     return out.select("dish", "date", r6("forecast").alias("forecast"), r6("forecast_adj").alias("forecast_adj"))
 
@@ -538,7 +535,7 @@ def waste_adjust_forecast(spark, sf_dir):
 @query
 def waste_adjust_buffer(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    days = i.dish_forecast.where(F.year("date") == P.TEST_YEAR).select("dish", "date")
+    days = i.dish_forecast.select("dish", "date")
     b = days.join(i.share_buffers, "dish", "left")
     out = po.waste_adjust_buffer(b, _ratios_by_day(i), on=("dish", "date"))
     return out.select("dish", "date", "buffer", r6("buffer_adj").alias("buffer_adj"))
@@ -558,12 +555,12 @@ def stock_ledger(spark, sf_dir):
 
 @query
 def stock_on_hand(spark, sf_dir):
-    return sk.stock_on_hand(Inputs(spark, sf_dir).lots, P.AS_OF)
+    return sk.stock_on_hand(Inputs(spark, sf_dir).stock, P.AS_OF)
 
 
 @query
 def near_expiry(spark, sf_dir):
-    return sk.near_expiry(Inputs(spark, sf_dir).lots, P.AS_OF, P.NEAR_EXPIRY_DAYS)
+    return sk.near_expiry(Inputs(spark, sf_dir).stock, P.AS_OF, P.NEAR_EXPIRY_DAYS)
 
 
 @query

@@ -60,6 +60,13 @@ class Inputs:
     def lots(self) -> DataFrame:
         return stock.receive(self.deliveries)
 
+    @cached_property
+    def stock(self) -> DataFrame:
+        """Lots left when the as-of date opens, from the recorded ledger up to the day before."""
+        before = F.col("date") < F.lit(P.AS_OF).cast("date")
+        led = stock.stock_ledger(self.deliveries.where(before), self.demand.where(before), with_left=True)
+        return stock.lots_left(led, P.AS_OF)
+
     @cached_property
     def holidays(self) -> DataFrame:
         return cal.holiday_calendar(self.sales.select("date"), P.HOLIDAY_MONTH_DAYS)

@@ -211,6 +211,11 @@ CTES["flows"] = ("""
     LEFT JOIN fx_delivery dl ON dl.item = k.item AND dl.date = b.lo + CAST(g.i AS INT)
     LEFT JOIN fx_demand dm ON dm.item = k.item AND dm.date = b.lo + CAST(g.i AS INT)
     WHERE g.i <= b.hi - b.lo""", ("fx_delivery", "fx_demand"))
+CTES["lots_left"] = (f"""
+    SELECT item, CAST(date + age AS DATE) AS expiry, qty
+    FROM (SELECT item, date, 0 AS age, b3 AS qty FROM ledger_rec UNION ALL SELECT item, date, 1, b2 FROM ledger_rec
+          UNION ALL SELECT item, date, 2, b1 FROM ledger_rec UNION ALL SELECT item, date, 3, b0 FROM ledger_rec)
+    WHERE date = {AS_OF} - 1 AND qty > 0""", ("ledger_rec",))
 RECURSIVE = {
     "bt_adaptive": (_backtest_cte("bt_adaptive", True), ("bt_plan",)),
     "bt_standard": (_backtest_cte("bt_standard", False), ("bt_plan",)),
@@ -283,7 +288,7 @@ SELECT TRY_CAST(txt AS DATE) AS "Date", item, qty
 FROM (SELECT CASE WHEN qty >= 45 THEN 'n/a' ELSE CAST(date AS VARCHAR) END AS txt, item, qty FROM fx_sales)
 WHERE TRY_CAST(txt AS DATE) IS NOT NULL""")
 _add("write_forecast", ("item_fc",), f"""
-SELECT date, item, round(pred, 6) AS pred FROM item_fc WHERE year(date) = {P.TEST_YEAR}""")
+SELECT date, item, round(pred, 6) AS pred FROM item_fc""")
 
 # --------------------------------------------------------------------- reshape
 _add("unpivot_measures", ("fx_sales",), f"""
@@ -384,7 +389,7 @@ _add("dish_rollup", ("dish_daily",), "SELECT date, dish, qty FROM dish_daily")
 _add("split_by_year", ("dense",), f"""
 SELECT date, item, qty, CASE WHEN year(date) = {P.TRAIN_YEAR} THEN 'train' ELSE 'test' END AS split
 FROM dense WHERE year(date) IN ({P.TRAIN_YEAR}, {P.TEST_YEAR})""")
-_add("forecast_vs_actual", ("test_pairs",), "SELECT date, item, round(pred, 6) AS pred, actual FROM test_pairs")
+_add("forecast_vs_actual", ("item_fc",), "SELECT date, item, round(pred, 6) AS pred, qty AS actual FROM item_fc")
 
 _ALIGNED = f"""
 , daily AS (SELECT date, CAST(sum(revenue) AS DOUBLE) AS sales FROM fx_sales GROUP BY date)
@@ -399,11 +404,11 @@ _ALIGNED = f"""
   FROM cur c LEFT JOIN daily b ON b.date = c.base_date)
 """
 _add("yoy_weekday_aligned", ("fx_sales",), _ALIGNED + "SELECT date, weekday, sales, base_date, base_sales FROM aligned")
-_add("order_inputs", ("dish_fc", "share_buffers", "lots"), f"""
+_add("order_inputs", ("dish_fc", "share_buffers", "lots_left"), f"""
 SELECT f.dish, f.date, f.forecast, coalesce(b.buffer, 0.0) AS buffer, CAST(coalesce(u.usable, 0) AS BIGINT) AS usable
 FROM (SELECT dish, date, forecast FROM dish_fc WHERE date = {AS_OF}) f
 LEFT JOIN share_buffers b ON b.dish = f.dish
-LEFT JOIN (SELECT item AS dish, sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS usable FROM lots GROUP BY item) u
+LEFT JOIN (SELECT item AS dish, sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS usable FROM lots_left GROUP BY item) u
   ON u.dish = f.dish""")
 _add("fifo_allocate", ("lots", "fx_demand"), """
 , l AS (SELECT item, expiry, qty, sum(qty) OVER (PARTITION BY item ORDER BY expiry ROWS UNBOUNDED PRECEDING) AS hi
@@ -431,8 +436,8 @@ SELECT round(avg(rmse), 6) AS avg_rmse, round(avg(mae), 6) AS avg_mae, round(avg
 _add("bias_factors", ("train_pairs",), """
 SELECT item, round(CASE WHEN avg(pred) > 0 THEN avg(actual) / avg(pred) ELSE 1.0 END, 6) AS bias_factor
 FROM train_pairs GROUP BY item""")
-_add("usable_stock", ("lots",), f"""
-SELECT item, CAST(sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS BIGINT) AS usable FROM lots GROUP BY item""")
+_add("usable_stock", ("lots_left",), f"""
+SELECT item, CAST(sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS BIGINT) AS usable FROM lots_left GROUP BY item""")
 _add("waste_ratio", ("bt_adaptive",), f"""
 SELECT dish, waste, orders, round(waste_ratio, 6) AS waste_ratio, round(waste_ratio * 100, 2) AS waste_pct
 FROM ({_ratio_sql('bt_adaptive')})""")
@@ -503,7 +508,7 @@ _add("standardize", ("dense_cal",), f"""
                avg(qty) OVER (PARTITION BY item ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS trend_14,
                avg(qty) OVER (PARTITION BY item, dow ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS dow_avg
         FROM dense_cal)
-, f2 AS (SELECT * FROM f WHERE year(date) IN ({P.TRAIN_YEAR}, {P.TEST_YEAR}))
+, f2 AS (SELECT * FROM f)
 , s AS (SELECT {", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _STD_COLS)}
         FROM f2 WHERE year(date) = {P.TRAIN_YEAR})
 SELECT date, item, {", ".join(
@@ -517,12 +522,12 @@ _add("blend", ("item_fc",), f"""
 SELECT date, item,
        round(CASE WHEN item IN {_in(P.HARD)} THEN gbt_pred ELSE rf_pred * 0.6::DOUBLE + gbt_pred * 0.4::DOUBLE END, 6)
          AS pred
-FROM s WHERE year(date) = {P.TEST_YEAR}""")
+FROM s""")
 _add("apply_bias", ("item_fc", "train_pairs"), f"""
 , bf AS (SELECT item, CASE WHEN avg(pred) > 0 THEN avg(actual) / avg(pred) ELSE 1.0 END AS bias_factor
          FROM train_pairs GROUP BY item)
 SELECT f.date, f.item, round(greatest(f.pred * coalesce(bf.bias_factor, 0.85::DOUBLE), 0.0::DOUBLE), 6) AS pred_adj
-FROM item_fc f LEFT JOIN bf ON bf.item = f.item WHERE year(f.date) = {P.TEST_YEAR}""")
+FROM item_fc f LEFT JOIN bf ON bf.item = f.item""")
 
 # ---------------------------------------------------------------------- policy
 _add("buffers_rmse", ("rep", "train_stats", "accuracy"), f"""
@@ -545,24 +550,22 @@ _add("waste_adjust_forecast", ("bt_adaptive", "dish_fc"), f"""
 SELECT f.dish, f.date, round(f.forecast, 6) AS forecast,
        round(f.forecast * CASE WHEN r.waste_ratio IS NULL THEN 1.0::DOUBLE ELSE {_ladder_sql('r.waste_ratio')} END, 6)
          AS forecast_adj
-FROM dish_fc f LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date
-WHERE year(f.date) = {P.TEST_YEAR}""")
+FROM dish_fc f LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date""")
 _add("waste_adjust_buffer", ("bt_adaptive", "dish_fc", "share_buffers"), f"""
 SELECT f.dish, f.date, s.buffer,
        round({_buffer_sql('s.buffer', 'r.waste_ratio', 'coalesce(r.orders, 0)')}, 6) AS buffer_adj
 FROM dish_fc f LEFT JOIN share_buffers s ON s.dish = f.dish
-LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date
-WHERE year(f.date) = {P.TEST_YEAR}""")
+LEFT JOIN {_RATIOS_BY_DAY} r ON r.dish = f.dish AND r.date = f.date""")
 
 # ----------------------------------------------------------------------- stock
 _add("receive", ("lots",), "SELECT item, expiry, qty FROM lots")
 _add("stock_ledger", ("ledger_rec",), """
 SELECT item, date, delivered, demand, sold, short, waste, CAST(b0 + b1 + b2 + b3 AS BIGINT) AS closing
 FROM ledger_rec WHERE n >= 0""")
-_add("stock_on_hand", ("lots",), f"""
-SELECT item, qty, expiry, CAST(expiry - {AS_OF} AS INTEGER) AS days_left FROM lots WHERE qty > 0""")
-_add("near_expiry", ("lots",), f"""
-SELECT item, qty, expiry, CAST(expiry - {AS_OF} AS INTEGER) AS days_left FROM lots
+_add("stock_on_hand", ("lots_left",), f"""
+SELECT item, qty, expiry, CAST(expiry - {AS_OF} AS INTEGER) AS days_left FROM lots_left WHERE qty > 0""")
+_add("near_expiry", ("lots_left",), f"""
+SELECT item, qty, expiry, CAST(expiry - {AS_OF} AS INTEGER) AS days_left FROM lots_left
 WHERE expiry - {AS_OF} BETWEEN 0 AND {P.NEAR_EXPIRY_DAYS}""")
 _add("policy_backtest", ("bt_adaptive",), f"SELECT {BACKTEST_OUT} FROM bt_adaptive WHERE n > 0")
 _add("policy_compare", ("bt_adaptive", "bt_standard", "price"), f"""

@@ -7,6 +7,7 @@ day, one column per item and measure) from long sales, used to round-trip that l
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,12 @@ def scan_daily(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "FAILFAST")
         if schema is not None:
-            reader = reader.schema(schema)
+            # the header must carry the declared names in the declared order: columns are
+            # bound by position, and a reordered file would swap their values
+            reader = reader.schema(schema).option("enforceSchema", False)
+            header = spark.read.option("header", True).csv(path).columns
+            if date_col not in header:
+                raise ValueError(f"daily table at {path} has no '{date_col}' column")
         df = reader.csv(path)
     else:
         df = reader.schema(schema).parquet(path) if schema is not None else reader.parquet(path)
@@ -54,11 +60,17 @@ def wide_schema(items: Sequence[str], date_type: T.DataType = T.DateType(),
     return T.StructType(fields)
 
 
+def known_items(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """df, failing on the first item outside the given list instead of dropping it."""
+    bad = F.raise_error(F.concat(F.lit("item outside the given list: "), F.coalesce("item", F.lit("null"))))
+    return df.withColumn("item", F.when(F.col("item").isin(list(items)), F.col("item")).otherwise(bad.cast("string")))
+
+
 def daily_wide(sales: DataFrame, items: Sequence[str], with_weekdays: bool = True) -> DataFrame:
     """Long ``(date, item, qty, revenue)`` -> one row per day, a quantity and a revenue
     column per item. The item list is given, so the pivot needs no extra distinct job.
     One shuffle on ``date``."""
-    p = (sales.groupBy("date").pivot("item", list(items))
+    p = (known_items(sales, items).groupBy("date").pivot("item", list(items))
          .agg(F.max("qty").alias("q"), F.max(F.col("revenue").cast("double")).alias("r")))
     cols = [F.col("date").alias(DATE_COL)]
     if with_weekdays:
@@ -94,9 +106,9 @@ def parse_dates(df: DataFrame, col: str = DATE_COL, mode: str = "strict",
 def write_forecast(df: DataFrame, path: str, fmt: str = "parquet", name: str = "forecast",
                    stamp: str | None = None, partition_by: Sequence[str] | None = None) -> str:
     """Write predictions/orders under ``path/<name>_<timestamp>``; returns that folder."""
-    stamp = stamp or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    stamp = stamp or f"{_dt.datetime.now(_dt.timezone.utc):%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
     out = f"{path.rstrip('/')}/{name}_{stamp}"
-    w = df.write.mode("overwrite")
+    w = df.write.mode("errorifexists")  # a save never replaces another
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

@@ -45,8 +45,8 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
     """File stream over the events table (schema taken from the table, not inferred)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # a pattern that only this name matches: it may be one file or a folder of part files
+    return spark.readStream.schema(schema).parquet(path[:-1] + "[t]")
 
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> str:

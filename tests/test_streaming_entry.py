@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF001, d
 from shelfwise.operators import stock as sk
 from shelfwise.streaming import daily as sd
+from shelfwise.plans.catalog import QUERIES
 from shelfwise.streaming import ledger as sl
 
 
@@ -81,7 +82,7 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() == 25
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(E.queries()) == 69
+    assert len(QUERIES) == 69 and set(QUERIES) <= set(E.queries())
 
 
 FAST = ["densify", "calendar_features", "lags", "trend", "sales_ratio_dow", "unit_price", "fifo_allocate",
