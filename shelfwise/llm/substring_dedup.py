@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, row_key, shuffle_partitions
+from shelfwise.llm.common import row_key, shuffle_partitions
 from shelfwise.llm.textvec import Words, chunks, grams, mix, ranges
 
 MINI = 2                # words of a minimiser
@@ -83,7 +83,6 @@ def _unframe(blob: bytes) -> list[bytes]:
     return out
 
 
-BROADCAST_RANGES = 1 << 20  # at most so many removed ranges are broadcast; beyond: a shuffle of the texts
 SLAB_BYTES = 4 << 20    # text among which equal super-k-mers collapse
 
 
@@ -260,10 +259,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
 
     found = (known.mapInArrow(_deal(size, buckets, flags), "bucket int, settled boolean, blob binary")
              .groupBy("bucket").applyInArrow(_repeats(size), "row_key long, first int, last int"))
-    spans = materialise(found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")),
-                        "spans")
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return (docs.join(F.broadcast(spans) if total <= BROADCAST_RANGES else spans, "row_key", "left")
+    spans = found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return (docs.join(spans, "row_key", "left")
             .select("doc_id", "text", "spans")
             .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string"))
 
