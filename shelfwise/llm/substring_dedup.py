@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import row_key, shuffle_partitions
+from shelfwise.llm.common import materialise, row_key, shuffle_partitions
 from shelfwise.llm.textvec import Words, chunks, grams, mix, ranges
 
 MINI = 2                # words of a minimiser
@@ -259,7 +259,9 @@ def remove_repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
 
     found = (known.mapInArrow(_deal(size, buckets, flags), "bucket int, settled boolean, blob binary")
              .groupBy("bucket").applyInArrow(_repeats(size), "row_key long, first int, last int"))
-    spans = found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # written first: the super-k-mers' shuffle is over before the texts' begins
+    spans = materialise(found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")),
+                        "spans")
     return (docs.join(spans, "row_key", "left")
             .select("doc_id", "text", "spans")
             .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string"))
