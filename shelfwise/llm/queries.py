@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
-    ann, best_fit_packing, decontamination, jaccard_join, language_id, lm_scoring, secret_scan, sharding,
+    ann, best_fit_packing, decontamination, jaccard_join, language_id, lm_scoring, quality, secret_scan, sharding,
     substring_dedup)
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.oracle import ORACLE_SQL
@@ -45,6 +45,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = quality.training_labels(table(spark, sf_dir, "labels"))
+    held = held_out(F.col("doc_id"), 4, 2).alias("held_out")
+    return quality.judge(docs, labels, quality.fit(docs, labels)).select("doc_id", held, "host", "path", "n_words", "doc_quality", "site_quality", F.col("quality_score").alias("score"),
+                                                                         "doc_toxic", "site_toxic", "toxic_score", "keep")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -82,7 +90,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_substring_dedup, op3_best_fit_packing, op5_jaccard_join, op6_lm_scoring, op7_sharding,
+    op1_secret_scan, op2_substring_dedup, op3_best_fit_packing, op4_quality, op5_jaccard_join, op6_lm_scoring, op7_sharding,
     op8_decontamination, op9_language_id, op10_ann)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
