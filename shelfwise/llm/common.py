@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 8 << 20  # of an Arrow batch of texts on its way to Python
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes, not only the rows, of the Arrow batches that this session's tasks exchange with Python; a smaller bound
+    of the session's own stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).lower().removesuffix("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet into a fresh folder of the shared checkpoint directory and read
     it back: lineage ends there, and a lost executor costs one stage at most."""

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, row_key, shuffle_partitions
+from shelfwise.llm.common import bounded_batches, materialise, row_key, shuffle_partitions
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.textvec import Words, chunks, grams, mix, whole
 
@@ -39,6 +39,7 @@ SEGMENTS = 64           # in which the table is added up
 HOT_FACTOR, HOT_LEAST = 8, 64   # a cell is common beyond this many times the mean and this count
 MAP_WORDS = 8           # 64-bit words of a parity bitmap
 BUCKET_ROWS = 1 << 20   # shingles of the input per bucket
+SEEN_SETS = 1 << 16     # sets that a task remembers to skip repeats early; repeats it misses meet in the next shuffle
 BROADCAST_IDS = 1 << 20  # at most so many ids are broadcast to pick documents; beyond: shuffle join
 
 _U = np.uint64
@@ -89,9 +90,9 @@ def _profiles(words: int):
     names = [c.split()[0] for c in _PROFILE.split(", ")]
 
     def run(batches):
+        cells = np.zeros(1 << CELL_BITS, np.int64)  # of all batches of the task
         for batch in batches:
             n, d1, d2 = [], [], []
-            cells = np.zeros(1 << CELL_BITS, np.int64)
             for _, _, raw, offs in chunks(batch.column("text")):
                 sets = shingle_sets(raw, offs, words)
                 for s in sets:
@@ -105,13 +106,13 @@ def _profiles(words: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), batch.column("row_key"), batch.column("doc_id"), pa.array(n, pa.int32()),
                  pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.binary())], names=names)
-            parts = [(i, _pack(p.astype(np.uint32))) for i, p in enumerate(cells.reshape(SEGMENTS, -1)) if p.any()]
-            k = len(parts)
-            if k:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                     pa.array([i for i, _ in parts], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                     pa.array([b for _, b in parts], pa.binary())], names=names)
+        parts = [(i, _pack(np.minimum(p, 0xFFFFFFFF).astype(np.uint32))) for i, p in enumerate(cells.reshape(SEGMENTS, -1)) if p.any()]
+        k = len(parts)
+        if k:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                 pa.array([i for i, _ in parts], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                 pa.array([b for _, b in parts], pa.binary())], names=names)
     return run
 
 
@@ -158,8 +159,11 @@ def _prefixes(words: int, percent: int, buckets: int, common):
     def run(batches):
         hot = np.unpackbits(np.frombuffer(common.value, np.uint8)).astype(bool)
         nxt = TaskContext.get().partitionId() << 34  # ids are written with the task's output, so they agree
+        seen = set()
         for batch in batches:
-            seen, toks, lids, rows = set(), [], [], []
+            toks, lids, rows = [], [], []
+            if len(seen) > SEEN_SETS:
+                seen.clear()
             for _, _, raw, offs in chunks(batch.column("text")):
                 for s in shingle_sets(raw, offs, words):
                     n = len(s)
@@ -305,6 +309,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     Rows are compared by text: rows that share a doc_id keep their own result, and a null doc_id takes part in
     linking but never becomes a component's id unless nothing else is there. Extra columns are ignored."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     profiles = materialise(docs.mapInArrow(_profiles(words), _PROFILE), "profiles", by="kind")
     rows = profiles.where("kind = 0").select("row_key", "doc_id", "n", "d1", "d2")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+from shelfwise.llm.common import bounded_batches
 from shelfwise.llm.textvec import as_array, chunks
 
 DIMS = 4096                 # hashed trigrams
@@ -132,6 +133,7 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMP
     """training(doc_id, text, lang): rows with a null text or lang are left out. The clustering sample takes rows by a hash of id and
     text, at most about ``sample_rows`` in all and SAMPLE_PER_LANGUAGE of a language."""
     spark = training.sparkSession
+    bounded_batches(spark)
     rows = training.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
