@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_BYTES = 8 << 20  # of an Arrow batch of texts on its way to Python
+BATCH_BYTES = 2 << 20  # of an Arrow batch of texts on its way to Python
 
 
 def bounded_batches(spark: SparkSession) -> None:

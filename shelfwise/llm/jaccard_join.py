@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import bounded_batches, materialise, row_key, shuffle_partitions
 from shelfwise.llm.components import connected_components
-from shelfwise.llm.textvec import Words, chunks, grams, mix, whole
+from shelfwise.llm.textvec import SMALL_BYTES, Words, chunks, grams, mix, whole
 
 CELL_BITS = 20          # count table of 2**20 cells
 SEGMENTS = 64           # in which the table is added up
 HOT_FACTOR, HOT_LEAST = 8, 64   # a cell is common beyond this many times the mean and this count
+COUNT_AT_ONCE = 1 << 19  # shingles added to a task's count table in one go
 MAP_WORDS = 8           # 64-bit words of a parity bitmap
 BUCKET_ROWS = 1 << 20   # shingles of the input per bucket
 SEEN_SETS = 1 << 16     # sets that a task remembers to skip repeats early; repeats it misses meet in the next shuffle
@@ -91,21 +92,27 @@ def _profiles(words: int):
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.int64)  # of all batches of the task
+        waiting, found = [], 0
         for batch in batches:
             n, d1, d2 = [], [], []
-            for _, _, raw, offs in chunks(batch.column("text")):
+            for _, _, raw, offs in chunks(batch.column("text"), SMALL_BYTES):
                 sets = shingle_sets(raw, offs, words)
                 for s in sets:
                     x, y = digest(s)
                     n.append(len(s)), d1.append(x), d2.append(y)
-                cells += np.bincount((np.concatenate(sets) >> _U(64 - CELL_BITS)).astype(np.int64),
-                                     minlength=1 << CELL_BITS)
+                waiting.append((np.concatenate(sets) >> _U(64 - CELL_BITS)).astype(np.int32))
+                found += len(waiting[-1])
+                if found > COUNT_AT_ONCE:
+                    cells += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS)
+                    waiting, found = [], 0
             m = len(n)
             if not m:
                 continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), batch.column("row_key"), batch.column("doc_id"), pa.array(n, pa.int32()),
                  pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+        if waiting:
+            cells += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS)
         parts = [(i, _pack(np.minimum(p, 0xFFFFFFFF).astype(np.uint32))) for i, p in enumerate(cells.reshape(SEGMENTS, -1)) if p.any()]
         k = len(parts)
         if k:
@@ -164,7 +171,7 @@ def _prefixes(words: int, percent: int, buckets: int, common):
             toks, lids, rows = [], [], []
             if len(seen) > SEEN_SETS:
                 seen.clear()
-            for _, _, raw, offs in chunks(batch.column("text")):
+            for _, _, raw, offs in chunks(batch.column("text"), SMALL_BYTES):
                 for s in shingle_sets(raw, offs, words):
                     n = len(s)
                     if not n or (key := (n, *digest(s))) in seen:
@@ -219,7 +226,7 @@ def _unpacked(batches):
 def _sets(words: int):
     def run(batches):
         for batch in batches:
-            for a, b, raw, offs in chunks(batch.column("text")):
+            for a, b, raw, offs in chunks(batch.column("text"), SMALL_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("rep").slice(a, b - a),
                      pa.array([s.view(np.int64) for s in shingle_sets(raw, offs, words)], pa.list_(pa.int64()))],
@@ -231,7 +238,7 @@ def _long_maps(words: int):
     def run(batches):
         """Parity maps with at least as many bits as the set has elements, a power of two."""
         for batch in batches:
-            for a, b, raw, offs in chunks(batch.column("text")):
+            for a, b, raw, offs in chunks(batch.column("text"), SMALL_BYTES):
                 n, out = [], []
                 for s in shingle_sets(raw, offs, words):
                     bits = 1 << max(9, len(s).bit_length())

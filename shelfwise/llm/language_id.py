@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from shelfwise.llm.common import bounded_batches
-from shelfwise.llm.textvec import as_array, chunks
+from shelfwise.llm.textvec import SMALL_BYTES, as_array, chunks
 
 DIMS = 4096                 # hashed trigrams
 CENTROIDS = 3               # per language
@@ -26,7 +26,7 @@ SAMPLE_ROWS = 2048          # bound of the clustering sample, over all languages
 SAMPLE_PER_LANGUAGE = 512   # and of each
 REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.5
 UNKNOWN = "und"
-_SLICE_DOCS = 512
+_SLICE_DOCS = 64            # dense vectors held at once
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -54,7 +54,7 @@ def trigram_counts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def slices(column):
     """(first row, has letters, trigram counts) of the batch, a bounded number of rows each."""
     lowered = pc.utf8_lower(as_array(column))
-    for a, _, raw, offs in chunks(lowered):
+    for a, _, raw, offs in chunks(lowered, SMALL_BYTES):
         for x in range(0, len(offs) - 1, _SLICE_DOCS):
             o = offs[x:x + _SLICE_DOCS + 1]
             part = raw[o[0]:o[-1]]

@@ -1,8 +1,8 @@
 """Whole-column text scans in numpy: words, word hashes and n-gram hashes of an Arrow
 batch, without a Python object per word.
 
-A batch is cut into chunks of whole documents of about ``CHUNK_BYTES`` so that memory is
-bounded by a chunk (or by one longer document), whatever the batch size.
+A batch is cut into chunks of whole documents of about ``CHUNK_BYTES`` (or as asked) so that
+memory is bounded by a chunk (or by one longer document), whatever the batch size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+SMALL_BYTES = 1 << 18    # where many arrays of a word's or a byte's width live at once
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,7 +59,7 @@ def as_array(col) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def chunks(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole documents; the offsets have
     one entry more than there are rows and start at 0."""
     arr = as_array(col)
@@ -70,7 +71,7 @@ def chunks(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = int(np.searchsorted(offs, offs[a] + CHUNK_BYTES, "right")) - 1
+        b = int(np.searchsorted(offs, offs[a] + size, "right")) - 1
         b = min(n, max(b, a + 1))
         yield a, b, raw[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
         a = b
