@@ -583,3 +583,30 @@ SELECT CAST(date_trunc('day', ts) AS DATE) AS day, user_id, count(*) AS n_events
 FROM events WHERE event_type = 'purchase'
 GROUP BY 1, 2
 HAVING CAST(date_trunc('day', ts) AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY""")
+# days that the watermark (latest event less one day) has closed, one step a day over four age buckets
+_add("stream_stock_ledger", (), """
+WITH RECURSIVE ev AS (
+  SELECT user_id, ts, CAST(ts AS DATE) AS date, CASE WHEN event_type = 'signup' THEN value ELSE 0.0 END AS dl,
+         CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END AS dm
+  FROM events WHERE event_type IN ('signup', 'purchase') AND ts IS NOT NULL),
+edge AS (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) AS upto FROM ev),
+flow AS (SELECT user_id, date, coalesce(sum(dl), 0.0) AS dl, coalesce(sum(dm), 0.0) AS dm FROM ev GROUP BY user_id, date),
+grid AS (
+  SELECT user_id, CAST(unnest(generate_series(min(date), max(upto) - 1, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM flow, edge WHERE date < upto GROUP BY user_id),
+days AS (
+  SELECT user_id, date, row_number() OVER (PARTITION BY user_id ORDER BY date) AS n, flow.dl IS NOT NULL AS busy,
+         coalesce(dl, 0.0) AS dl, coalesce(dm, 0.0) AS dm
+  FROM grid LEFT JOIN flow USING (user_id, date)),
+led AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS date, false AS busy, 0.0::DOUBLE AS dl, 0.0::DOUBLE AS dm,
+         0.0::DOUBLE AS had, 0.0::DOUBLE AS waste, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+  FROM days WHERE n = 1
+  UNION ALL
+  SELECT d.user_id, d.n, d.date, d.busy, d.dl, d.dm, d.dl + l.b0 + l.b1 + l.b2, l.b3,
+         least(greatest(l.b2 + l.b1 + l.b0 + d.dl - d.dm, 0.0), d.dl), least(greatest(l.b2 + l.b1 + l.b0 - d.dm, 0.0), l.b0),
+         least(greatest(l.b2 + l.b1 - d.dm, 0.0), l.b1), least(greatest(l.b2 - d.dm, 0.0), l.b2)
+  FROM led l JOIN days d ON d.user_id = l.user_id AND d.n = l.n + 1)
+SELECT user_id, date, round(dl, 6) AS delivered, round(dm, 6) AS demand, round(least(dm, had), 6) AS sold,
+       round(greatest(dm - had, 0.0), 6) AS short, round(waste, 6) AS waste, round(b0 + b1 + b2 + b3, 6) AS closing
+FROM led WHERE n > 0 AND (busy OR waste > 1e-9)""")

@@ -56,11 +56,41 @@ def test_stream_ledger_equals_batch_ledger(spark, tmp_path):
                             spark.createDataFrame(dm, "date date, item string, qty bigint")).toPandas()
     out["item"] = out.user_id.astype(str)
     m = batch.merge(out, on=["item", "date"], suffixes=("_b", "_s"))
-    assert len(m) == len(batch) == 24
+    # the watermark stands at Jan 11 18:00: ten days of both keys are closed
+    assert len(out) == 20 and out.date.max() == d("2024-01-10")
+    assert len(m) == 20 and len(batch) == 24
     for c in ("delivered", "demand", "sold", "short", "waste", "closing"):
         assert (m[f"{c}_b"].astype(float) == m[f"{c}_s"]).all(), c
 
 
+def _ledger_in_batches(spark, tmp_path, name, batches):
+    """Ledger rows after the given batches of events, each its own micro-batch."""
+    src = tmp_path / name
+    src.mkdir()
+    schema = "user_id bigint, ts timestamp, kind string, qty double"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+    q = (sl.stream_stock_ledger(stream).writeStream.format("memory").queryName(name).outputMode("append").start())
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"b{i}"))
+        q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    return sorted(map(tuple, spark.sql(f"SELECT * FROM {name}").collect()))
+
+
+def test_stream_ledger_does_not_depend_on_the_batches(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    sale, delivery = (1, at(2, 9), "sale", 4.0), (1, at(2, 8), "delivery", 10.0)
+    day_back, end = (1, at(1, 12), "delivery", 7.0), (2, at(12, 12), "sale", 1.0)
+    one = _ledger_in_batches(spark, tmp_path, "l_one", [[delivery, sale, day_back, end]])
+    two = _ledger_in_batches(spark, tmp_path, "l_two", [[sale], [delivery, day_back], [end]])
+    back = _ledger_in_batches(spark, tmp_path, "l_back", [[sale], [day_back], [delivery], [end]])
+    assert one == two == back
+    # oldest first: the 4 sold on Jan 2 come from the 7 of Jan 1; 3 go to waste on Jan 5, 10 on Jan 6
+    assert one == [(1, d("2024-01-01"), 7.0, 0.0, 0.0, 0.0, 0.0, 7.0), (1, d("2024-01-02"), 10.0, 4.0, 4.0, 0.0, 0.0, 13.0),
+                   (1, d("2024-01-05"), 0.0, 0.0, 0.0, 0.0, 3.0, 10.0), (1, d("2024-01-06"), 0.0, 0.0, 0.0, 0.0, 10.0, 0.0)]
+
+
 def test_stream_ledger_timer_emits_waste(spark, tmp_path):
     # key 1 gets one delivery and nothing else; key 2's events move the watermark on
     rows = [(1, dt.datetime(2024, 1, 1, 9), "delivery", 5.0)]
@@ -87,7 +117,7 @@ def test_entry_contract(spark):
 
 FAST = ["densify", "calendar_features", "lags", "trend", "sales_ratio_dow", "unit_price", "fifo_allocate",
         "stock_ledger", "policy_backtest", "yoy_weekday_report", "pending_orders", "order_quantity",
-        "waste_adjust_buffer", "year_kpis", "pair_qty_revenue"]
+        "waste_adjust_buffer", "year_kpis", "pair_qty_revenue", "stream_stock_ledger"]
 
 
 @pytest.fixture(scope="module")
