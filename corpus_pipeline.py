@@ -42,7 +42,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of every document that is left, packed into sequences."""
-    return best_fit_packing.pack_documents(docs, tokenizer_path())
+    return best_fit_packing.pack_documents(docs, tokenizer_path(), release=True)
 
 
 STAGES = [

@@ -62,7 +62,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     return [b"".join(map(_cache.__getitem__, w)) for w in words]
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, release: bool):
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
@@ -81,13 +81,16 @@ def _pieces(path: str, capacity: int, end_id: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if release:
+            _cache.clear()
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """One row per piece: each document's ids and then ``end_id``, cut only beyond ``capacity``."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, release: bool = False) -> DataFrame:
+    """One row per piece: each document's ids and then ``end_id``, cut only beyond ``capacity``. With ``release`` a
+    task gives its cache of encoded words back at its end, for jobs whose workers go on to other stages."""
     return docs.select("doc_id", "text").mapInArrow(
-        _pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        _pieces(tokenizer, capacity, end_id, release), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -201,15 +204,15 @@ def _place(runs):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, release: bool = False) -> DataFrame:
     """docs(doc_id long, text string, ...) -> one row per piece: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset.
 
     Sequences hold at most ``capacity`` tokens; places are gapless from 0. A null or empty text
     is its end token alone. Rows are packed as they come: repeated rows and shared ids get places of their own. Extra
-    columns are ignored."""
+    columns are ignored. ``release``: see ``token_pieces``; the rows are the same."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id, release), "pieces")
     counts = {r.length: r.k for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("k")).collect()}  # <= capacity rows
     packing = Packing(counts, capacity)
     # rank among equal lengths: frequent lengths are split, and each part starts where the last ended
