@@ -207,6 +207,28 @@ def test_lm_scoring(docs, rows):
     assert len(empty) == len(rows) and all(r.n_known == 0 and r.base_score == 0 for r in empty)
 
 
+def test_lm_scoring_counts_every_ngram_beyond_the_filter(docs, rows):
+    """Scores from quantised counts of all n-grams, whether the filter has room for all, some or none."""
+    uni, bi, toks = collections.Counter(), collections.Counter(), []
+    for r in rows:
+        t = [*words((r.text or "").translate(LOWER)), None]
+        toks.append(list(zip(["<start>", *t[:-1]], t)))
+        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            uni.update(t), bi.update(toks[-1])
+    size = sum(uni.values()) + len(uni) + 1
+    near = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+
+    def log10(a, b):
+        own, given = (near(uni[b]) + 1) / size, near(uni[None if a == "<start>" else a])
+        return np.log10(min(1.0, 0.7 * min(1.0, near(bi[a, b]) / given) + 0.3 * own if given else own))
+
+    want = sorted((str(r.doc_id), len(t), round(float(sum(log10(a, b) for a, b in t)), 6)) for r, t in zip(rows, toks))
+    training = docs.where(~held_out(F.col("doc_id"), 7, 2))
+    for room in (1 << 20, 1500, 0):
+        got = lm_scoring.score_documents(docs, training, room).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
 def test_sharding(docs, rows):
     out = sharding.uniform_shards(docs, "doc_id", 16).collect()
     by = collections.defaultdict(list)
