@@ -158,7 +158,7 @@ def _distinct(k: int, shards: int):
                 seen.setdefault(flat[a:b].tobytes(), []).append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(x) // 8 for x in seen], pa.int32()), pa.array([zlib.crc32(x) % shards for x in seen], pa.int32()),
-                 pa.array(list(seen), pa.binary()), pa.array([sorted(s)[:k + 1] for s in seen.values()], pa.list_(pa.int64()))],
+                 pa.array(list(seen), pa.binary()), pa.array([sorted(set(s))[:k + 1] for s in seen.values()], pa.list_(pa.int64()))],
                 names=["dim", "shard", "vec", "ids"])
     return run
 
@@ -167,7 +167,7 @@ def _build(k: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         nodes: dict[bytes, list[int]] = {}
         for x, ids in zip(table.column("vec").to_pylist(), table.column("ids").to_pylist()):
-            nodes[x] = sorted(nodes[x] + ids)[:k + 1] if x in nodes else ids
+            nodes[x] = sorted({*nodes[x], *ids})[:k + 1] if x in nodes else ids
         names = sorted(nodes)  # the graph doesn't depend on the rows' order
         v = np.frombuffer(b"".join(names), "<f8").reshape(len(names), -1)
         g = Graph(lifted(v)).build()
@@ -197,10 +197,15 @@ def _search(k: int):
                 for i, row in enumerate(found):
                     row = row[row >= 0]
                     exact = v[row] @ part[i]
-                    best = sorted((-s, i2) for s, r in zip(exact.tolist(), row.tolist()) for i2 in ids[r]
-                                  if i2 != qid[a + i])[:k]
-                    for s, i2 in best:
-                        out[0].append(qid[a + i]), out[1].append(i2), out[2].append(-s)
+                    near = sorted((-s, i2) for s, r in zip(exact.tolist(), row.tolist()) for i2 in ids[r]
+                                  if i2 != qid[a + i])
+                    best: dict[int, float] = {}
+                    for s, i2 in near:  # an id's best vector comes first
+                        best.setdefault(i2, -s)
+                        if len(best) == k:
+                            break
+                    for i2, s in best.items():
+                        out[0].append(qid[a + i]), out[1].append(i2), out[2].append(s)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
                          "score": pa.array(out[2], pa.float64())})
     return run
@@ -220,7 +225,8 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20) -> DataFrame
     row itself left out; ties go to the smaller vec_id.
 
     Rows without an id, and vectors null, zero, or with null or non-finite components, take no part; vectors
-    meet vectors of their own length only. A vec_id that occurs twice is one candidate per distinct vector. An empty
+    meet vectors of their own length only. Repeated rows count once; a vec_id with several vectors is a candidate by each and
+    is listed once, with its best score. An empty
     table gives no rows; extra columns are ignored."""
     clean = usable(vectors)
     sized = clean.groupBy().count().first()[0]
@@ -237,5 +243,5 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20) -> DataFrame
     found = copied.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInArrow(
         _search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -284,6 +284,28 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times, nodes", [(2, 8192), (30, 8192), (2, 100)])
+def test_nearest_repeated_rows(spark, monkeypatch, times, nodes):
+    """Repeated rows take no places of other neighbours; ids with one vector are all found; an id with two
+    vectors is listed once."""
+    ship_package(spark)
+    monkeypatch.setattr(ann, "SHARD_NODES", nodes)
+    v = np.random.default_rng(4).standard_normal((200, 16))
+    v[40:50] = v[40]
+    data = [(i, x.tolist()) for i, x in enumerate(v)] * times + [(7, (v[7] / 2).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 200, 20))
+    for q, found in got.items():
+        s = v @ v[q]
+        s[7] = max(s[7], s[7] / 2)
+        want = [i for i in np.lexsort((np.arange(200), -s)) if i != q][:20]
+        assert len(found) == len(set(found)) == 20 and len(set(found) & set(want)) >= 18
+    assert set(range(41, 50)) <= set(got[40])
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     docs.drop("spans", "label", "shard").write.parquet(str(tmp_path / "documents.parquet"))
     bench = [(1, next(r.text for r in docs.where("doc_id = 11").collect()))]
