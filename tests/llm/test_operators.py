@@ -162,6 +162,22 @@ def test_secret_scan(spark, docs, rows):
     assert secret_scan.scan(docs.limit(0), net).count() == 0
 
 
+def test_secret_scan_learns_from_distinct_findings(spark, monkeypatch):
+    """Copies of one secret and one long word, however many, leave room for the other findings."""
+    ship_package(spark)
+    copied = f"token={hashlib.sha1(b'copied').hexdigest()} and {'verylongword' * 2}"
+    docs = [(i, copied) for i in range(400)]
+    docs += [(1000 + i, f"see token={hashlib.sha1(bytes([i])).hexdigest()} and {'anotherlongword' + chr(97 + i % 26) * (i // 26 + 2)}") for i in range(100)]
+    monkeypatch.setattr(secret_scan, "TRAIN_FINDINGS", 100)
+    seen, kept = [], secret_scan._sample
+    monkeypatch.setattr(secret_scan, "_sample", lambda found: seen.extend(kept(found)) or seen)
+    net = secret_scan.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    for label in (0, 1):
+        codes = [(r.kind, bytes(r.codes)) for r in seen if r.label == label]
+        assert len(codes) == len(set(codes)) == 100
+    assert net.threshold <= 1
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
