@@ -178,6 +178,24 @@ def test_secret_scan_learns_from_distinct_findings(spark, monkeypatch):
     assert net.threshold <= 1
 
 
+def test_secret_scan_reads_whole_candidates(spark):
+    """A key behind the first 40 characters of a candidate is found, wherever it stands; long plain paths are not."""
+    ship_package(spark)
+    rng = np.random.default_rng(12)
+    part = lambda n: "/".join(rng.choice(["home", "service", "config", "backup", "credentials", "prod", "library", "documents"], n))
+    docs = [(i, f"see token={hashlib.sha1(bytes([i])).hexdigest()} and /{part(3 + i % 9)}/{part(2)} in the text") for i in range(250)]
+    net = secret_scan.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    path, key = "/home/service/config/backup/credentials/prod/", hashlib.sha256(b"k").hexdigest()[:40].upper()
+    for token in (path + key, path + key + path, path * 9 + key + path * 3):
+        text = f"open {token} now"
+        found = secret_scan.find_all([text], net)[0]
+        assert found == [(5, 5 + len(token), 3)] and secret_scan.redacted(text, found, "[SECRET]") == "open [SECRET] now"
+    assert secret_scan.find_all([f"open {path * 3}library now"], net) == [[]]
+    assert secret_scan.windows(5, 30) == [5] and secret_scan.windows(0, 95) == [0, 20, 40, 55]
+    long = secret_scan.find_all(["x" * 500_000 + " " + path * 4 + key], net)[0]  # judged in parts
+    assert long[-1][1] == 500_001 + len(path * 4 + key)
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
