@@ -196,6 +196,18 @@ def test_secret_scan_reads_whole_candidates(spark):
     assert long[-1][1] == 500_001 + len(path * 4 + key)
 
 
+def test_secret_scan_threshold_and_rest_of_touched_tokens():
+    """The threshold is the recall quantile also under one half; what a base finding leaves of a token is judged."""
+    net = secret_scan.Network.fresh()
+    y = np.repeat([1.0, 0.0], [40, 400])
+    x = secret_scan._features(np.frombuffer(np.random.default_rng(3).bytes(440 * secret_scan.WIDTH), np.uint8).reshape(-1, secret_scan.WIDTH))
+    net.calibrate(x, y)  # labels that say nothing: every probability is low
+    assert net.threshold < 0.5 and (net.probability(x)[y > 0] >= net.threshold).mean() >= secret_scan.RECALL
+    text = f"{'K' * 20}{'0a' * 14}{'Zk93' * 5} {'ab' * 13}"
+    base = secret_scan.base_findings(text)
+    assert secret_scan.other_candidates(text, base) == [(0, 20), (48, 68)]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
