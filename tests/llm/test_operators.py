@@ -330,6 +330,22 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_recall_in_many_shards(spark, monkeypatch):
+    """Clustered vectors dealt to about ten shards."""
+    ship_package(spark)
+    monkeypatch.setattr(ann, "SHARD_NODES", 200)
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal((20, 16)) * 3
+    v = c[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 16)) * 0.5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: set([i for i in np.lexsort((np.arange(2000), -(v @ v[q]))) if i != q][:20]) for q in range(0, 2000, 20)}
+    assert sorted(got) == sorted(want)
+    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.9
+
+
 @pytest.mark.parametrize("times, nodes", [(2, 8192), (30, 8192), (2, 100)])
 def test_nearest_repeated_rows(spark, monkeypatch, times, nodes):
     """Repeated rows take no places of other neighbours; ids with one vector are all found; an id with two
