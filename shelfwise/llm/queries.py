@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
-    ann, best_fit_packing, decontamination, jaccard_join, language_id, lm_scoring, quality, secret_scan, sharding,
-    substring_dedup)
+    ann, best_fit_packing, decontamination, jaccard_join, language_id, lexical, license_scan, lm_scoring, merkle, quality,
+    secret_scan, sharding, substring_dedup)
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.oracle import ORACLE_SQL
 
@@ -89,8 +89,28 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(n_chars: F.Column) -> F.Column:
+        return merkle.digest(merkle.field_text(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")))
+
+    changed = F.when(held_out(F.col("doc_id"), 7, 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), leaf(changed).alias("now"))
+    known = merkle.manifest(leaves, "leaf", "lang", ["doc_id"])
+    folded = known.withColumn("folded_root", merkle.fold(F.col("now"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_substring_dedup, op3_best_fit_packing, op4_quality, op5_jaccard_join, op6_lm_scoring, op7_sharding,
-    op8_decontamination, op9_language_id, op10_ann)}
+    op8_decontamination, op9_language_id, op10_ann, op11_lexical_search, op12_merkle, op13_license_scan)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
