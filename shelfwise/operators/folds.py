@@ -1,16 +1,18 @@
-"""Vectorised day-by-day folds for the keyed stock operators (63, 66).
-
-Spark hash-partitions the daily rows by key and sorts each partition by (key, date);
-``mapInPandas`` then streams Arrow batches. Complete keys are gathered into chunks of
-about ``chunk_rows`` rows (the last, possibly incomplete key of a chunk waits for the
-next batch), and a chunk is advanced one calendar day at a time with numpy arrays
-across all its keys: the Python loop runs over days, never over rows or keys. Memory is
-bounded by the chunk size plus one key's history (one row per day).
+"""Vectorised folds over event days for the keyed stock operators (63, 66).
+
+Spark hash-partitions the daily rows by key and sorts each partition by (key, date); ``mapInPandas`` then streams Arrow
+batches. Complete keys are gathered into chunks of about ``chunk_rows`` rows (the last, possibly incomplete key of a
+chunk waits for the next batch).
+
+A chunk is ragged: its rows stay one after another, and an offset says where a key begins. Step s advances every key that
+has an s-th event day to that day, with numpy arrays across those keys; days without an event are skipped by ageing the
+stock by the gap. So memory is bounded by the rows of a chunk plus one key's history, whatever the days the keys span, and
+the Python loop runs over the event days of the longest key, never over rows or keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,18 @@ from shelfwise.operators.policy import FORECAST_LADDER, FORECAST_LOW
 CHUNK_ROWS = 200_000
 
 
-def keyed_chunks(batches: Iterator[pd.DataFrame], key: str, fold: Callable[[pd.DataFrame], pd.DataFrame],
+def _key_codes(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Numbers of a sorted frame's keys in order of appearance; null is a key."""
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        code = pd.factorize(pdf[k], use_na_sentinel=False)[0]
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def keyed_chunks(batches: Iterator[pd.DataFrame], keys: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame],
                  chunk_rows: int = CHUNK_ROWS) -> Iterator[pd.DataFrame]:
-    """Regroup a (key, date)-sorted batch stream into chunks of whole keys and fold them."""
+    """Regroup a (keys, date)-sorted batch stream into chunks of whole keys and fold them."""
     buf: list[pd.DataFrame] = []
     n = 0
     for pdf in batches:
@@ -32,21 +43,51 @@ def keyed_chunks(batches: Iterator[pd.DataFrame], key: str, fold: Callable[[pd.D
         n += len(pdf)
         if n >= chunk_rows:
             whole = pd.concat(buf, ignore_index=True)
-            tail = whole[key].to_numpy() == whole[key].iloc[-1]
-            done = whole[~tail]
-            if len(done):
-                yield fold(done)
+            code = _key_codes(whole, keys)
+            tail = code == code[-1]
+            if not tail.all():
+                yield fold(whole[~tail])
             buf, n = [whole[tail]], int(tail.sum())
     if n:
         yield fold(pd.concat(buf, ignore_index=True))
 
 
-def _grid(pdf: pd.DataFrame, key: str):
-    """Row -> (key index, day column) on a keys x days grid spanning the chunk."""
-    keys, kidx = np.unique(pdf[key].to_numpy(), return_inverse=True)
-    day = pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-    col = day - day.min()
-    return len(keys), int(col.max()) + 1, kidx, col
+class Ragged:
+    """The steps of a chunk: ``rows`` of the s-th event day of every key that has one, the keys' slots (keys with the most
+    days first, so that the keys still running are a prefix) and the days since each key's previous event day."""
+
+    def __init__(self, pdf: pd.DataFrame, keys: Sequence[str]):
+        code = _key_codes(pdf, keys)
+        self.day = pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+        same = code[1:] == code[:-1]
+        bad = np.flatnonzero(same & (self.day[1:] <= self.day[:-1]))
+        if len(bad):
+            row = pdf.iloc[bad[0] + 1]
+            raise ValueError(f"more than one row of {tuple(row[k] for k in keys)} on {row['date']}, or days out of order")
+        count = np.bincount(code)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        longest = np.argsort(-count, kind="stable")
+        self.count, self.first = count[longest], first[longest]
+        self.gap = np.zeros(len(pdf), np.int64)
+        self.gap[1:][same] = (self.day[1:] - self.day[:-1])[same]
+
+    @property
+    def keys(self) -> int:
+        return len(self.count)
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for s in range(int(self.count[0]) if len(self.count) else 0):
+            running = int(np.searchsorted(-self.count, -s, "left"))  # keys of more than s event days
+            rows = self.first[:running] + s
+            yield running, rows, self.gap[rows]
+
+
+def age(b: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stock after so many days, and what expired meanwhile. b[:, j] is sellable for j more days."""
+    last = b.shape[1] - 1
+    at = np.arange(last + 1)[None, :] + days[:, None]
+    kept = np.where(at <= last, np.take_along_axis(b, np.minimum(at, last), axis=1), 0)
+    return kept, b.sum(axis=1) - kept.sum(axis=1)
 
 
 def fifo_take(b: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,29 +99,24 @@ def fifo_take(b: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 # ------------------------------------------------------------------ 63. ledger
-def ledger_fold(pdf: pd.DataFrame, shelf_days: int, key: str = "item") -> pd.DataFrame:
-    """Stock ledger of every key in the chunk; rows must be dense per key. Buckets hold
-    lots oldest first: b[:, 0] was received shelf_days days ago (last sellable day)."""
-    K, D, kidx, col = _grid(pdf, key)
-    dl = np.zeros((K, D), np.int64)
-    dm = np.zeros((K, D), np.int64)
-    dl[kidx, col] = pdf["delivered"].to_numpy(np.int64)
-    dm[kidx, col] = pdf["demand"].to_numpy(np.int64)
-    b = np.zeros((K, shelf_days + 1), np.int64)
-    sold, short, waste, closing = (np.zeros((K, D), np.int64) for _ in range(4))
-    left = np.zeros((K, D, shelf_days + 1), np.int64)
-    for t in range(D):
-        waste[:, t] = b[:, 0]                      # not sold by its last day: waste today
-        b = np.concatenate([b[:, 1:], dl[:, t:t + 1]], axis=1)
-        b, short[:, t] = fifo_take(b, dm[:, t])
-        sold[:, t] = dm[:, t] - short[:, t]
-        closing[:, t] = b.sum(axis=1)
-        left[:, t] = b
-    return pd.DataFrame({key: pdf[key].to_numpy(), "date": pdf["date"].to_numpy(),
-                         "delivered": dl[kidx, col], "demand": dm[kidx, col],
-                         "sold": sold[kidx, col], "short": short[kidx, col],
-                         "waste": waste[kidx, col], "closing": closing[kidx, col],
-                         "left": list(left[kidx, col])})
+def ledger_fold(pdf: pd.DataFrame, shelf_days: int, keys: Sequence[str]) -> pd.DataFrame:
+    """Stock ledger of every key in the chunk, a row for each given day; what expired since a key's previous row is
+    waste of the row. Quantities may be whole numbers or fractions; the results have their type."""
+    ragged = Ragged(pdf, keys)
+    delivered, demand = pdf["delivered"].to_numpy(), pdf["demand"].to_numpy()
+    kind = np.result_type(delivered, demand)
+    b = np.zeros((ragged.keys, shelf_days + 1), kind)
+    sold, short, waste, closing = (np.zeros(len(pdf), kind) for _ in range(4))
+    left = np.zeros((len(pdf), shelf_days + 1), kind)
+    for n, rows, gap in ragged.steps():
+        stock, waste[rows] = age(b[:n], gap)
+        stock[:, shelf_days] += delivered[rows]
+        b[:n], short[rows] = fifo_take(stock, demand[rows])
+        sold[rows] = demand[rows] - short[rows]
+        closing[rows] = b[:n].sum(axis=1)
+        left[rows] = b[:n]
+    return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "date": pdf["date"].to_numpy(), "delivered": delivered, "demand": demand,
+                         "sold": sold, "short": short, "waste": waste, "closing": closing, "left": list(left)})
 
 
 # ------------------------------------------------------------- 66. back-test
@@ -96,52 +132,38 @@ def _buffer_adj(base: np.ndarray, r: np.ndarray, orders: np.ndarray, ladder, low
 
 
 def backtest_fold(pdf: pd.DataFrame, adaptive: bool, shelf_days: int, f_ladder=FORECAST_LADDER,
-                  f_low=FORECAST_LOW, b_ladder=None, b_low=None, b_cap=None) -> pd.DataFrame:
-    """Replay every dish of the chunk day by day. Lots are kept by expiry offset:
-    b[:, j] expires on day t + j (j = 0..shelf_days after today's order). A day
-    without a row or without actuals is skipped (no order, no sale); lots still age,
-    and what expires meanwhile is waste on the next processed day."""
-    K, D, kidx, col = _grid(pdf, "dish")
-    L = shelf_days
-    fc = np.zeros((K, D))
-    act = np.full((K, D), np.nan)
-    base = np.zeros((K, D))
-    fc[kidx, col] = np.nan_to_num(pdf["forecast"].to_numpy(np.float64), nan=0.0)
-    act[kidx, col] = pdf["actual"].to_numpy(np.float64)
-    base[kidx, col] = pdf["buffer"].to_numpy(np.float64)
-    present = ~np.isnan(act)
-    b = np.zeros((K, L + 1), np.int64)
-    pending = np.zeros(K, np.int64)
-    orders = np.zeros(K, np.int64)
-    waste_tot = np.zeros(K, np.int64)
-    ratio = np.zeros(K)
-    out = {c: np.zeros((K, D), t) for c, t in [
+                  f_low=FORECAST_LOW, b_ladder=None, b_low=None, b_cap=None, keys: Sequence[str] = ("dish",)) -> pd.DataFrame:
+    """Replay every dish of the chunk over its event days. Lots are kept by expiry offset: b[:, j] expires j days after
+    the day at hand (j = 0..shelf_days after today's order). A day without a row or without actuals is skipped (no
+    order, no sale); lots still age, and what expires meanwhile is waste on the next processed day."""
+    ragged = Ragged(pdf, keys)  # two rows of one day are an error also where one of them has no actuals
+    present = pdf["actual"].notna().to_numpy()
+    if not present.all():
+        pdf = pdf[present]
+        ragged = Ragged(pdf, keys)
+    fc = np.nan_to_num(pdf["forecast"].to_numpy(np.float64), nan=0.0)
+    actual = pdf["actual"].to_numpy(np.float64).astype(np.int64)
+    base = pdf["buffer"].to_numpy(np.float64)
+    b = np.zeros((ragged.keys, shelf_days + 1), np.int64)
+    orders, waste_tot, ratio = np.zeros(ragged.keys, np.int64), np.zeros(ragged.keys, np.int64), np.zeros(ragged.keys)
+    out = {c: np.zeros(len(pdf), t) for c, t in [
         ("forecast_adj", np.float64), ("buffer_adj", np.float64), ("usable", np.int64),
         ("order_qty", np.int64), ("sold", np.int64), ("short", np.int64), ("waste", np.int64),
         ("orders_cum", np.int64), ("waste_cum", np.int64), ("waste_ratio", np.float64)]}
-    for t in range(D):
-        p = present[:, t]
-        pred = fc[:, t]
-        adj = pred * _forecast_factor(ratio, f_ladder, f_low) if adaptive else pred
-        buf = _buffer_adj(base[:, t], ratio, orders, b_ladder, b_low, b_cap) if adaptive else base[:, t]
-        usable = b[:, :L].sum(axis=1)
-        order = np.where(p, np.maximum(0, np.ceil(adj + buf - usable)), 0).astype(np.int64)
-        b[:, L] = order
-        orders = orders + order
-        a = np.where(p, np.nan_to_num(act[:, t]), 0).astype(np.int64)
-        b, short = fifo_take(b, a)
-        waste = np.where(p, pending, 0)
-        pending = np.where(p, 0, pending)
-        waste_tot = waste_tot + waste
-        ratio = np.where(p & (orders > 0), waste_tot / np.maximum(orders, 1), ratio)
+    for n, rows, gap in ragged.steps():
+        stock, waste = age(b[:n], gap)
+        r = ratio[:n]
+        adj = fc[rows] * _forecast_factor(r, f_ladder, f_low) if adaptive else fc[rows]
+        buf = _buffer_adj(base[rows], r, orders[:n], b_ladder, b_low, b_cap) if adaptive else base[rows]
+        usable = stock[:, :shelf_days].sum(axis=1)
+        order = np.maximum(0, np.ceil(adj + buf - usable)).astype(np.int64)
+        stock[:, shelf_days] = order
+        orders[:n] += order
+        b[:n], short = fifo_take(stock, actual[rows])
+        waste_tot[:n] += waste
+        ratio[:n] = np.where(orders[:n] > 0, waste_tot[:n] / np.maximum(orders[:n], 1), r)
         for c, v in (("forecast_adj", adj), ("buffer_adj", buf), ("usable", usable), ("order_qty", order),
-                     ("sold", a - short), ("short", short), ("waste", waste), ("orders_cum", orders),
-                     ("waste_cum", waste_tot), ("waste_ratio", ratio)):
-            out[c][:, t] = v
-        pending = pending + b[:, 0]              # expires today: waste from tomorrow on
-        b = np.concatenate([b[:, 1:], np.zeros((K, 1), np.int64)], axis=1)
-    keep = present[kidx, col]
-    res = pd.DataFrame({"dish": pdf["dish"].to_numpy(), "date": pdf["date"].to_numpy(),
-                        "forecast": fc[kidx, col], **{c: v[kidx, col] for c, v in out.items()},
-                        "actual": np.nan_to_num(act[kidx, col]).astype(np.int64)})
-    return res[keep]
+                     ("sold", actual[rows] - short), ("short", short), ("waste", waste), ("orders_cum", orders[:n]),
+                     ("waste_cum", waste_tot[:n]), ("waste_ratio", ratio[:n])):
+            out[c][rows] = v
+    return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "date": pdf["date"].to_numpy(), "forecast": fc, **out, "actual": actual})

@@ -5,22 +5,23 @@
 Stock is keyed by the stock key (``dish`` in the app; ``item`` here is that key).
 The two day-by-day folds (63, 66) carry state from one day to the next, which no
 window can express. Spark hash-partitions the keys and sorts each partition by
-(key, date); ``mapInPandas`` folds chunks of whole keys with numpy arrays across keys
+(key, date); ``mapInPandas`` folds ragged chunks of whole keys with numpy arrays across keys
 (:mod:`shelfwise.operators.folds`). A key has one row per day, so its history is
-bounded by the calendar, not by the raw data volume; keys run in parallel.
+bounded by the calendar, not by the raw data volume; keys run in parallel. Orders of a key's
+single lots and demands (28, 49) are cut into slices over tasks (:mod:`shelfwise.operators.slices`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.constants import COST_RATE, DEFAULT_PRICE, SHELF_DAYS
 from shelfwise.functions.exprs import date_lit
-from shelfwise.operators import folds
+from shelfwise.operators import folds, slices
 from shelfwise.operators.calendar import attach_row, densify
 from shelfwise.operators.policy import (
     BUFFER_CAP, BUFFER_LADDER, BUFFER_LOW, FORECAST_LADDER, FORECAST_LOW)
@@ -41,10 +42,10 @@ def dish_rollup(df: DataFrame, dish_item: DataFrame, values: Sequence[str] = ("q
 # --------------------------------------------------------------------- 62. receive
 def receive(orders: DataFrame, shelf_days: int = SHELF_DAYS, date_col: str = "date",
             key: str = "item") -> DataFrame:
-    """Accepted orders -> lots ``(item, expiry, qty)`` with expiry = date + shelf_days."""
-    return (orders.where(F.col("qty") > 0)
-            .select(key, F.date_add(date_col, shelf_days).alias("expiry"),
-                    F.col("qty").cast("bigint").alias("qty")))
+    """Accepted orders -> lots ``(item, expiry, qty)`` with expiry = date + shelf_days; quantities keep their type
+    and fractions. Further columns of the orders (a lot's id, a site) are carried along."""
+    rest = [c for c in orders.columns if c not in (key, date_col, "qty", "expiry")]
+    return orders.where(F.col("qty") > 0).select(key, F.date_add(date_col, shelf_days).alias("expiry"), "qty", *rest)
 
 
 # ---------------------------------------------------------------- 36. usable_stock
@@ -72,10 +73,11 @@ def near_expiry(lots: DataFrame, as_of, horizon: int = 2, key: str = "item") ->
 
 
 # ------------------------------------------------------------- 49. lots_by_expiry
-def lots_by_expiry(lots: DataFrame, key: str = "item", seq: str | None = None) -> DataFrame:
-    """Consumption order of lots within a key: by expiry, then ``seq``."""
-    order = [F.col("expiry")] + ([F.col(seq)] if seq else []) + [F.col("qty")]
-    return lots.withColumn("lot_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def lots_by_expiry(lots: DataFrame, key: str = "item", seq: str | Sequence[str] = "lot") -> DataFrame:
+    """Consumption order of lots within a key: by expiry, then ``seq``, which must tell lots of one expiry apart (a tie
+    fails). The rank is distributed: counts of the key's earlier slices plus the place in the own slice."""
+    order = ["expiry", *([seq] if isinstance(seq, str) else seq)]
+    return slices.running(lots, [key], order, rank="lot_rank").withColumn("lot_rank", F.col("lot_rank").cast("int"))
 
 
 # -------------------------------------------------------------- 28. fifo_allocate
@@ -84,40 +86,47 @@ def fifo_allocate(lots: DataFrame, demand: DataFrame, key: str = "item",
     """First-in-first-out matching of lots to demand (no expiry test): which lot served
     which demand and how much.
 
-    Each side becomes a run of cumulative ranges per key. Instead of joining ranges
-    (which would compare all lot/demand pairs of a key) the range starts of both sides
-    are merged in one sorted pass per key: at every start position the serving lot and
-    the demand are the last ones started, and the allocated amount runs to the next
-    start (or to the smaller of the two totals). Output size = lots + demands."""
-    wl = Window.partitionBy(key).orderBy(*lot_order).rowsBetween(Window.unboundedPreceding, 0)
-    wd = Window.partitionBy(key).orderBy(*demand_order).rowsBetween(Window.unboundedPreceding, 0)
-    lot_id = F.struct(*[F.col(c).alias(c) for c in lot_order])
-    dem_id = F.struct(*[F.col(c).alias(c) for c in demand_order])
-    L = (lots.where(F.col("qty") > 0).withColumn("_hi", F.sum("qty").over(wl))
-         .select(key, (F.col("_hi") - F.col("qty")).alias("_pos"), F.lit(0).alias("_kind"),
-                 lot_id.alias("_lot"), F.lit(None).cast(dem_id_type(demand, demand_order)).alias("_dem"),
-                 F.col("_hi").alias("_lhi"), F.lit(None).cast("bigint").alias("_dhi")))
-    D = (demand.where(F.col("qty") > 0).withColumn("_hi", F.sum("qty").over(wd))
-         .select(key, (F.col("_hi") - F.col("qty")).alias("_pos"), F.lit(1).alias("_kind"),
-                 F.lit(None).cast(dem_id_type(lots, lot_order)).alias("_lot"), dem_id.alias("_dem"),
-                 F.lit(None).cast("bigint").alias("_lhi"), F.col("_hi").alias("_dhi")))
-    u = L.unionByName(D)
-    w = Window.partitionBy(key).orderBy("_pos", "_kind")
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wrun = w.rowsBetween(Window.unboundedPreceding, 0)
-    end = F.least(F.max("_lhi").over(wall), F.max("_dhi").over(wall))
-    s = u.select(key, "_pos",
-                 F.last("_lot", ignorenulls=True).over(wrun).alias("_cl"),
-                 F.last("_dem", ignorenulls=True).over(wrun).alias("_cd"),
-                 F.lead("_pos").over(w).alias("_next"), end.alias("_end"))
-    seg = F.least(F.coalesce(F.col("_next"), F.col("_end")), F.col("_end")) - F.col("_pos")
+    Each side becomes a run of cumulative ranges per key by distributed prefix sums. The range starts of both sides are
+    then merged in one order of (key, position), cut into slices: at every start the serving lot and the demand are the
+    last ones started, in this slice or an earlier one, and the allocated amount runs to the next start (or to
+    the smaller of the two totals). Output size = lots + demands; lots and demands are never paired.
+
+    ``lot_order`` and ``demand_order`` must be unique within a key (add the lot's id where lots share an expiry); a tie
+    fails. Quantities that are null or not above 0 take no part."""
+    lot_order, demand_order = list(lot_order), list(demand_order)
+
+    def starts(df: DataFrame, order: list[str], kind: int) -> DataFrame:
+        ends = slices.running(df.where(F.col("qty") > 0).select(key, *order, "qty"), [key], order, "qty", upto="_hi")
+        own, other = F.struct(*order), ("_dem", "_lot")[kind]
+        return ends.select(key, (F.col("_hi") - F.col("qty")).alias("_pos"), F.lit(kind).alias("_kind"),
+                           own.alias(("_lot", "_dem")[kind]),
+                           F.lit(None).cast(struct_of((demand, lots)[kind], (demand_order, lot_order)[kind])).alias(other),
+                           F.col("_hi").alias(("_lhi", "_dhi")[kind]), F.lit(None).cast(ends.schema["_hi"].dataType).alias(("_dhi", "_lhi")[kind]))
+
+    cut = slices.sliced(starts(lots, lot_order, 0).unionByName(starts(demand, demand_order, 1)), [key], ["_pos", "_kind"])
+
+    def last_started(c: str) -> Column:
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(slices.AT, c)))[c]
+
+    per = cut.groupBy(key, slices.SLICE).agg(F.min("_pos").alias("_first"), F.max("_lhi").alias("_lhi"), F.max("_dhi").alias("_dhi"),
+                                             last_started("_lot").alias("_lot"), last_started("_dem").alias("_dem"))
+    whole = Window.partitionBy(key)
+    per = per.select(key, slices.SLICE, F.least(*[F.coalesce(F.max(c).over(whole), F.lit(0)) for c in ("_lhi", "_dhi")]).alias("_end"),
+                     F.lead("_first").over(whole.orderBy(slices.SLICE)).alias("_after"),
+                     slices.last_before(per, [key], "_lot").alias("_lot0"), slices.last_before(per, [key], "_dem").alias("_dem0"))
+    w = slices.within([key])
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    met = slices.with_summary(cut.drop("_lhi", "_dhi", "_kind"), per, [key])
+    s = met.select(key, "_pos", "_end", F.coalesce(F.last("_lot", ignorenulls=True).over(run), "_lot0").alias("_cl"),
+                   F.coalesce(F.last("_dem", ignorenulls=True).over(run), "_dem0").alias("_cd"),
+                   F.coalesce(F.lead("_pos").over(w), "_after", "_end").alias("_next"))
+    seg = F.least("_next", "_end") - F.col("_pos")
     out = s.where(F.col("_pos") < F.col("_end")).withColumn("qty", seg).where(F.col("qty") > 0)
     return out.select(key, *[F.col(f"_cl.{c}").alias(f"lot_{c}") for c in lot_order],
-                      *[F.col(f"_cd.{c}").alias(f"demand_{c}") for c in demand_order],
-                      F.col("qty").cast("bigint").alias("qty"))
+                      *[F.col(f"_cd.{c}").alias(f"demand_{c}") for c in demand_order], "qty")
 
 
-def dem_id_type(df: DataFrame, cols: Sequence[str]) -> T.StructType:
+def struct_of(df: DataFrame, cols: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, df.schema[c].dataType) for c in cols])
 
 
@@ -129,72 +138,64 @@ def pending_orders(events: DataFrame, site: str | None = None, dish: str = "dish
     action 'replace' (submit-all): the events of the latest replace batch (same ts)
     form a fresh book, earlier events no longer count, zero quantities are ignored;
     'add' overwrites one dish (only qty > 0); 'accept' removes the dish.
-    The latest event per (site, dish) is a ``max(struct(ts, seq, ...))`` aggregate, so
-    a hot key is pre-aggregated map-side instead of being sorted in one task."""
+
+    One scan and one mergeable aggregate: per (site, dish) the latest event and the latest replace event, both as
+    ``max(struct)``, which pre-aggregates map-side. They decide alone: an event after the site's latest replace counts if it
+    is the dish's latest; otherwise only the dish's line in that replace batch does. The site's latest replace is the
+    maximum over its aggregated dishes; raw events are never joined."""
     keys = [site] if site else []
     ev = events.where((F.col("action") != "add") | (F.col("qty") > 0))
-    last_replace = (ev.where(F.col("action") == "replace").groupBy(*keys)
-                    .agg(F.max(ts).alias("_lr")))
-    # per site: a join on the site key; without sites: one global row (always exactly one)
-    j = ev.join(last_replace, keys, "left") if keys else attach_row(ev, last_replace)
-    live = j.where(F.col("_lr").isNull() | (F.col(ts) > F.col("_lr"))
-                   | ((F.col(ts) == F.col("_lr")) & (F.col("action") == "replace")))
-    latest = (live.groupBy(*keys, dish)
-              .agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"),
-                                  F.col("action").alias("action"), F.col("qty").alias("qty"))).alias("_l")))
-    return (latest.where((F.col("_l.action") != "accept") & (F.col("_l.qty") > 0))
+    one = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"), F.col("action").alias("action"), F.col("qty").alias("qty"))
+    per = ev.groupBy(*keys, dish).agg(F.max(one).alias("_last"), F.max(F.when(F.col("action") == "replace", one)).alias("_batch"))
+    if keys:
+        per = per.withColumn("_lr", F.max("_batch.ts").over(Window.partitionBy(*keys)))  # a site's dishes, not its events
+    else:
+        per = attach_row(per, per.agg(F.max("_batch.ts").alias("_lr")))  # a global aggregate: one row
+    line = (F.when(F.col("_lr").isNull() | (F.col("_last.ts") > F.col("_lr")), F.col("_last"))
+            .when(F.col("_batch.ts") == F.col("_lr"), F.col("_batch")))
+    book = per.withColumn("_l", line)
+    return (book.where((F.col("_l.action") != "accept") & (F.col("_l.qty") > 0))
             .select(*keys, dish, F.col("_l.qty").alias("qty"), F.col("_l.ts").alias("ordered_at")))
 
 
 # ---------------------------------------------------------------- 63. stock_ledger
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("item", T.StringType()), T.StructField("date", T.DateType()),
-    T.StructField("delivered", T.LongType()), T.StructField("demand", T.LongType()),
-    T.StructField("sold", T.LongType()), T.StructField("short", T.LongType()),
-    T.StructField("waste", T.LongType()), T.StructField("closing", T.LongType()),
-    T.StructField("left", T.ArrayType(T.LongType()))])
-
-
-def fifo_sell(buckets: list[int], demand: int) -> tuple[list[int], int]:
-    """Sell ``demand`` from age buckets, oldest last in the list; returns the new buckets
-    and the shortfall. Bucket k keeps clamp(cum_k - demand, 0, b_k), cum_k counted
-    from the oldest bucket."""
-    out = buckets[:]
-    cum = 0
-    for k in range(len(buckets) - 1, -1, -1):
-        cum += buckets[k]
-        out[k] = min(max(cum - demand, 0), buckets[k])
-    return out, max(demand - cum, 0)
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHELF_DAYS,
-                 key: str = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS,
+                 key: str | Sequence[str] = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS,
                  with_left: bool = False) -> DataFrame:
     """Day-by-day ledger per key over the dense calendar: lots arrive, demand is served
     first-in-first-out from unexpired lots, the shortfall is recorded, and a lot not
     sold by expiry (received + shelf_days) is waste the day after. Invariant:
     sum(delivered) = sum(sold) + sum(waste) + closing on the last day.
 
-    ``with_left`` adds what is left of each lot at the day's close, the lot that expires
-    that day first.
-
-    Plan: daily flows -> dense per key -> hash-partitioned by key and sorted within
-    partitions -> vectorised fold over chunks of whole keys (:mod:`folds`)."""
-    d = deliveries.select(F.col(key).alias("item"), "date", F.col("qty").cast("bigint").alias("delivered"),
-                          F.lit(0).cast("bigint").alias("demand"))
-    m = demand.select(F.col(key).alias("item"), "date", F.lit(0).cast("bigint").alias("delivered"),
-                      F.col("qty").cast("bigint").alias("demand"))
-    flows = (d.unionByName(m).groupBy("item", "date")
-             .agg(F.sum("delivered").alias("delivered"), F.sum("demand").alias("demand")))
-    dense = densify(flows, ("item",), ("delivered", "demand"), span=span)
+    ``key`` is one column or several (a site and a dish). ``span``: 'global' gives every key all days of the table, 'key'
+    each key its own first to last day, and 'events' a row only where something was delivered or asked for (what
+    expired since the row before is its waste): rows as many as the input's, for many sparse keys. Quantities keep
+    their type, so fractions stay. ``with_left`` adds what is left of each lot at the day's close, the lot that
+    expires that day first.
+
+    Plan: daily flows by a partial aggregate -> gap-free per key unless 'events' -> hash-partitioned by key and sorted
+    within partitions -> vectorised fold over ragged chunks of whole keys (:mod:`folds`)."""
+    keys = _keys(key)
+    whole = all(isinstance(d.schema["qty"].dataType, T.IntegralType) for d in (deliveries, demand))
+    number = T.LongType() if whole else T.DoubleType()
+    none = F.lit(0).cast(number)
+    d = deliveries.select(*keys, "date", F.col("qty").cast(number).alias("delivered"), none.alias("demand"))
+    m = demand.select(*keys, "date", none.alias("delivered"), F.col("qty").cast(number).alias("demand"))
+    flows = d.unionByName(m).groupBy(*keys, "date").agg(F.sum("delivered").alias("delivered"), F.sum("demand").alias("demand"))
+    daily = flows.na.fill(0, ["delivered", "demand"]) if span == "events" else densify(flows, keys, ("delivered", "demand"), span=span)
     # the fold needs whole keys in a partition: say so, whatever the plan below provides
-    dense = dense.repartition("item").sortWithinPartitions("item", "date")
+    daily = daily.select(*keys, "date", "delivered", "demand").repartition(*keys).sortWithinPartitions(*keys, "date")
+    schema = T.StructType([daily.schema[c] for c in [*keys, "date"]] + [T.StructField(c, number) for c in (
+        "delivered", "demand", "sold", "short", "waste", "closing")] + [T.StructField("left", T.ArrayType(number))])
 
     def run(batches):
-        return folds.keyed_chunks(batches, "item", lambda c: folds.ledger_fold(c, shelf_days), chunk_rows)
-    out = dense.mapInPandas(run, LEDGER_SCHEMA)
-    out = out if with_left else out.drop("left")
-    return out if key == "item" else out.withColumnRenamed("item", key)
+        return folds.keyed_chunks(batches, keys, lambda c: folds.ledger_fold(c, shelf_days, keys), chunk_rows)
+    out = daily.mapInPandas(run, schema)
+    return out if with_left else out.drop("left")
 
 
 def lots_left(ledger: DataFrame, as_of, key: str = "item") -> DataFrame:
@@ -206,38 +207,35 @@ def lots_left(ledger: DataFrame, as_of, key: str = "item") -> DataFrame:
 
 
 # -------------------------------------------------------------- 66. policy_backtest
-BACKTEST_SCHEMA = T.StructType([
-    T.StructField("dish", T.StringType()), T.StructField("date", T.DateType()),
-    T.StructField("forecast", T.DoubleType()), T.StructField("forecast_adj", T.DoubleType()),
-    T.StructField("buffer_adj", T.DoubleType()), T.StructField("usable", T.LongType()),
-    T.StructField("order_qty", T.LongType()), T.StructField("actual", T.LongType()),
-    T.StructField("sold", T.LongType()), T.StructField("short", T.LongType()),
-    T.StructField("waste", T.LongType()), T.StructField("orders_cum", T.LongType()),
-    T.StructField("waste_cum", T.LongType()), T.StructField("waste_ratio", T.DoubleType())])
+_BACKTEST = ("forecast double, forecast_adj double, buffer_adj double, usable long, order_qty long, actual long, sold long, short long, "
+             "waste long, orders_cum long, waste_cum long, waste_ratio double")
 
 
 def policy_backtest(plan: DataFrame, adaptive: bool = True, shelf_days: int = SHELF_DAYS,
                     forecast_ladder=FORECAST_LADDER, forecast_low=FORECAST_LOW,
                     buffer_ladder=BUFFER_LADDER, buffer_low=BUFFER_LOW, buffer_cap=BUFFER_CAP,
-                    chunk_rows: int = folds.CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int = folds.CHUNK_ROWS, key: str | Sequence[str] = "dish") -> DataFrame:
     """Replay historic days per dish: waste-adjusted forecast (60) and buffer (61),
     usable stock (36), order (59), FIFO sale with expiry (63), waste-ratio feedback.
 
     ``plan`` has one row per (dish, date): forecast, actual (null or no row = no data
-    that day: skipped, as the original does), buffer (base). Emits the daily ledger.
-    Plan: hash-partition by dish, sort by (dish, date), vectorised fold over chunks of
+    that day: skipped, as the original does), buffer (base). Two rows of one dish and day fail. ``key`` is one column
+    or several (a site and a dish). Emits the daily ledger.
+    Plan: hash-partition by dish, sort by (dish, date), vectorised fold over ragged chunks of
     whole dishes; dishes run in parallel, no day loop on the driver."""
-    cols = (plan.select("dish", "date", F.col("forecast").cast("double"), F.col("actual").cast("bigint"),
+    keys = _keys(key)
+    cols = (plan.select(*keys, "date", F.col("forecast").cast("double"), F.col("actual").cast("bigint"),
                         F.col("buffer").cast("double"))
-            .repartition("dish").sortWithinPartitions("dish", "date"))
+            .repartition(*keys).sortWithinPartitions(*keys, "date"))
+    schema = T.StructType([cols.schema[c] for c in [*keys, "date"]] + T.StructType.fromDDL(_BACKTEST).fields)
 
     def fold(c):
         return folds.backtest_fold(c, adaptive, shelf_days, forecast_ladder, forecast_low,
-                                   buffer_ladder, buffer_low, buffer_cap)
+                                   buffer_ladder, buffer_low, buffer_cap, keys)
 
     def run(batches):
-        return folds.keyed_chunks(batches, "dish", fold, chunk_rows)
-    return cols.mapInPandas(run, BACKTEST_SCHEMA)
+        return folds.keyed_chunks(batches, keys, fold, chunk_rows)
+    return cols.mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ 37. waste_ratio
@@ -304,14 +302,3 @@ def policy_compare(base: DataFrame, new: DataFrame) -> DataFrame:
         pct(F.col("n_revenue") - F.col("b_revenue"), "b_revenue").alias("revenue_change_pct"),
         pct(F.col("b_waste_money") - F.col("n_waste_money"), "b_waste_money").alias("waste_reduction_pct"),
         pct(F.col("n_stockout_money") - F.col("b_stockout_money"), "b_stockout_money").alias("stockout_change_pct"))
-
-
-def ledger_sum_check(ledger: DataFrame) -> DataFrame:
-    """Per key: delivered - sold - waste - last closing (0 when the ledger balances)."""
-    w = Window.partitionBy("item").orderBy(F.col("date").desc())
-    last = ledger.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("item", "closing")
-    g = ledger.groupBy("item").agg(F.sum("delivered").alias("d"), F.sum("sold").alias("s"),
-                                   F.sum("waste").alias("w"))
-    return g.join(last, "item").select("item", (F.col("d") - F.col("s") - F.col("w") - F.col("closing"))
-                                       .alias("imbalance"))
-

@@ -290,7 +290,7 @@ def order_inputs(spark, sf_dir):
 @query
 def fifo_allocate(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return sk.fifo_allocate(i.lots, i.demand)
+    return sk.fifo_allocate(i.lot_lines, i.demand, lot_order=("expiry", "lot"))
 
 
 # --------------------------------------------------------------- aggregations
@@ -407,7 +407,7 @@ def table_profile(spark, sf_dir):
 # ------------------------------------------------------------ sort / latest row
 @query
 def lots_by_expiry(spark, sf_dir):
-    return sk.lots_by_expiry(Inputs(spark, sf_dir).lots)
+    return sk.lots_by_expiry(Inputs(spark, sf_dir).lot_lines)
 
 
 def order_events(spark, sf_dir) -> DataFrame:

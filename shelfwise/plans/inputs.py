@@ -60,6 +60,11 @@ class Inputs:
     def lots(self) -> DataFrame:
         return stock.receive(self.deliveries)
 
+    @cached_property
+    def lot_lines(self) -> DataFrame:
+        """One lot per delivered line, several to an item and expiry."""
+        return stock.receive(tables.delivery_lines(self.spark, self.sf_dir))
+
     @cached_property
     def stock(self) -> DataFrame:
         """Lots left when the as-of date opens, from the recorded ledger up to the day before."""

@@ -81,6 +81,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM (SELECT DISTINCT date FROM fx_sales)""", ("fx_sales",)),
     "lots": ("""
         SELECT item, date + 3 AS expiry, qty FROM fx_delivery WHERE qty > 0""", ("fx_delivery",)),
+    "lot_lines": ("""
+        SELECT p_brand AS item, CAST(l_shipdate AS DATE) + 3 AS expiry, CAST(l_quantity AS BIGINT) AS qty, l_orderkey * 10 + l_linenumber AS lot
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) > 0""", ()),
     "dow_prof": (f"""
         SELECT item, dow, avg(qty) AS dow_mean, stddev_samp(qty) AS dow_std
         FROM dense_cal WHERE year = {P.TRAIN_YEAR} GROUP BY item, dow""", ("dense_cal",)),
@@ -410,12 +413,12 @@ FROM (SELECT dish, date, forecast FROM dish_fc WHERE date = {AS_OF}) f
 LEFT JOIN share_buffers b ON b.dish = f.dish
 LEFT JOIN (SELECT item AS dish, sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS usable FROM lots_left GROUP BY item) u
   ON u.dish = f.dish""")
-_add("fifo_allocate", ("lots", "fx_demand"), """
-, l AS (SELECT item, expiry, qty, sum(qty) OVER (PARTITION BY item ORDER BY expiry ROWS UNBOUNDED PRECEDING) AS hi
-        FROM lots WHERE qty > 0)
+_add("fifo_allocate", ("lot_lines", "fx_demand"), """
+, l AS (SELECT item, expiry, lot, qty, sum(qty) OVER (PARTITION BY item ORDER BY expiry, lot ROWS UNBOUNDED PRECEDING) AS hi
+        FROM lot_lines)
 , d AS (SELECT item, date, qty, sum(qty) OVER (PARTITION BY item ORDER BY date ROWS UNBOUNDED PRECEDING) AS hi
         FROM fx_demand WHERE qty > 0)
-SELECT l.item, l.expiry AS lot_expiry, d.date AS demand_date,
+SELECT l.item, l.expiry AS lot_expiry, l.lot AS lot_lot, d.date AS demand_date,
        CAST(least(l.hi, d.hi) - greatest(l.hi - l.qty, d.hi - d.qty) AS BIGINT) AS qty
 FROM l JOIN d ON l.item = d.item AND l.hi - l.qty < d.hi AND d.hi - d.qty < l.hi""")
 
@@ -483,9 +486,9 @@ SELECT count(*) AS n_rows, CAST({len(['date', 'item', 'dish', 'channel', 'qty',
 FROM dense_cal""")
 
 # ------------------------------------------------------------- sort / latest
-_add("lots_by_expiry", ("lots",), """
-SELECT item, expiry, qty, CAST(row_number() OVER (PARTITION BY item ORDER BY expiry, qty) AS INTEGER) AS lot_rank
-FROM lots""")
+_add("lots_by_expiry", ("lot_lines",), """
+SELECT item, expiry, qty, lot, CAST(row_number() OVER (PARTITION BY item ORDER BY expiry, lot) AS INTEGER) AS lot_rank
+FROM lot_lines""")
 _add("pending_orders", (), """
 WITH ev AS (
   SELECT l_suppkey AS site, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, p_brand AS dish,

@@ -58,13 +58,6 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "qty", "revenue")
 
 
-def stock_flow(spark: SparkSession, sf_dir: str, returnflag: str) -> DataFrame:
-    """Daily quantity per dish for one return flag: 'R' = deliveries, 'A' = demand."""
-    lp = _lineitem_part(spark, sf_dir).where(F.col("l_returnflag") == returnflag)
-    return (lp.groupBy(F.to_date("l_shipdate").alias("date"), F.col("p_brand").alias("item"))
-            .agg(F.sum("l_quantity").cast("bigint").alias("qty")))
-
-
 def stock_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries ('R') and demand ('A') per (date, dish) in one pass over the lines;
     a side without lines that day is null."""
@@ -75,12 +68,13 @@ def stock_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum(F.when(F.col("l_returnflag") == "A", q)).cast("bigint").alias("demand")))
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stock_flow(spark, sf_dir, "R")
-
-
-def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stock_flow(spark, sf_dir, "A")
+def delivery_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single deliveries (date, item, qty, lot): one lot per line, told apart by the line's number."""
+    li = read_parquet(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select(
+        "l_partkey", "l_quantity", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("lot"))
+    pt = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return li.join(pt, li.l_partkey == pt.p_partkey).select(
+        F.to_date("l_shipdate").alias("date"), F.col("p_brand").alias("item"), F.col("l_quantity").cast("bigint").alias("qty"), "lot")
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:

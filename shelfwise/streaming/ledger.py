@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfwise.functions.constants import SHELF_DAYS
-from shelfwise.operators.stock import fifo_sell
 from shelfwise.streaming.daily import event_instant, event_stream, run_to_table
 
 DAY_MS = 86_400_000
@@ -43,6 +42,18 @@ def _state_schema() -> T.StructType:
                          T.StructField("demand", T.ArrayType(T.DoubleType()))])
 
 
+def fifo_sell(buckets: list[float], demand: float) -> tuple[list[float], float]:
+    """Sell ``demand`` from age buckets, oldest last in the list; returns the new buckets
+    and the shortfall. Bucket k keeps clamp(cum_k - demand, 0, b_k), cum_k counted
+    from the oldest bucket."""
+    out = buckets[:]
+    cum = 0
+    for k in range(len(buckets) - 1, -1, -1):
+        cum += buckets[k]
+        out[k] = min(max(cum - demand, 0), buckets[k])
+    return out, max(demand - cum, 0)
+
+
 RESIDUE = 1e-9  # waste below this on an idle day is what float sums leave, not stock
 
 

@@ -101,7 +101,7 @@ def test_lots_usable_on_hand_near_expiry(spark):
     assert rows(sk.usable_stock(lots, "2023-01-05")) == [("x", 5)]
     assert rows(sk.stock_on_hand(lots, "2023-01-05"), "expiry", "days_left") == [(d("2023-01-05"), 0), (d("2023-01-09"), 4)]
     assert rows(sk.near_expiry(lots, "2023-01-03"), "expiry", "days_left") == [(d("2023-01-03"), 0), (d("2023-01-05"), 2)]
-    assert rows(sk.lots_by_expiry(lots), "expiry", "lot_rank") == [
+    assert rows(sk.lots_by_expiry(lots, seq="qty"), "expiry", "lot_rank") == [
         (d("2023-01-03"), 1), (d("2023-01-05"), 2), (d("2023-01-09"), 3)]
 
 
