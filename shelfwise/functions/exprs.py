@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.constants import WEEKEND
 
@@ -38,3 +39,13 @@ def flag(cond: Column) -> Column:
 
 def date_lit(d) -> Column:
     return F.lit(str(d)).cast("date")
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """A column of a read file as a number: whole numbers stay bigint, everything else becomes double with its
+    fraction. Text such as '3.0' is read, blank text is null, other text fails."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        text = F.trim(quoted(name))
+        return F.when(text != "", text).cast("double")
+    return quoted(name).cast("bigint" if isinstance(kind, T.IntegralType) else "double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.exprs import date_lit, flag, is_weekend, weekday_name
@@ -94,41 +94,47 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def densify(sales: DataFrame, keys: Sequence[str] = ("item",), values: Sequence[str] = ("qty",),
             attrs: Sequence[str] = (), key_table: DataFrame | None = None, span: str = "global",
-            date_col: str = "date", fill: Column | int = 0, partitions: int | None = None) -> DataFrame:
-    """One row per (day, key) with absent values = ``fill``.
+            date_col: str = "date", fill: Column | int = 0, partitions: int | None = None,
+            between: tuple | None = None) -> DataFrame:
+    """One row per (day, key) with absent values = ``fill``; several rows of one day and key are added up.
 
     span='global': every key runs over the overall first..last day (the daily file's
-    implicit shape); span='key': each key over its own first..last day.
-
-    Plan: the day grid is generated per key row with ``sequence`` (no pair expansion),
-    unioned with the (already daily-aggregated) values and summed per (key, day) after
-    one hash repartition on the key. The result is therefore hash-partitioned by the
-    key, which every per-key window and keyed fold downstream reuses without another
-    shuffle. Per-key rows are bounded by the number of days, so a hot key costs one
-    task of ``days`` rows, not a third of the raw data. ``attrs`` are columns that
-    depend on the key only (e.g. dish, channel) and are carried along. A given
-    ``key_table`` restricts the keys (values of other keys are dropped)."""
+    implicit shape); span='key': each key over its own first..last day; ``between`` gives the first and last day
+    instead (dates or columns; days outside are dropped). Rows without a date take no part. A given ``key_table``
+    restricts the keys (values of other keys are dropped) and adds those without any row.
+
+    Plan: gap runs. A partial aggregate by (key, day) comes first, so event-level input of a hot key spreads over tasks
+    and shrinks to a row a day before anything is ordered. Then each present day looks at the key's next one (``lead``)
+    and generates the run up to it: the day itself with its values, the days of the gap with ``fill``; the key's first
+    day also generates the days before it. No day grid is joined or unioned. The result is hash-partitioned by the
+    key, which every per-key window and keyed fold downstream reuses without another shuffle. ``attrs`` are columns
+    that depend on the key only (e.g. dish, channel) and are carried along."""
     keys, attrs = list(keys), list(attrs)
-    restrict = key_table is not None
-    if key_table is None:
-        key_table = sales.select(*keys, *attrs).distinct()
-    if span == "global":
-        bounds = sales.agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-        grid = attach_row(key_table, bounds)
-    elif span == "key":
-        b = sales.groupBy(*keys).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-        grid = key_table.join(b, keys, "inner")
-    else:
+    if span not in ("global", "key"):
         raise ValueError("span must be 'global' or 'key'")
     vtypes = {v: sales.schema[v].dataType for v in values}
     fill_c = fill if isinstance(fill, Column) else F.lit(fill)
-    grid = grid.select(*keys, *attrs, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias(date_col),
-                       *[fill_c.cast(vtypes[v]).alias(v) for v in values])
-    vals = sales.select(*keys, *attrs, date_col, *values)
-    if restrict:
-        vals = vals.join(key_table.select(*keys), keys, "left_semi")
-    u = grid.unionByName(vals)
-    u = u.repartition(partitions, *keys) if partitions else u.repartition(*keys)
-    return (u.groupBy(date_col, *keys, *attrs)
-            .agg(*[F.coalesce(F.sum(v), fill_c).cast(vtypes[v]).alias(v) for v in values])
-            .select(date_col, *keys, *attrs, *values))
+    src = sales.where(F.col(date_col).isNotNull())
+    if between is not None:
+        first, last = (d if isinstance(d, Column) else date_lit(d) for d in between)
+        src = src.where(F.col(date_col).between(first, last))
+    daily = src.groupBy(*keys, *attrs, date_col).agg(*[F.coalesce(F.sum(v), fill_c).cast(vtypes[v]).alias(v) for v in values])
+    if key_table is not None:
+        daily = key_table.select(*keys, *[a for a in attrs if a in key_table.columns]).distinct().join(
+            daily.drop(*[a for a in attrs if a in key_table.columns]), keys, "left")
+    if between is not None:
+        daily = daily.withColumn("_lo", first).withColumn("_hi", last)
+    elif span == "global":
+        daily = attach_row(daily, src.agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi")))
+    else:
+        daily = daily.withColumn("_lo", F.col(date_col)).withColumn("_hi", F.col(date_col))
+    if partitions:
+        daily = daily.repartition(partitions, *keys)
+    w = Window.partitionBy(*keys).orderBy(date_col)
+    day = F.col(date_col)
+    starts = F.when(F.lag(day).over(w).isNull(), F.coalesce(F.least("_lo", day), "_lo")).otherwise(day)
+    runs = daily.withColumn("_from", starts).withColumn("_to", F.coalesce(F.date_sub(F.lead(day).over(w), 1), "_hi"))
+    run = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to", F.expr("INTERVAL 1 DAY")))
+    out = runs.select(*keys, *attrs, day.alias("_day"), *values, F.explode(run).alias("_each"))
+    return out.select(F.col("_each").alias(date_col), *keys, *attrs,
+                      *[F.when(F.col("_each") == F.col("_day"), F.col(v)).otherwise(fill_c.cast(vtypes[v])).alias(v) for v in values])

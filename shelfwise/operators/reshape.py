@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.constants import (
     DATE_COL, QTY_PREFIX, REV_PREFIX, UNKNOWN_WEEKDAY, WEEKDAY_ONEHOT_ORDER, WEEKDAY_PREFIX)
-from shelfwise.functions.exprs import quoted, weekday_name
+from shelfwise.functions.exprs import number, quoted, weekday_name
 
 
 def measure_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -37,10 +38,10 @@ def unpivot_measures(wide: DataFrame, prefix: str = QTY_PREFIX, value: str = "qt
 def pivot_items(long: DataFrame, value: str, items: Sequence[str], index: str = "date",
                 item_col: str = "item", prefix: str = "") -> DataFrame:
     """Long -> matrix index x item; the item list is given (no distinct pre-pass), and an item
-    outside it fails the job instead of vanishing."""
+    outside it fails the job instead of vanishing. Several rows of one index and item add up."""
     bad = F.raise_error(F.concat(F.lit("item outside the given list: "), F.coalesce(F.col(item_col), F.lit("null"))))
     known = F.when(F.col(item_col).isin(list(items)), F.col(item_col)).otherwise(bad.cast("string"))
-    p = long.withColumn(item_col, known).groupBy(index).pivot(item_col, list(items)).agg(F.max(value))
+    p = long.withColumn(item_col, known).groupBy(index).pivot(item_col, list(items)).agg(F.sum(value).cast(long.schema[value].dataType))
     if prefix:
         p = p.select(index, *[quoted(i).alias(prefix + i) for i in items])
     return p
@@ -54,15 +55,17 @@ def pair_qty_revenue(wide: DataFrame, ids: Sequence[str] = (DATE_COL,),
 
     Pairing is resolved on the column names, so the long result is produced by one
     generator over each wide row: no join and no shuffle. Quantity columns without a
-    revenue twin are left out (inner pairing)."""
+    revenue twin are left out (inner pairing). Quantities are bigint if all their columns hold whole numbers by type, else
+    double; text is read as numbers, blank as null."""
     cols = set(wide.columns)
     pairs = [(c[len(qty_prefix):], c, rev_prefix + c[len(qty_prefix):])
              for c in measure_columns(wide, qty_prefix) if rev_prefix + c[len(qty_prefix):] in cols]
     if not pairs:
         raise ValueError("no quantity column has a revenue twin")
+    whole = all(isinstance(wide.schema[q].dataType, T.IntegralType) for _, q, _ in pairs)
     rows = F.array(*[F.struct(F.lit(i).alias(item_col),
-                              quoted(q).cast("bigint").alias("qty"),
-                              quoted(r).cast("double").alias("revenue")) for i, q, r in pairs])
+                              number(wide, q).cast("bigint" if whole else "double").alias("qty"),
+                              number(wide, r).cast("double").alias("revenue")) for i, q, r in pairs])
     return wide.select(*[quoted(i) for i in ids], F.inline(rows))
 
 
@@ -73,6 +76,6 @@ def decode_weekday(df: DataFrame, out: str = "dow", date_col: str = DATE_COL) ->
     present = [d for d in WEEKDAY_ONEHOT_ORDER if WEEKDAY_PREFIX + d in df.columns]
     if not present:
         return df.withColumn(out, weekday_name(quoted(date_col)))
-    expr = F.coalesce(*[F.when(quoted(WEEKDAY_PREFIX + d) == 1, F.lit(d)) for d in present],
+    expr = F.coalesce(*[F.when(number(df, WEEKDAY_PREFIX + d) == 1, F.lit(d)) for d in present],
                       F.lit(UNKNOWN_WEEKDAY))
     return df.withColumn(out, expr)

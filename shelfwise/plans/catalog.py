@@ -65,10 +65,15 @@ def parse_dates(spark, sf_dir):
 
 @query
 def write_forecast(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    f = i.item_forecast.select("date", "item", "pred")
-    out = daily.write_forecast(f, scratch_path(spark, "forecast"), "parquet")
-    return daily.read_forecast(spark, out).select("date", "item", r6("pred").alias("pred"))
+    """Predictions and orders published as one set under a run id, and read back."""
+    i = Inputs(spark, sf_dir)
+    orders = po.order_quantity(_order_inputs(i)).select("date", "dish", "order_qty")
+    root = scratch_path(spark, "published")
+    daily.publish({"predictions": i.item_forecast.select("date", "item", "pred"), "orders": orders}, root, "daily")
+    back = daily.read_published(spark, root, "daily")
+    p = back["predictions"].select(F.lit("predictions").alias("table"), "date", F.col("item").alias("key"), r6("pred").alias("value"))
+    o = back["orders"].select(F.lit("orders").alias("table"), "date", F.col("dish").alias("key"), F.col("order_qty").cast("double").alias("value"))
+    return p.unionByName(o)
 
 
 @query

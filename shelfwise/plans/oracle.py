@@ -290,8 +290,14 @@ _add("parse_dates", ("fx_sales",), """
 SELECT TRY_CAST(txt AS DATE) AS "Date", item, qty
 FROM (SELECT CASE WHEN qty >= 45 THEN 'n/a' ELSE CAST(date AS VARCHAR) END AS txt, item, qty FROM fx_sales)
 WHERE TRY_CAST(txt AS DATE) IS NOT NULL""")
-_add("write_forecast", ("item_fc",), f"""
-SELECT date, item, round(pred, 6) AS pred FROM item_fc""")
+_add("write_forecast", ("item_fc", "dish_fc", "share_buffers", "lots_left"), f"""
+SELECT 'predictions' AS "table", date, item AS key, round(pred, 6) AS value FROM item_fc
+UNION ALL
+SELECT 'orders', f.date, f.dish, CAST(greatest(0, ceil(f.forecast + coalesce(b.buffer, 0.0) - coalesce(u.usable, 0))) AS DOUBLE)
+FROM dish_fc f LEFT JOIN share_buffers b ON b.dish = f.dish
+LEFT JOIN (SELECT item AS dish, sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS usable FROM lots_left GROUP BY item) u
+  ON u.dish = f.dish
+WHERE f.date = {AS_OF}""")
 
 # --------------------------------------------------------------------- reshape
 _add("unpivot_measures", ("fx_sales",), f"""

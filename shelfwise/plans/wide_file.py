@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.constants import DATE_COL, QTY_PREFIX, WEATHER_COLUMNS
-from shelfwise.functions.exprs import quoted
+from shelfwise.functions.exprs import number, quoted
 from shelfwise.operators.reshape import decode_weekday, pair_qty_revenue, unpivot_measures
 from shelfwise.sources.daily import parse_dates
 
@@ -20,7 +20,8 @@ from shelfwise.sources.daily import parse_dates
 def long_sales(wide: DataFrame, dish_item: DataFrame, date_mode: str = "strict") -> DataFrame:
     """``sales(date, item, dish, channel, dow, qty, revenue)`` from the wide file. Items
     without a revenue twin keep their quantity with a null revenue. Items missing from
-    ``dish_item`` keep a null dish (they still count in daily totals)."""
+    ``dish_item`` keep a null dish (they still count in daily totals). A file read without a schema has text in
+    every column: '3.0' and '2.7' are quantities, blanks are null."""
     w = decode_weekday(parse_dates(wide, DATE_COL, date_mode))
     ids = (DATE_COL, "dow")
     paired = pair_qty_revenue(w, ids)
@@ -28,11 +29,12 @@ def long_sales(wide: DataFrame, dish_item: DataFrame, date_mode: str = "strict")
                                  QTY_PREFIX, "qty", ids)
                 .join(paired.select("item").distinct(), "item", "left_anti")
                 .withColumn("revenue", F.lit(None).cast("double")))
+    qty_only = qty_only.withColumn("qty", number(qty_only, "qty"))
     long = paired.unionByName(qty_only.select(*paired.columns))
     m = dish_item.select("item", "dish", "channel")
     return (long.join(m, "item", "left")
             .select(F.col(f"`{DATE_COL}`").alias("date"), "item", "dish", "channel", "dow",
-                    F.col("qty").cast("bigint").alias("qty"), "revenue"))
+                    "qty", "revenue"))
 
 
 def weather_days(wide: DataFrame, date_mode: str = "strict") -> DataFrame:
@@ -41,7 +43,7 @@ def weather_days(wide: DataFrame, date_mode: str = "strict") -> DataFrame:
     cols = [F.col(f"`{DATE_COL}`").alias("date")]
     for src, dst in WEATHER_COLUMNS.items():
         if src in w.columns:
-            cols.append(quoted(src).cast("double").alias(dst))
+            cols.append(number(w, src).cast("double").alias(dst))
         if src + "_norm" in w.columns:
-            cols.append(quoted(src + "_norm").cast("double").alias(dst + "_norm"))
+            cols.append(number(w, src + "_norm").cast("double").alias(dst + "_norm"))
     return w.select(*cols)

@@ -7,6 +7,8 @@ day, one column per item and measure) from long sales, used to round-trip that l
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -69,9 +71,9 @@ def known_items(df: DataFrame, items: Sequence[str]) -> DataFrame:
 def daily_wide(sales: DataFrame, items: Sequence[str], with_weekdays: bool = True) -> DataFrame:
     """Long ``(date, item, qty, revenue)`` -> one row per day, a quantity and a revenue
     column per item. The item list is given, so the pivot needs no extra distinct job.
-    One shuffle on ``date``."""
+    Several rows of one day and item add up. One shuffle on ``date``."""
     p = (known_items(sales, items).groupBy("date").pivot("item", list(items))
-         .agg(F.max("qty").alias("q"), F.max(F.col("revenue").cast("double")).alias("r")))
+         .agg(F.sum("qty").alias("q"), F.sum("revenue").cast("double").alias("r")))
     cols = [F.col("date").alias(DATE_COL)]
     if with_weekdays:
         dname = weekday_name("date")
@@ -126,6 +128,66 @@ def read_forecast(spark: SparkSession, out: str, fmt: str = "parquet",
     return spark.read.format(fmt).load(out)
 
 
+class RunNotCommitted(LookupError):
+    """No complete set of tables is published under the run id."""
+
+
+def _marker(spark: SparkSession, root: str, run_id: str):
+    """(file system, path) of a run's commit marker, through Hadoop: any store that Spark writes to."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run_id):
+        raise ValueError(f"run id {run_id!r} is no plain name")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_commits/{run_id}.json")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _read_marker(spark: SparkSession, root: str, run_id: str) -> dict | None:
+    fs, path = _marker(spark, root, run_id)
+    if not fs.exists(path):
+        return None
+    return json.loads("".join(r[0] for r in spark.read.text(path.toString()).collect()))  # one line
+
+
+def publish(tables: dict[str, DataFrame], root: str, run_id: str, fmt: str = "parquet") -> dict[str, str]:
+    """Publish several tables (predictions and orders) as one set under a run id: all of them or none.
+
+    Each attempt writes into its own folder ``root/run_id/attempt-<id>/<table>``; nothing that readers use is touched.
+    Only when every table is complete does the run's marker, a small file that names the attempt, appear by a rename. An
+    attempt that is lost half-way leaves a folder that no marker names, and a re-run starts its own. Publishing a run id
+    that has its marker writes nothing and gives the published folders, so repeating a job is harmless. Returns the
+    tables' folders."""
+    if not tables:
+        raise ValueError("no table to publish")
+    spark = next(iter(tables.values())).sparkSession
+    done = _read_marker(spark, root, run_id)
+    if done:
+        if sorted(done["tables"]) != sorted(tables):
+            raise ValueError(f"run {run_id} is published with the tables {sorted(done['tables'])}")
+        return done["tables"]
+    attempt = uuid.uuid4().hex[:12]
+    folders = {name: f"{root.rstrip('/')}/{run_id}/attempt-{attempt}/{name}" for name in tables}
+    for name, df in tables.items():
+        w = df.write.mode("errorifexists")
+        w.option("header", True).csv(folders[name]) if fmt == "csv" else w.format(fmt).save(folders[name])
+    fs, path = _marker(spark, root, run_id)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path.getParent().toString()}/.{run_id}-{attempt}")
+    out = fs.create(staged, False)
+    out.write(bytearray(json.dumps({"run_id": run_id, "format": fmt, "tables": folders}).encode()))
+    out.close()
+    if fs.exists(path) or not fs.rename(staged, path):  # another attempt was faster: its set counts
+        fs.delete(staged, False)
+        return publish(tables, root, run_id, fmt)
+    return folders
+
+
+def read_published(spark: SparkSession, root: str, run_id: str,
+                   schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """The tables of a published run; raises :class:`RunNotCommitted` where no complete set exists."""
+    done = _read_marker(spark, root, run_id)
+    if not done:
+        raise RunNotCommitted(f"run {run_id} under {root} has no complete set of tables")
+    return {name: read_forecast(spark, folder, done["format"], (schemas or {}).get(name)) for name, folder in done["tables"].items()}
+
+
 # ------------------------------------------------- 4. save_pipeline / load_pipeline
 def save_pipeline(model, path: str) -> str:
     """Persist a fitted ``PipelineModel`` (scaler stats + both learners)."""
