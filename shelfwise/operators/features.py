@@ -119,6 +119,19 @@ def assemble_features(blocks: Sequence[DataFrame], on: Sequence[str] = ("date",
     return out
 
 
+def day_features(dense: DataFrame, item_type: DataFrame | None = None, watched: Sequence[str] = (),
+                 on: str = "dish", date_col: str = "date", value: str = "qty", item_col: str = "item") -> DataFrame:
+    """The per-day features of 11, 12, 16 and 17 from one aggregate by day: total_daily_sales, has_side, has_starter,
+    side_total (what 16 counts on Saturdays) and low_demand (any watched item at 0)."""
+    t = dense.join(item_type.select(on, "type"), on, "left") if item_type is not None else dense.withColumn("type", F.lit(None).cast("string"))
+    v, side = F.col(value), F.col("type") == "Side"
+    zero = F.col(item_col).isin(list(watched)) & (v == 0) if watched else F.lit(False)
+    return t.groupBy(date_col).agg(
+        F.coalesce(F.sum(v), F.lit(0)).alias("total_daily_sales"), F.max(flag(side & v.isNotNull())).alias("has_side"),
+        F.max(flag((F.col("type") == "Starter") & v.isNotNull())).alias("has_starter"),
+        F.coalesce(F.sum(F.when(side, v)), F.lit(0)).alias("side_total"), F.max(flag(zero)).alias("low_demand"))
+
+
 # -------------------------------------------------------------------- 43. lags
 def lags(df: DataFrame, value: str = "qty", ks: Mapping[int, Sequence[str] | None] | Sequence[int] = (1,),
          keys: Sequence[str] = ("item",), date_col: str = "date", edge: str = "null",

@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS, FOREST, FOREST_ENGINE
+from shelfwise.functions.constants import BLEND_WEIGHTS, BOOSTING, DEFAULT_BIAS, FOREST, FOREST_ENGINE, WEEKDAYS
+from shelfwise.functions.exprs import flag
 from shelfwise.operators.calendar import calendar_dummies, calendar_features
 from shelfwise.operators.features import (
-    dow_rolling_mean, dow_std_feature, lags, sales_ratio_dow, season_interactions, trend)
+    day_features, dow_rolling_mean, dow_std_feature, drop_incomplete, lags, sales_ratio_dow, season_interactions, trend)
 
 
 # -------------------------------------------------------------- 19. split_by_year
@@ -48,55 +49,90 @@ def same_weekday_forecast(dense: DataFrame, weeks: int = 6, value: str = "qty",
 
 
 # ------------------------------------------------------------- feature matrix
-FEATURE_COLUMNS = [
-    "qty_lag1", "qty_lag2", "qty_lag3", "qty_lag4", "qty_lag5", "sales_ratio_dow", "dow_avg",
-    "trend_7", "trend_14", "trend_21", "dow_std", "month_interaction", "quarter_interaction",
-    "holiday_interaction", "is_weekend", "is_holiday",
-    *[f"Month_{m}" for m in range(2, 13)], *[f"Quarter_{q}" for q in range(2, 5)],
-    "temp_avg", "precipitation", "windspeed", "humidity", "temp_avg_lag1", "precipitation_lag1",
-    "item_mean", "item_std"]
+WEATHER = ["temp_avg", "precipitation", "windspeed", "humidity"]
+DAY_COLUMNS = ["total_daily_sales", "has_side", "has_starter", "low_demand"]
+# scaled before the learners see them, as in the original; lags, flags and dummies are not
+CONTINUOUS = ["sales_ratio_dow", "dow_avg", "trend_7", "trend_14", "trend_21", "dow_std", "month_interaction", "quarter_interaction",
+              "holiday_interaction", "weekend_interaction", *WEATHER, "total_daily_sales", "temp_holiday_interaction",
+              "temp_avg_lag1", "precipitation_lag1", "precipitation_saturday_interaction", "item_mean", "item_std"]
+PLAIN = ["qty_lag1", "qty_lag2", "qty_lag3", "qty_lag4", "qty_lag5", "side_saturday_interaction", "has_side", "has_starter",
+         "low_demand", "is_weekend", "is_holiday", *[f"dow_{d}" for d in WEEKDAYS if d != "Wednesday"],
+         *[f"Month_{m}" for m in range(2, 13)], *[f"Quarter_{q}" for q in range(2, 5)]]
+FEATURE_COLUMNS = CONTINUOUS + PLAIN
 
-CONTINUOUS = ["sales_ratio_dow", "dow_avg", "trend_7", "trend_14", "trend_21", "dow_std",
-              "month_interaction", "quarter_interaction", "holiday_interaction",
-              "temp_avg", "precipitation", "windspeed", "humidity", "temp_avg_lag1", "precipitation_lag1"]
+
+def norm_columns(weather: DataFrame) -> list[str]:
+    """The precomputed ``_norm`` twins that a weather table brings along."""
+    return [c + "_norm" for c in WEATHER if c + "_norm" in weather.columns]
 
 
 def feature_matrix(dense: DataFrame, weather: DataFrame, holidays, train_year: int,
-                   lag_groups: dict | None = None, as_of_lag: int = 1) -> DataFrame:
-    """All item features in one chain over the dense (date, item) series.
+                   lag_groups: dict | None = None, as_of_lag: int = 1, item_type: DataFrame | None = None,
+                   high_demand: Sequence[str] = (), watched: Sequence[str] = ()) -> DataFrame:
+    """All features of the original in one chain over the dense (date, item) series, one row per day and item.
+
+    ``as_of_lag=1`` moves every feature that would see the target day to what is known the day before (the original's
+    frames include the label): ratio and interactions to the previous day, means and trends to the rows before, day
+    totals and flags to the previous day, the Saturday side sales to the last same weekday. The weather of the
+    target day counts as forecast. Lags of items outside their group are 0, as the original has no such
+    column. A row that lacks anything else keeps its nulls: :func:`complete_rows` drops it.
 
-    ``as_of_lag=1`` shifts every feature that would see the target day (ratio,
-    rolling means, interactions) to the previous day, so the model forecasts from
-    information known the day before (the original's frames include the label)."""
+    The day-level features are gathered in one small table by date and joined once."""
     base = calendar_features(dense, holidays)
-    f = lags(base, "qty", lag_groups or {1: None, 2: None, 3: None, 4: None, 5: None})
+    groups = lag_groups or {1: None, 2: None, 3: None, 4: None, 5: None}
+    f = lags(base, "qty", groups)
+    outside = {f"qty_lag{k}": F.when(~F.col("item").isin(list(g)), F.lit(0)).otherwise(F.col(f"qty_lag{k}")) for k, g in groups.items() if g is not None}
+    f = f.withColumns(outside | {f"qty_lag{k}": F.lit(0) for k in range(1, 6) if k not in groups})
     f = sales_ratio_dow(f, train_year)      # weekday profile as window aggregates
     f = dow_std_feature(f, train_year)
     # means of the target's own weekday, without the target itself
     f = dow_rolling_mean(f, 6, exclude_current=bool(as_of_lag))
     f = trend(f, (7, 14, 21), exclude_current=bool(as_of_lag))
     f = season_interactions(f)
+    f = f.withColumn("weekend_interaction", F.when(F.col("item").isin(list(high_demand)), F.col("is_weekend") * F.col("qty")).otherwise(F.lit(0)))
     if as_of_lag:  # a known day's ratio (by its own weekday) and interactions, moved to the target
-        for c in ("sales_ratio_dow", "month_interaction", "quarter_interaction", "holiday_interaction"):
+        for c in ("sales_ratio_dow", "month_interaction", "quarter_interaction", "holiday_interaction", "weekend_interaction"):
             f = lags(f, c, {as_of_lag: None}, prefix="_known").withColumn(c, F.col(f"_known{as_of_lag}")).drop(f"_known{as_of_lag}")
     # the item by its training-year statistics: any number of items
     of_year = F.when(F.year("date") == train_year, F.col("qty"))
     own = Window.partitionBy("item")
-    f = f.withColumn("item_mean", F.avg(of_year).over(own)).withColumn("item_std", F.stddev_samp(of_year).over(own))
-    f = calendar_dummies(f)
-    w = weather.select("date", "temp_avg", "precipitation", "windspeed", "humidity")
-    wl = w.select(F.date_add("date", 1).alias("date"), F.col("temp_avg").alias("temp_avg_lag1"),
-                  F.col("precipitation").alias("precipitation_lag1"))
-    f = f.join(w, "date", "left").join(wl, "date", "left")
-    # a feature the row cannot have (lag of an item outside its group, a day without
-    # weather) is 0, as the serving path fills absent features
-    return f.na.fill(0.0, list(FEATURE_COLUMNS))
+    f = f.withColumn("item_mean", F.coalesce(F.avg(of_year).over(own), F.lit(0.0))).withColumn(
+        "item_std", F.coalesce(F.stddev_samp(of_year).over(own), F.lit(0.0)))
+    f = calendar_dummies(f).withColumns({f"dow_{d}": flag(F.col("dow") == d) for d in WEEKDAYS if d != "Wednesday"})
+
+    of_day = day_features(dense, item_type, watched)
+    norms = norm_columns(weather)
+    w = weather.select("date", *WEATHER, *norms)
+
+    def moved(df: DataFrame, days: int, **cols: str) -> DataFrame:
+        return df.select(F.date_add("date", days).alias("date"), *[F.col(c).cast("double").alias(n) for n, c in cols.items()])
+
+    known = [w, moved(w, 1, temp_avg_lag1="temp_avg", precipitation_lag1="precipitation"),
+             moved(of_day, as_of_lag, **{c: c for c in DAY_COLUMNS}), moved(of_day, 7 * as_of_lag, side_total="side_total")]
+    days = known[0]
+    for part in known[1:]:
+        days = days.unionByName(part, allowMissingColumns=True)
+    days = days.groupBy("date").agg(*[F.max(c).alias(c) for c in days.columns if c != "date"])  # a row for each day
+    f = f.join(days, "date", "left")
+    saturday = flag(F.col("dow") == "Saturday")
+    return f.withColumns({"temp_holiday_interaction": F.col("temp_avg") * F.col("is_holiday"),
+                          "precipitation_saturday_interaction": saturday * F.col("precipitation"),
+                          "side_saturday_interaction": saturday * F.col("side_total")}).drop("side_total")
+
+
+def complete_rows(matrix: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """The rows that have every feature (18): those before the first lags and without weather go."""
+    return drop_incomplete(matrix, features)
 
 
 def _prep_stages(features: Sequence[str]):
-    """Vector assembly."""
+    """Scaler of the continuous features, then vector assembly. A null feature fails: rows are made complete before."""
     from pyspark.ml.feature import VectorAssembler
-    return [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
+
+    from shelfwise.operators.pipeline import Standardizer
+    scaler = Standardizer(inputCols=[c for c in features if c in CONTINUOUS or c.endswith("_norm")])
+    names = dict(zip(scaler.getInputCols(), scaler.scaled_names()))
+    return [scaler, VectorAssembler(inputCols=[names.get(c, c) for c in features], outputCol="features", handleInvalid="error")]
 
 
 def _mb(size: str) -> int:
@@ -119,39 +155,58 @@ def forest_engine(spark) -> dict:
     return {**FOREST_ENGINE, "maxMemoryInMB": max(64, min(1024, per_task))}
 
 
+def _forest(spark, label: str, overrides: dict):
+    from pyspark.ml.regression import RandomForestRegressor
+    params = {**FOREST, **forest_engine(spark), **overrides}
+    return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="rf_pred", featureSubsetStrategy="all", **params)
+
+
+def _boosted(label: str, overrides: dict):
+    from pyspark.ml.regression import GBTRegressor
+    return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="gbt_pred", **{**BOOSTING, **overrides})
+
+
 # ------------------------------------------------------------------ 52. fit_forest
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, label: str = "qty",
                **overrides):
-    """Random forest (150 trees, depth 8, min 3 rows per leaf, seed 42) in a pipeline."""
+    """Random forest (150 trees, depth 8, min 3 rows per leaf, seed 42) in a pipeline with its scaler."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.regression import RandomForestRegressor
-    params = {**FOREST, **forest_engine(train.sparkSession), **overrides}
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="rf_pred",
-                               featureSubsetStrategy="all", **params)
-    return Pipeline(stages=[*_prep_stages(features), rf]).fit(train)
+    return Pipeline(stages=[*_prep_stages(features), _forest(train.sparkSession, label, overrides)]).fit(train)
 
 
 # ----------------------------------------------------------------- 53. fit_boosted
 def fit_boosted(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, label: str = "qty",
                 **overrides):
     """Gradient-boosted trees (120 rounds, depth 4, step 0.03, 0.8 row and column
-    sampling, seed 42) in a pipeline."""
+    sampling, seed 42) in a pipeline with its scaler."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.regression import GBTRegressor
-    params = {**BOOSTING, **overrides}
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="gbt_pred", **params)
-    return Pipeline(stages=[*_prep_stages(features), gbt]).fit(train)
+    return Pipeline(stages=[*_prep_stages(features), _boosted(label, overrides)]).fit(train)
+
+
+def fit_all(train: DataFrame, override_items: Sequence[str] = (), features: Sequence[str] = FEATURE_COLUMNS, label: str = "qty",
+            forest: dict | None = None, boosted: dict | None = None):
+    """One pipeline from features to the corrected forecast: scaler, forest, boosting, blend, bias factors of the
+    training rows. Fitted in one go: the scaled features are the same for both learners."""
+    from pyspark.ml import Pipeline
+
+    from shelfwise.operators.pipeline import BiasCorrection, Blend
+    return Pipeline(stages=[*_prep_stages(features), _forest(train.sparkSession, label, forest or {}), _boosted(label, boosted or {}),
+                            Blend(overrideItems=list(override_items)), BiasCorrection(labelCol=label)]).fit(train)
 
 
 # --------------------------------------------------------------------- 54. predict
+SCORES = ("rf_pred", "gbt_pred", "pred", "pred_adj")
+
+
 def predict(models: Sequence, df: DataFrame, keep: Sequence[str] = ("date", "item", "qty")) -> DataFrame:
-    """Score all days and items at once with each fitted pipeline."""
+    """Score all days and items at once with each fitted pipeline: the kept columns and the scores that the
+    pipelines make (rf_pred, gbt_pred, and from :func:`fit_all` pred and pred_adj)."""
     out = df
-    preds = []
     for m in models:
-        out = m.transform(out).drop("features")
-        preds += [c for c in out.columns if c.endswith("_pred") and c not in preds]
-    return out.select(*keep, *preds)
+        own = set(out.columns)
+        scored = m.transform(out)
+        out = scored.drop(*[c for c in scored.columns if c not in own and c not in SCORES])
+    return out.select(*keep, *[c for c in SCORES if c in out.columns])
 
 
 # ----------------------------------------------------------------------- 55. blend
@@ -164,8 +219,8 @@ def blend(df: DataFrame, override_items: Sequence[str], rf: str = "rf_pred", gbt
 
 # ------------------------------------------------------------------ 56. apply_bias
 def apply_bias(fc: DataFrame, factors: DataFrame, default: float = DEFAULT_BIAS, floor: float = 0.0,
-               pred: str = "pred", item_col: str = "item") -> DataFrame:
+               pred: str = "pred", item_col: str = "item", out: str = "pred_adj") -> DataFrame:
     """Multiply by the item's bias factor (``default`` when it has none), clip at floor."""
     j = fc.join(factors.select(item_col, F.col("bias_factor").alias("_bf")), item_col, "left")
     v = F.col(pred) * F.coalesce(F.col("_bf"), F.lit(default))
-    return j.withColumn("pred_adj", F.greatest(v, F.lit(float(floor)))).drop("_bf")
+    return j.withColumn(out, F.greatest(v, F.lit(float(floor)))).drop("_bf")

@@ -99,31 +99,38 @@ def bias_factors(pairs: DataFrame, actual: str = "actual", pred: str = "pred",
 
 # -------------------------------------------------------------- 42. table_profile
 def table_profile(df: DataFrame, date_col: str = "date", dow_col: str = "dow",
-                  key: str = "item", feature_cols: Sequence[str] = ()) -> DataFrame:
-    """Row count, column count, distinct weekdays, distinct days, distinct keys and the
-    feature-matrix shape (rows x len(feature_cols)). One aggregate pass."""
-    aggs = [F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns")]
-    if dow_col in df.columns:
-        aggs.append(F.countDistinct(dow_col).alias("n_weekdays"))
-    aggs.append(F.countDistinct(date_col).alias("n_days"))
+                  key: str = "item", train: DataFrame | None = None, test: DataFrame | None = None,
+                  feature_cols: Sequence[str] = ()) -> DataFrame:
+    """One row: row count, column count, distinct weekdays, days and keys of the table, and the shapes of the training
+    and test sets (rows of ``train`` and ``test`` by the feature columns that they really have).
+
+    One aggregate: weekdays and days are sets that the calendar bounds; only the keys need a distinct aggregate."""
+    named = {"n_weekdays": dow_col, "n_days": date_col}
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs += [F.size(F.collect_set(c)).cast("bigint").alias(n) for n, c in named.items() if c in df.columns]
     if key in df.columns:
-        aggs.append(F.countDistinct(key).alias("n_keys"))
-    aggs.append(F.lit(len(feature_cols)).alias("n_features"))
-    return df.agg(*aggs)
+        aggs.append(F.count_distinct(key).alias("n_keys"))
+    out = df.agg(*aggs).withColumn("n_columns", F.lit(len(df.columns)))
+    for label, part in (("train", train), ("test", test)):
+        if part is not None:
+            out = attach_row(out, part.agg(F.count(F.lit(1)).alias(f"{label}_rows")))
+            out = out.withColumn(f"{label}_features", F.lit(sum(c in part.columns for c in feature_cols)))
+    return out
 
 
 # ---------------------------------------------------------------- 51. standardize
+def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: mean (_mu0, ...) and population std (_sd0, ...) of each column."""
+    return df.agg(*[F.avg(c).alias(f"_mu{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(cols)])
+
+
 def standardize(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
                 suffix: str = "") -> DataFrame:
     """z-score with mean and population std fitted on ``fit`` (default ``df``); a
-    constant column divides by 1. The fitted statistics are one row, attached by a
-    one-row broadcast."""
-    fit = df if fit is None else fit
-    stats = fit.agg(*[F.avg(c).alias(f"_mu{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(cols)])
-    out = attach_row(df, stats)
-    for i, c in enumerate(cols):
-        sd = F.col(f"_sd{i}")
-        out = out.withColumn(c + suffix, (F.col(c) - F.col(f"_mu{i}"))
-                             / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
-    return out.drop(*[f"_mu{i}" for i in range(len(cols))], *[f"_sd{i}" for i in range(len(cols))])
+    constant column divides by 1. The fitted statistics are one row (a global aggregate), attached by a
+    one-row broadcast. As a pipeline stage: :class:`shelfwise.operators.pipeline.Standardizer`."""
+    out = attach_row(df, moments(df if fit is None else fit, cols))
+    scaled = {c + suffix: (F.col(c) - F.col(f"_mu{i}")) / F.when(F.col(f"_sd{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd{i}"))
+              for i, c in enumerate(cols)}
+    return out.withColumns(scaled).drop(*[f"_{m}{i}" for m in ("mu", "sd") for i in range(len(cols))])

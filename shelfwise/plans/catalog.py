@@ -23,6 +23,7 @@ from shelfwise.operators import stats as st
 from shelfwise.operators import stock as sk
 from shelfwise.operators import yoy
 from shelfwise.plans import params as P
+from shelfwise.plans import training as tr
 from shelfwise.plans.inputs import Inputs
 from shelfwise.session import scratch_path
 from shelfwise.sources import daily
@@ -78,11 +79,19 @@ def write_forecast(spark, sf_dir):
 
 @query
 def save_pipeline(spark, sf_dir):
-    """Fit the forest, save it to the shared folder, load it back and score the test year."""
-    train, test = _model_frames(spark, sf_dir)
-    model = fc.fit_forest(train)
-    path = daily.save_pipeline(model, scratch_path(spark, "pipeline"))
-    return fc.predict([daily.load_pipeline(path)], test)
+    """The whole pipeline fitted and saved, loaded back, and every complete row scored by both: equal scores."""
+    fitted = []
+    path = tr.saved_pipeline(spark, sf_dir, fitted)
+    loaded = daily.load_pipeline(path)
+    # fitted earlier in this application: a second save and load stands in for the model in memory
+    memory = fitted[0] if fitted else daily.load_pipeline(daily.save_pipeline(loaded, scratch_path(spark, "pipeline")))
+    rows = tr.matrix(spark, sf_dir)
+    a = fc.predict([loaded], rows)
+    b = fc.predict([memory], rows).select("date", "item", *[F.col(c).alias(f"m_{c}") for c in fc.SCORES])
+    same = F.lit(True)
+    for c in fc.SCORES:
+        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    return a.join(b, ["date", "item"]).select("date", "item", "qty", same.alias("same_scores"))
 
 
 # -------------------------------------------------------------------- reshape
@@ -406,7 +415,9 @@ def yoy_weekday_report(spark, sf_dir):
 @query
 def table_profile(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return st.table_profile(i.dense_cal, feature_cols=fc.FEATURE_COLUMNS)
+    m = tr.matrix(spark, sf_dir)
+    return st.table_profile(i.dense_cal, train=m.where(F.col("year") == P.TRAIN_YEAR), test=m.where(F.col("year") == P.TEST_YEAR),
+                            feature_cols=fc.FEATURE_COLUMNS)
 
 
 # ------------------------------------------------------------ sort / latest row
@@ -436,19 +447,6 @@ def pending_orders(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- models
-def _model_frames(spark, sf_dir):
-    from shelfwise.session import cut_lineage
-    i = Inputs(spark, sf_dir)
-    m = fc.feature_matrix(i.dense, i.weather, i.holidays, P.TRAIN_YEAR, P.LAG_GROUPS)
-    m = m.where(F.year("date").isin(P.TRAIN_YEAR, P.TEST_YEAR))
-    # the learners make many passes over this matrix: spread it over all cores (AQE
-    # coalesces small shuffles to one partition), with a deterministic row layout so
-    # the seeded bootstrap is repeatable, and cut its lineage once for both learners
-    n = spark.sparkContext.defaultParallelism
-    m = cut_lineage(m.repartition(n, "item", "date").sortWithinPartitions("item", "date"))
-    return m.where(F.year("date") == P.TRAIN_YEAR), m.where(F.year("date") == P.TEST_YEAR)
-
-
 @query
 def standardize(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -458,27 +456,49 @@ def standardize(spark, sf_dir):
     return z.select("date", "item", *[r6(c).alias(c) for c in cols])
 
 
+# The learners' scores differ from any other engine's. Their queries return every complete row of the matrix, all years,
+# with what must hold for its score.
 @query
 def fit_forest(spark, sf_dir):
-    train, test = _model_frames(spark, sf_dir)
-    return fc.predict([fc.fit_forest(train)], test)
+    """A mean of training quantities: the forest's score lies within their range."""
+    scores = tr.scored(spark, sf_dir)
+    label = tr.matrix(spark, sf_dir).where(F.col("year") == P.TRAIN_YEAR).agg(F.min("qty").alias("_lo"), F.max("qty").alias("_hi"))
+    return cal.attach_row(scores, label).select("date", "item", "qty", F.col("rf_pred").between(F.col("_lo"), F.col("_hi")).alias("in_range"))
 
 
 @query
 def fit_boosted(spark, sf_dir):
-    train, test = _model_frames(spark, sf_dir)
-    return fc.predict([fc.fit_boosted(train)], test)
+    """A finite score; and better than always the mean on the training year (one flag for all rows)."""
+    scores = tr.scored(spark, sf_dir)
+    e = F.col("gbt_pred") - F.col("qty")
+    fit = scores.where(F.year("date") == P.TRAIN_YEAR).agg((F.avg(e * e) < F.var_pop("qty")).alias("beats_mean"))
+    finite = F.col("gbt_pred").isNotNull() & ~F.isnan("gbt_pred") & (F.abs("gbt_pred") < 1e9)
+    return cal.attach_row(scores, fit).select("date", "item", "qty", finite.alias("finite"), "beats_mean")
 
 
 @query
 def predict(spark, sf_dir):
-    """Both learners, blended, bias-corrected on the training year, rolled up to dishes."""
-    train, test = _model_frames(spark, sf_dir)
-    models = [fc.fit_forest(train), fc.fit_boosted(train)]
-    fit_pairs = fc.predict(models, train)
-    factors = st.bias_factors(fc.blend(fit_pairs, P.HARD), actual="qty")
-    scored = fc.apply_bias(fc.blend(fc.predict(models, test), P.HARD), factors)
-    return scored.select("date", "item", "qty", "rf_pred", "gbt_pred", "pred", "pred_adj")
+    """Both learners by the saved pipeline, blended and bias-corrected: the blend and the correction recomputed from the
+    scores and the training year's factors."""
+    scores = tr.scored(spark, sf_dir)
+    factors = st.bias_factors(scores.where(F.year("date") == P.TRAIN_YEAR), actual="qty")
+    again = fc.apply_bias(fc.blend(scores.withColumnRenamed("pred_adj", "_adj").withColumnRenamed("pred", "_pred"), P.HARD), factors)
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(b)))
+    return again.select("date", "item", "qty", close("_pred", "pred").alias("blended"), close("_adj", "pred_adj").alias("corrected"),
+                        (F.col("_adj") >= 0).alias("not_negative"))
+
+
+@query
+def forecast_to_order(spark, sf_dir):
+    """The learners' forecast of the as-of date through roll-up, buffers from the learners' error, stock and order."""
+    i = Inputs(spark, sf_dir)
+    scores = tr.scored(spark, sf_dir)
+    o = tr.learner_orders(i, scores)
+    day = scores.where(F.col("date") == F.lit(P.AS_OF).cast("date")).groupBy("dish").agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("pred_adj").alias("_sum"))
+    want = F.greatest(F.lit(0), F.ceil(F.col("forecast") + F.col("buffer") - F.col("usable")))
+    return o.join(day, "dish").select("dish", "date", "n_items", "usable", (F.abs(F.col("forecast") - F.col("_sum")) < 1e-6).alias("rolled_up"),
+                                      (F.col("buffer") > 0).alias("buffered"), (F.col("order_qty") == want).alias("ordered"))
 
 
 def _two_scores(i: Inputs) -> DataFrame:

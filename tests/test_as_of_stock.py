@@ -76,9 +76,10 @@ def test_features_use_the_targets_weekday_and_any_number_of_items(spark):
     start = dt.date(P.TRAIN_YEAR, 1, 4)  # a Monday
     data = [(start + dt.timedelta(days=k), f"i{n}", 10 * (k % 7 + 1)) for n in range(80) for k in range(70)]
     dense = spark.createDataFrame(data, "date date, item string, qty bigint")
-    weather = spark.createDataFrame([], "date date, temp_avg double, precipitation double, windspeed double, humidity double")
+    weather = spark.createDataFrame([(start + dt.timedelta(days=k), 1.0, 1.0, 1.0, 1.0) for k in range(70)],
+                                    "date date, temp_avg double, precipitation double, windspeed double, humidity double")
     holidays = spark.createDataFrame([], "date date")
-    m = fc.feature_matrix(dense, weather, holidays, P.TRAIN_YEAR)
+    m = fc.complete_rows(fc.feature_matrix(dense, weather, holidays, P.TRAIN_YEAR)).cache()
     tuesday = m.where((F.col("item") == "i0") & (F.col("date") == start + dt.timedelta(days=36))).first()
     assert tuesday.dow_avg == 20.0 and tuesday.sales_ratio_dow == 1.0 and tuesday.qty_lag1 == 10
     model = fc.fit_forest(m, numTrees=5)

@@ -112,7 +112,7 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() == 25
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(QUERIES) == 69 and set(QUERIES) <= set(E.queries())
+    assert len(QUERIES) == 70 and set(QUERIES) <= set(E.queries())
 
 
 FAST = ["densify", "calendar_features", "lags", "trend", "sales_ratio_dow", "unit_price", "fifo_allocate",
