@@ -8,6 +8,7 @@ places on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,7 +139,8 @@ def calendar_dummies(spark, sf_dir):
 @query
 def date_slice(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return cal.date_slice(fe.total_daily_sales(i.sales), P.AS_OF)
+    as_of = dt.date.fromisoformat(P.AS_OF)
+    return cal.date_slice(fe.total_daily_sales(i.sales_of((dt.date(as_of.year, 1, 2), as_of))), P.AS_OF)
 
 
 @query
@@ -265,7 +267,7 @@ def dish_rollup(spark, sf_dir):
 
 @query
 def split_by_year(spark, sf_dir):
-    s = fc.split_by_year(Inputs(spark, sf_dir).dense, P.TRAIN_YEAR, P.TEST_YEAR)
+    s = fc.split_by_year(Inputs(spark, sf_dir).dense_of(P.TRAIN_YEAR, P.TEST_YEAR), P.TRAIN_YEAR, P.TEST_YEAR)
     return s.select("date", "item", "qty", "split")
 
 
@@ -282,7 +284,11 @@ def yoy_weekday_aligned(spark, sf_dir):
 
 
 def _daily_revenue(i: Inputs) -> DataFrame:
-    return (i.sales.groupBy("date").agg(F.sum("revenue").cast("double").alias("sales")))
+    """The days that the comparison can meet: the base year (and the week after it, into which the last days of December
+    can be aligned), and the current year up to the as-of date."""
+    as_of = dt.date.fromisoformat(P.AS_OF)
+    days = ((dt.date(P.BASE_YEAR, 1, 1), dt.date(P.BASE_YEAR + 1, 1, 7)), (dt.date(as_of.year, 1, 2), as_of))
+    return (i.sales_of(*days).groupBy("date").agg(F.sum("revenue").cast("double").alias("sales")))
 
 
 def _aligned(i: Inputs) -> DataFrame:
@@ -309,7 +315,7 @@ def fifo_allocate(spark, sf_dir):
 
 # --------------------------------------------------------------- aggregations
 def _train_stats(i: Inputs) -> DataFrame:
-    return st.item_stats(i.dense, P.TRAIN_YEAR)
+    return st.item_stats(i.dense_of(P.TRAIN_YEAR, P.TRAIN_YEAR), P.TRAIN_YEAR)
 
 
 @query
@@ -327,7 +333,7 @@ def stable_items(spark, sf_dir):
 @query
 def dow_profile(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    p = st.dow_profile(i.dense_cal, P.TRAIN_YEAR)
+    p = st.dow_profile(cal.calendar_features(i.dense_of(P.TRAIN_YEAR, P.TRAIN_YEAR), None), P.TRAIN_YEAR)
     return p.select("item", "dow", r6("dow_mean").alias("dow_mean"), r6("dow_std").alias("dow_std"))
 
 

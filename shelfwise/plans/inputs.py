@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,22 @@ class Inputs:
         the cut Catalyst would re-aggregate the raw line table for each of them."""
         return cut_lineage(tables.sales(self.spark, self.sf_dir))
 
+    def sales_of(self, *days: tuple[dt.date, dt.date]) -> DataFrame:
+        """Daily sales of the given day ranges, the ranges pushed to the scan of the lines; for queries that need
+        a few days or one year and use them once."""
+        return tables.sales(self.spark, self.sf_dir, days)
+
+    @cached_property
+    def known_items(self) -> DataFrame:
+        """The file's item list, as the original has it in its columns: also items without a sale in a range."""
+        rows = [(f"{b} {c}", b, "DINE_IN" if c == "O" else "TAKEAWAY") for b in P.BRANDS for c in P.CHANNELS]
+        return self.spark.createDataFrame(rows, "item string, dish string, channel string")
+
+    def dense_of(self, first: int, last: int) -> DataFrame:
+        """The dense series of whole years (that the table covers), from their days alone."""
+        days = (dt.date(first, 1, 1), dt.date(last, 12, 31))
+        return cal.densify(self.sales_of(days), ("item",), ("qty",), attrs=("dish", "channel"), key_table=self.known_items, between=days)
+
     @cached_property
     def dish_item(self) -> DataFrame:
         return tables.dish_item(self.sales)

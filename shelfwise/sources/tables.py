@@ -15,16 +15,33 @@ otherwise).
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.sources.daily import read_parquet
 
 
-def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+Days = Sequence[tuple[dt.date, dt.date]]
+
+
+def in_days(df: DataFrame, column: str, days: Days) -> DataFrame:
+    """The rows of the given inclusive day ranges, as comparisons of the stored column itself, so that the Parquet scan
+    gets them (row groups and files outside are not read)."""
+    kind = df.schema[column].dataType
+    ranges = [(F.col(column) >= F.lit(str(a)).cast(kind)) & (F.col(column) < F.lit(str(b + dt.timedelta(days=1))).cast(kind)) for a, b in days]
+    return df.where(functools.reduce(lambda x, y: x | y, ranges))
+
+
+def _lineitem_part(spark: SparkSession, sf_dir: str, days: Days | None = None) -> DataFrame:
     li = read_parquet(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus", "l_shipdate")
+    if days:
+        li = in_days(li, "l_shipdate", days)
     pt = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return li.join(pt, li.l_partkey == pt.p_partkey, "inner")
 
@@ -44,11 +61,11 @@ def units_to_money(units: F.Column) -> F.Column:
     return (units.cast("decimal(38,4)") / 10000).cast("decimal(38,4)")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily sales per item (= dish + channel). Partial aggregation happens map-side;
+def sales(spark: SparkSession, sf_dir: str, days: Days | None = None) -> DataFrame:
+    """Daily sales per item (= dish + channel), of the given day ranges or all days. Partial aggregation happens map-side;
     the grouping uses the raw columns, and the item and channel strings are built once
     per (day, item) group instead of once per line."""
-    lp = _lineitem_part(spark, sf_dir)
+    lp = _lineitem_part(spark, sf_dir, days)
     g = (lp.groupBy(F.to_date("l_shipdate").alias("date"), "p_brand", "l_linestatus")
          .agg(F.sum("l_quantity").cast("bigint").alias("qty"),
               units_to_money(F.sum(net_revenue_units())).alias("revenue")))
