@@ -3,7 +3,8 @@
 Equal vectors are one node that keeps its smallest ids, so a vector repeated without bound stays one node
 and loses no answer. Nodes are dealt to shards by a hash of the vector; each shard builds its graph
 by greedy searches that propose neighbours and relaxed distance pruning that keeps diverse
-edges. Every query meets every shard, in blocks, by beam search; the shards' best
+edges, in two passes; nodes that no path from the entries reaches get an edge from the nearest that one does.
+Searches start from entries spread over the shard, so that no far cluster is missed. Every query meets every shard, in blocks, by beam search; the shards' best
 are merged by exact score.
 
 Inner product is searched as distance after one more coordinate lifts all vectors of a shard
@@ -23,6 +24,8 @@ SHARD_NODES = 8192
 DEGREE = 32
 BEAM = 72
 ALPHA = 1.2
+ENTRIES = 24        # spread starts of every search
+SPARE = 8           # edges a node may take on for unreached ones
 BATCH = 512
 QUERY_BLOCK = 8192
 
@@ -33,21 +36,68 @@ class Graph:
     def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
         self.x, self.degree, self.beam, self.alpha = x, degree, beam, np.float32(alpha * alpha)
         self.norm = np.einsum("nd,nd->n", x, x)
-        self.edges = np.full((len(x), degree), -1, np.int32)
-        self.entry = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin()) if len(x) else 0
+        self.edges = np.full((len(x), degree + SPARE), -1, np.int32)
+        self.entries = self._spread()
+
+    def _spread(self) -> np.ndarray:
+        """The node nearest to the mean, then each time the node farthest from those taken."""
+        if not len(self.x):
+            return np.zeros(0, np.int64)
+        taken = [int(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+        away = np.full(len(self.x), np.inf, np.float32)
+        while len(taken) < min(ENTRIES, self.beam, len(self.x)):
+            away = np.minimum(away, self.norm + self.norm[taken[-1]] - 2 * (self.x @ self.x[taken[-1]]))
+            away[taken] = -np.inf
+            taken.append(int(away.argmax()))
+        return np.array(taken, np.int64)
 
     def build(self, seed: int = 7) -> Graph:
         order = np.random.default_rng(seed).permutation(len(self.x))
-        order = np.concatenate([[self.entry], order[order != self.entry]]) if len(order) else order
-        at, size = 1, 1
+        order = np.concatenate([self.entries, order[~np.isin(order, self.entries)]])
+        at, size = 0, len(self.entries)
         while at < len(order):  # batches grow with the graph that they search
-            nodes = order[at:at + size]
-            found, _ = self.search(self.x[nodes], self.beam)
-            self.edges[nodes] = self.prune(nodes, found)
-            self._back(nodes)
+            self._link(order[at:at + size])
             at += size
             size = min(BATCH, 2 * size)
-        return self
+        for at in range(0, len(order), BATCH):  # again, in the whole graph
+            self._link(order[at:at + BATCH])
+        return self._reach()
+
+    def _link(self, nodes: np.ndarray) -> None:
+        found, _ = self.search(self.x[nodes], self.beam)
+        found = np.concatenate([found, self.edges[nodes, :self.degree]], axis=1)
+        self.edges[nodes, :self.degree] = self.prune(nodes, found)
+        self._back(nodes)
+
+    def reached(self) -> np.ndarray:
+        """Which nodes a path from an entry reaches."""
+        met = np.zeros(len(self.x), bool)
+        front = self.entries
+        while len(front):
+            met[front] = True
+            near = np.unique(self.edges[front])
+            near = near[near >= 0]
+            front = near[~met[near]]
+        return met
+
+    def _reach(self) -> Graph:
+        """Every node on some path: the nearest reached node with room takes an edge to an unreached one, until none is left."""
+        while True:
+            met = self.reached()
+            lost = np.flatnonzero(~met)
+            if not len(lost):
+                return self
+            for a in range(0, len(lost), BATCH):
+                some = lost[a:a + BATCH]
+                found, _ = self.search(self.x[some], self.beam)
+                for node, near in zip(some, found):
+                    near = near[near >= 0]
+                    room = near[self.edges[near, -1] < 0]
+                    if not len(room):  # all full: any reached node does
+                        room = np.flatnonzero(met & (self.edges[:, -1] < 0))
+                    to = self.edges[room[0], self.degree:]
+                    to[(to < 0).argmax()] = node
+                    met[node] = True
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for each row of q: (nodes, squared distances less |q|**2), nearest first, -1 padded."""
@@ -55,10 +105,13 @@ class Graph:
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf, np.float32)
         done = np.ones((b, beam), bool)
-        ids[:, 0], done[:, 0] = self.entry, False
-        dist[:, 0] = self.norm[self.entry] - 2 * (q @ self.x[self.entry])
+        start = self.entries[:beam]
+        ids[:, :len(start)], done[:, :len(start)] = start, False
+        dist[:, :len(start)] = self.norm[start] - 2 * (q @ self.x[start].T)
+        near_first = np.argsort(dist, axis=1, kind="stable")
+        ids, dist, done = (np.take_along_axis(a, near_first, axis=1) for a in (ids, dist, done))
         met = np.zeros((b, len(self.x)), bool)
-        met[:, self.entry] = True
+        met[:, start] = True
         live = np.arange(b)
         while len(live):
             first = (~done[live]).argmax(axis=1)
@@ -113,9 +166,10 @@ class Graph:
 
     def _back(self, nodes: np.ndarray) -> None:
         """Edges back from the new nodes' neighbours; full lists are pruned again."""
-        to = self.edges[nodes]
+        to = self.edges[nodes, :self.degree]
         src, dst = np.repeat(nodes, self.degree), to.ravel()
-        src, dst = src[dst >= 0], dst[dst >= 0]
+        new = (dst >= 0) & ~(self.edges[dst, :self.degree] == src[:, None]).any(axis=1)  # -1 reads the last row, to no effect
+        src, dst = src[new], dst[new]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         while len(dst):
@@ -127,14 +181,14 @@ class Graph:
             slot = np.cumsum(new) - 1
             more = np.full((len(who), self.degree), -1, np.int64)
             more[slot[now], rank[now]] = src[now]
-            both = np.concatenate([self.edges[who].astype(np.int64), more], axis=1)
+            both = np.concatenate([self.edges[who, :self.degree].astype(np.int64), more], axis=1)
             for a in range(0, len(who), BATCH):
                 some = slice(a, a + BATCH)
                 full = (both[some] >= 0).sum(axis=1) > self.degree
                 packed = np.take_along_axis(both[some], np.argsort(both[some] < 0, axis=1, kind="stable"), axis=1)
-                self.edges[who[some]] = packed[:, :self.degree]
+                self.edges[who[some], :self.degree] = packed[:, :self.degree]
                 if full.any():
-                    self.edges[who[some][full]] = self.prune(who[some][full], both[some][full])
+                    self.edges[who[some][full], :self.degree] = self.prune(who[some][full], both[some][full])
             src, dst = src[~now], dst[~now]
 
 
@@ -173,7 +227,7 @@ def _build(k: int):
         g = Graph(lifted(v)).build()
         return pa.table({
             "dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
-            "entry": pa.array([g.entry], pa.int32()), "vectors": pa.array([b"".join(names)], pa.binary()),
+            "entries": pa.array([g.entries.tolist()], pa.list_(pa.int64())), "vectors": pa.array([b"".join(names)], pa.binary()),
             "edges": pa.array([g.edges.tobytes()], pa.binary()),
             "ids": pa.array([[nodes[x] for x in names]], pa.list_(pa.list_(pa.int64())))})
     return run
@@ -186,7 +240,7 @@ def _search(k: int):
             dim = key[0].as_py()
             v = np.frombuffer(index.column("vectors")[0].as_py(), "<f8").reshape(-1, dim)
             g = Graph(lifted(v))
-            g.entry = index.column("entry")[0].as_py()
+            g.entries = np.array(index.column("entries")[0].as_py(), np.int64)
             g.edges = np.frombuffer(index.column("edges")[0].as_py(), np.int32).reshape(len(v), -1)
             ids = index.column("ids")[0].as_py()
             qid = queries.column("query_id").to_pylist()
@@ -233,7 +287,7 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20) -> DataFrame
     shards = max(1, -(-sized // SHARD_NODES))
     nodes = clean.mapInArrow(_distinct(k, shards), "dim int, shard int, vec binary, ids array<long>")
     index = materialise(nodes.groupBy("dim", "shard").applyInArrow(
-        _build(k), "dim int, shard int, entry int, vectors binary, edges binary, ids array<array<long>>"), "graphs")
+        _build(k), "dim int, shard int, entries array<long>, vectors binary, edges binary, ids array<array<long>>"), "graphs")
     queries = clean.where(F.col("vec_id") % query_every == 0).select(
         F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).dropDuplicates(["query_id", "v"])
     blocks = max(1, -(-sized // (query_every * QUERY_BLOCK)))

@@ -346,6 +346,25 @@ def test_nearest_recall_in_many_shards(spark, monkeypatch):
     assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.9
 
 
+def test_graph_reaches_every_node_and_recalls_in_uneven_clusters():
+    """One tight group of a third of the vectors, small far clusters, and lengths over three orders."""
+    rng = np.random.default_rng(8)
+    tight = rng.standard_normal(24) + rng.standard_normal((1000, 24)) * 0.02
+    far = np.repeat(rng.standard_normal((80, 24)) * 4, 25, axis=0) + rng.standard_normal((2000, 24)) * 0.3
+    even = np.concatenate([tight, far])
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    for v in (even, even * 10 ** rng.uniform(-1.5, 1.5, (3000, 1))):
+        g = ann.Graph(ann.lifted(v)).build()
+        assert g.reached().all()
+        ask = v[::10]
+        found, _ = g.search(np.concatenate([ask, np.zeros((len(ask), 1))], axis=1).astype(np.float32), ann.BEAM)
+        s = ask @ v.T
+        want = np.argsort(-s, axis=1, kind="stable")[:, :20]
+        assert np.mean([len(set(f[:ann.BEAM]) & set(w)) / 20 for f, w in zip(found.tolist(), want.tolist())]) >= 0.9
+    one = ann.Graph(ann.lifted(np.ones((1, 3)))).build()
+    assert one.search(np.ones((2, 4), np.float32), 5)[0][:, 0].tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("times, nodes", [(2, 8192), (30, 8192), (2, 100)])
 def test_nearest_repeated_rows(spark, monkeypatch, times, nodes):
     """Repeated rows take no places of other neighbours; ids with one vector are all found; an id with two
