@@ -3,11 +3,13 @@
 A text is a normalised TF-IDF vector of hashed byte trigrams of its letters. Document frequencies
 cover all training rows; several centroids per language are clustered (spherical k-means) on a bounded sample
 of them. The nearest centroid by cosine gives the language; a text farther from it than its
-length class allows is rejected.
+length class allows is rejected. What it allows is calibrated on rows held back from the clustering: how near they
+are to the centroids of all languages, and how near when their own language's are left out.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,10 @@ DIMS = 4096                 # hashed trigrams
 CENTROIDS = 3               # per language
 SAMPLE_ROWS = 2048          # bound of the clustering sample, over all languages
 SAMPLE_PER_LANGUAGE = 512   # and of each
-REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.5
+HELD_BACK = 4               # one in so many sample rows calibrates the rejection
+KNOWN_QUANTILE, LEFT_OUT_QUANTILE = 0.005, 0.9
+MARGIN = 0.25               # of the way from left-out to known similarities: rather keep than reject
+LEAST_ROWS, ALONE_SLACK = 20, 0.5
 UNKNOWN = "und"
 _SLICE_DOCS = 64            # dense vectors held at once
 
@@ -79,6 +84,8 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     floors: np.ndarray          # least similarity by length class
+    known_rejected: float = 0.0     # share of held-back rows that the floors reject,
+    left_out_rejected: float = 0.0  # and when their own language's centroids are left out
 
     def predict(self, has: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not self.languages:
@@ -153,23 +160,44 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMP
         v = np.zeros(DIMS, np.float32)
         v[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.float32)
         by.setdefault(r.lang, []).append(v)
-    names, found, best, classes = [], [], [], []
+    names, found, asked, own, classes = [], [], [], [], []
     for lang in sorted(by):
         counts = np.array(sorted(by[lang], key=lambda v: v.tobytes()))  # any partition order gives one model
         v = vectors(counts, idf)
-        c = cluster(v, centroids)
+        back = np.array([zlib.crc32(x.tobytes()) % HELD_BACK == 0 for x in counts])  # equal rows on one side
+        c = cluster(v if back.all() else v[~back], centroids)
         names += [lang] * len(c)
         found.append(c)
-        best.append((v @ c.T).max(axis=1)), classes.append(length_class(counts))
+        asked.append(v[back]), own.append(np.full(back.sum(), len(found) - 1)), classes.append(length_class(counts[back]))
     if not names:
         return Model([], np.zeros((0, DIMS)), idf, np.zeros(16))
-    best, classes = np.concatenate(best), np.concatenate(classes)
+    model = Model(names, np.concatenate(found).astype(np.float32), idf, np.zeros(16))
+    sim = np.stack([(np.concatenate(asked) @ c.T).max(axis=1, initial=0.0) for c in found], axis=1)
+    return calibrate(model, sim, np.concatenate(own), np.concatenate(classes))
+
+
+def calibrate(model: Model, sim: np.ndarray, own: np.ndarray, classes: np.ndarray) -> Model:
+    """Floors from held-back rows: their similarity to each language, their own language and length class. A class pools its
+    neighbours. Where known rows are nearer than left-out ones the floor lies between the two quantiles; where they are not, or nothing
+    can be left out, it is ALONE_SLACK times that of the known rows. A class of few rows takes the one below."""
+    known = sim.max(axis=1, initial=0.0)
+    others = sim.copy()
+    others[np.arange(len(own)), own] = 0.0
+    left_out = others.max(axis=1, initial=0.0)
     floors = np.zeros(16)
     for k in range(16):
-        near = best[np.abs(classes - k) <= 1]
-        floors[k] = REJECT_SLACK * np.quantile(near, REJECT_QUANTILE) if len(near) >= 20 else (floors[k - 1] if k else 0.0)
-    floors = np.maximum.accumulate(floors)  # longer texts are closer to their centroid
-    return Model(names, np.concatenate(found).astype(np.float32), idf, floors)
+        near = np.abs(classes - k) <= 1
+        if near.sum() < LEAST_ROWS:
+            floors[k] = floors[k - 1] if k else 0.0
+            continue
+        low, high = np.quantile(left_out[near], LEFT_OUT_QUANTILE), np.quantile(known[near], KNOWN_QUANTILE)
+        apart = sim.shape[1] > 1 and high > low
+        floors[k] = low + MARGIN * (high - low) if apart else ALONE_SLACK * high
+    model.floors = np.maximum.accumulate(floors)  # longer texts are closer to their centroid
+    if len(own):
+        model.known_rejected = float((known < model.floors[classes]).mean())
+        model.left_out_rejected = float((left_out < model.floors[classes]).mean()) if sim.shape[1] > 1 else 0.0
+    return model
 
 
 def _predictions(model, batch):

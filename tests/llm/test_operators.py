@@ -308,6 +308,42 @@ def test_language_id(spark):
     assert {r.lang_pred for r in none} == {"und"} and len(none) == 5
 
 
+def _language_rows(languages: str, n: int, seed: int):
+    """Texts of invented languages that share letters and some words."""
+    rng = np.random.default_rng(seed)
+    shared = ["radio", "hotel", "taxi", "normal"]
+    words = {k: ["".join(np.random.default_rng(ord(k) * 100 + j).choice(list("abcdefghilmnoprstu"), 5)) for j in range(60)] for k in "pqrs"}
+    return [(i, " ".join(rng.choice(words[k] + shared, int(rng.integers(20, 200)))), k)
+            for i, k in enumerate(languages[j % len(languages)] for j in range(n))]
+
+
+@pytest.mark.parametrize("unlearned", ["p", "s"])
+def test_language_id_rejects_an_unlearned_language(spark, unlearned):
+    ship_package(spark)
+    cols = "doc_id long, text string, lang string"
+    model = language_id.fit(spark.createDataFrame(_language_rows("pqrs".replace(unlearned, ""), 600, 1), cols))
+    assert model.left_out_rejected > 0.8 and model.known_rejected < 0.05
+    got = language_id.identify(spark.createDataFrame(_language_rows("pqrs", 400, 2), cols), model).collect()
+    assert np.mean([r.rejected for r in got if r.lang == unlearned]) > 0.9
+    assert np.mean([r.rejected for r in got if r.lang != unlearned]) < 0.02
+    assert all(r.lang_pred == r.lang for r in got if r.lang != unlearned)
+
+
+def test_language_id_long_and_repeated_rows(spark):
+    """A text of 300,000 words is read whole (only its last part speaks the language); repeated rows get one answer each; one learned
+    language alone still gives a floor."""
+    ship_package(spark)
+    cols = "doc_id long, text string, lang string"
+    rows = _language_rows("pq", 300, 3)
+    model = language_id.fit(spark.createDataFrame(rows * 2, cols))
+    p, q = (" ".join(r[1] for r in rows[i::2]) for i in (0, 1))
+    ask = spark.createDataFrame([(1, p + " " + (q + " ") * 20, None), (1, p + " " + (q + " ") * 20, None), (2, p, None)], cols)
+    got = language_id.identify(ask, model).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.rejected) for r in got) == [(1, "q", False), (1, "q", False), (2, "p", False)]
+    alone = language_id.fit(spark.createDataFrame([r for r in rows if r[2] == "p"], cols))
+    assert alone.left_out_rejected == 0.0 and language_id.accepted(spark.createDataFrame([(2, p, "x")], cols), alone).count() == 1
+
+
 def test_nearest(spark):
     ship_package(spark)
     rng = np.random.default_rng(2)
