@@ -1,17 +1,21 @@
 """Secret scan: base patterns, and a character convolution over every other candidate.
 
 The base patterns always report. A small one-dimensional convolutional network in numpy reads each remaining
-candidate token inside its surrounding text and adds the spans that it accepts. It is trained on a
-bounded sample of labelled findings: base findings (half of them with the telling words around and in
-front of the value blanked, so that the value must speak for itself) against tokens that only
-look long. Its output is calibrated on held-back findings, and the threshold is the
-highest that keeps the wanted recall there, however low.
+candidate token inside its surrounding text and adds the spans that it accepts. Candidates are all tokens of LEAST
+characters or more, and shorter ones of SHORTEST or more that hold a digit and a letter. The network is trained on a
+bounded sample of labelled findings. Positive: base findings (half of them with the telling words around and in
+front of the value blanked, so that the value must speak for itself), and keys of other alphabets drawn from a hash of each of them.
+Negative: tokens that only look long, and identifiers, UUIDs, dated paths, versions and numbers formed from the documents' own words.
+Its output is calibrated on held-back findings (Platt scaling). Long and short candidates have a threshold each that
+keeps the wanted recall on the held-back findings, however low: for short ones the highest such, for long ones halfway (in log odds) down to the
+next benign token, which costs no precision there. Recall and precision on them are kept with the network.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
-LEAST = 16              # characters of a candidate
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+LEAST = 16              # characters of a candidate of any kind
+SHORTEST = 6            # and of one with a digit and a letter
+TOKEN_CHARS = "A-Za-z0-9+/_=-"
+CANDIDATE = re.compile(rf"[{TOKEN_CHARS}]{{{LEAST},}}")
+_BEFORE = re.compile(rf"[{TOKEN_CHARS}]*\Z")
+_AFTER = re.compile(rf"[{TOKEN_CHARS}]*")
+_DIGITS = re.compile("[0-9]+")
 TRAIN_DOCS = 20_000     # bound of the documents whose findings are training data
 TRAIN_FINDINGS = 3_000  # and of the findings of each label
-RECALL = 0.98
+RECALL, SHORT_RECALL = 0.98, 0.9
+KEYS, PLAIN = 8, 3      # keys drawn for a base finding, plain tokens for a document
+LOGIT = 30.0            # bound of the calibrated logit: probabilities stay inside (0, 1)
 LEFT, TOKEN, RIGHT = 16, 40, 8
 STRIDE = 20             # of the windows over a candidate longer than TOKEN
 WIDTH = LEFT + TOKEN + RIGHT
 JUDGED = 8192           # windows judged at a time
+DRAWN = 4               # kind of a drawn key or plain token
+_WORDS = re.compile("[A-Za-z]{2,12}")
 _LABELLED = "label int, kind int, codes binary"
 
 
@@ -54,18 +67,76 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def short_candidates(text: str) -> list[tuple[int, int]]:
+    """Whole tokens of SHORTEST to LEAST - 1 characters with a digit and a letter. The search goes from digit to digit and looks
+    LEAST characters around, so a long token costs no more than its digits."""
+    out, end = [], 0
+    for m in _DIGITS.finditer(text):
+        if m.start() < end:
+            continue
+        a = m.start() - len(_BEFORE.search(text[max(0, m.start() - LEAST):m.start()])[0])
+        b = _AFTER.match(text, m.start(), m.end() + LEAST).end()
+        end = b
+        if SHORTEST <= b - a < LEAST and _mixed(text[a:b]):
+            out.append((a, b))
+    return out
+
+
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens, and what base findings leave of those that they touch where that is long enough."""
+    """Long tokens, and what base findings leave of those that they touch where that is long enough; then short mixed tokens that
+    no base finding touches."""
     out = []
     for m in CANDIDATE.finditer(text):
         at, end = m.span()
-        for a, b in sorted((a, b) for a, b, _ in base if a < end and at < b):
+        for a, b in _touching(base, at, end):
             if a - at >= LEAST:
                 out.append((at, a))
             at = max(at, b)
         if end - at >= LEAST:
             out.append((at, end))
-    return out
+    return out + [(a, b) for a, b in short_candidates(text) if not _touching(base, a, b)]
+
+
+def _touching(base: list[tuple[int, int, int]], at: int, end: int) -> list[tuple[int, int]]:
+    return sorted((a, b) for a, b, _ in base if a < end and at < b)
+
+
+_UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = (_UPPER + _LOWER + _DIGIT, _UPPER + _LOWER + _DIGIT + "+/", _UPPER + _LOWER + _DIGIT + "-_", _UPPER + "234567", _DIGIT + "ABCDEF",
+             _LOWER + _DIGIT)
+PREFIXES = ("", "", "", "sk_live_", "pk_test_", "key-", "eyJ")
+
+
+def key_like(rng: random.Random) -> str:
+    """A key of one of several alphabets, with a digit and a letter; a third are short."""
+    n = rng.randint(10, LEAST - 1) if rng.random() < 1 / 3 else rng.randint(LEAST, 64)
+    alphabet, prefix = rng.choice(ALPHABETS), rng.choice(PREFIXES) if n >= LEAST else ""
+    while True:
+        key = "".join(rng.choices(alphabet, k=n))
+        if _mixed(key):
+            return prefix + key
+
+
+def plain_like(rng: random.Random, words: list[str]) -> str:
+    """A token that holds digits and is no secret, from words of the document itself."""
+    w = lambda: rng.choice(words)
+    d = lambda n: "".join(rng.choices(_DIGIT, k=n))
+    h = lambda n: "".join(rng.choices(_DIGIT + "abcdef", k=n))
+    day = f"{rng.randint(1980, 2039)}{rng.choice('-/')}{rng.randint(1, 12):02d}{rng.choice('-/')}{rng.randint(1, 28):02d}"
+    form = rng.randrange(12)
+    if form in (0, 1):
+        uuid = "-".join(h(n) for n in (8, 4, 4, 4, 12))
+        return uuid.upper() if rng.random() < 0.25 else uuid
+    return ("/".join([*(w() for _ in range(rng.randint(1, 3))), day, *(w() for _ in range(rng.randint(0, 2)))]),
+            f"/{w()}/{w()}/{d(rng.randint(1, 9))}/{w()}",
+            f"{w()}-{d(1)}-{d(rng.randint(1, 2))}-{d(rng.randint(1, 3))}-{w()}",
+            f"{w()}_{d(rng.randint(1, 2))}_{w()}",
+            f"{d(3)}-{d(1)}-{d(rng.randint(2, 5))}-{d(rng.randint(3, 6))}-{d(1)}",
+            f"{day}T{d(4)}",
+            "".join([w().lower(), *(w().capitalize() for _ in range(rng.randint(1, 4)))]) + d(rng.randint(1, 3)),
+            f"{w()}{d(rng.randint(1, 4))}",
+            "-".join(w() for _ in range(rng.randint(2, 6))) + f"-{d(rng.randint(1, 4))}",
+            f"{w()}={d(rng.randint(1, 8))}")[form - 2]
 
 
 def windows(start: int, end: int) -> list[int]:
@@ -104,12 +175,14 @@ PLANES, FILTERS, TAPS, HIDDEN = 10, 16, 5, 16
 @dataclass
 class Network:
     """conv(TAPS) -> relu -> mean and maximum over the window -> dense -> relu -> logit, with a
-    calibrated slope and offset and the accepting threshold."""
+    calibrated slope and offset and the accepting thresholds; ``held_back`` has (findings, recall, precision) by length."""
 
     weights: list[np.ndarray]
     slope: float = 1.0
     offset: float = 0.0
     threshold: float = 2.0  # accepts nothing
+    short_threshold: float = 2.0
+    held_back: dict = field(default_factory=dict)
 
     @staticmethod
     def fresh(seed: int = 11) -> Network:
@@ -152,46 +225,90 @@ class Network:
                     self.weights[i] -= rate * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
-        """Platt scaling on held-back findings, then the highest threshold with the wanted
-        recall on them."""
-        z = self.forward(x)[-1].astype(np.float64)
-        a, b = 1.0, 0.0
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, short_recall: float = SHORT_RECALL) -> Network:
+        """Platt scaling on held-back findings, then for long and for short candidates a threshold with the wanted
+        recall on them. Newton steps are halved until the loss falls, and a slope far from 1 costs a little, so that classes far apart
+        don't drive it off. Without short findings no short candidate is accepted."""
+        z = self._logits(x)
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # smoothed labels
-        for _ in range(50):  # Newton steps
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-            g = np.array([((p - target) * z).sum(), (p - target).sum()])
-            w = p * (1 - p) + 1e-9
-            hess = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-            d = np.linalg.solve(hess, g)
-            a, b = a - d[0], b - d[1]
-            if np.abs(d).max() < 1e-7:
+
+        def loss(ab: np.ndarray) -> float:
+            t = ab[0] * z + ab[1]
+            return float((np.logaddexp(0, t) - target * t).sum() + 0.5 * (ab[0] - 1) ** 2)
+        ab = np.array([1.0, 0.0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(ab[0] * z + ab[1], -LOGIT, LOGIT)))
+            w = p * (1 - p)
+            g = np.array([((p - target) * z).sum() + ab[0] - 1, (p - target).sum()])
+            d = np.linalg.solve(np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]]), g)
+            step = 1.0
+            while loss(ab - step * d) > loss(ab) and step > 1e-6:
+                step /= 2
+            ab = ab - step * d
+            if np.abs(step * d).max() < 1e-7:
                 break
-        self.slope, self.offset = float(a), float(b)
-        p = np.sort(self.probability(x)[y > 0])
-        self.threshold = float(p[int((1 - recall) * len(p))])
+        self.slope, self.offset = float(ab[0]), float(ab[1])
+        p, short = self.probability(x), _token_length(x) < LEAST
+        for name, some, keep in (("long", ~short, recall), ("short", short, short_recall)):
+            true = np.sort(p[some & (y > 0)])
+            at = float(true[int((1 - keep) * len(true))]) if len(true) else 2.0
+            below = p[some & (y == 0) & (p < at)]
+            if name == "long" and len(true) and len(below):
+                odds = [np.log(q / (1 - q)) for q in (at, below.max())]
+                at = float(1 / (1 + np.exp(-sum(odds) / 2)))
+            took = some & (p >= at)
+            self.held_back[name] = (len(true), float((true >= at).mean()) if len(true) else 0.0, float(y[took].mean()) if took.any() else 0.0)
+            if name == "long":
+                self.threshold = at
+            else:
+                self.short_threshold = at
         return self
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def _logits(self, x: np.ndarray) -> np.ndarray:
         out = [self.forward(x[a:a + 1024])[-1] for a in range(0, len(x), 1024)]
-        z = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
+        return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+
+    def accepts(self, x: np.ndarray) -> np.ndarray:
+        return self.probability(x) >= np.where(_token_length(x) < LEAST, self.short_threshold, self.threshold)
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Strictly between 0 and 1."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * self._logits(x) + self.offset, -LOGIT, LOGIT)))
+
+
+def _token_length(x: np.ndarray) -> np.ndarray:
+    """Characters of the token in the window, from its plane of _features."""
+    return x[:, :, -1].sum(axis=1)
 
 
 def _labelled(batches):
     for batch in batches:
         rows = ([], [], [])
+
+        def add(label: int, kind: int, text: str, a: int, e: int, blank: bool) -> None:
+            for at in {a, windows(a, e)[-1]}:
+                rows[0].append(label), rows[1].append(kind), rows[2].append(codes(text, a, e, blank, at))
+
         for text in as_array(batch.column("text")).to_pylist():
             base = base_findings(text)
             for s, e, kind in base:
                 a = s + len(m[0]) - len(m[2]) if kind == 0 and (m := ASSIGN.match(text, s)) else s
-                for at in {a, windows(a, e)[-1]}:
-                    for blank in (False, True):
-                        rows[0].append(1), rows[1].append(kind), rows[2].append(codes(text, a, e, blank, at))
+                rng = random.Random(text[a:e])  # the value decides, copies draw the same
+                for blank in (False, True):
+                    add(1, kind, text, a, e, blank)
+                for i in range(KEYS):
+                    left, key = text[max(0, s - LEFT):s], key_like(rng)
+                    add(1, DRAWN, left + key + text[e:e + RIGHT], len(left), len(left) + len(key), bool(i & 1))
             for s, e in other_candidates(text, base):
                 if not _mixed(text[s:e]):  # unlabelled otherwise
-                    for at in {s, windows(s, e)[-1]}:
-                        rows[0].append(0), rows[1].append(-1), rows[2].append(codes(text, s, e, bool(s & 1), at))
+                    add(0, -1, text, s, e, bool(s & 1))
+            rng = random.Random(text)
+            for i in range(PLAIN):
+                at = rng.randrange(len(text) + 1)
+                gap = text.find(" ", at, at + 200) + 1
+                if gap and (words := _WORDS.findall(text[gap:gap + 200])):
+                    left, token = text[max(0, gap - LEFT):gap], plain_like(rng, words)
+                    add(0, DRAWN, left + token + text[gap - 1:gap - 1 + RIGHT], len(left), len(left) + len(token), i == 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())],
             names=["label", "kind", "codes"])
@@ -230,8 +347,8 @@ def find_all(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]
     accepted = set()
 
     def judge() -> None:
-        p = net.probability(_features(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)))
-        accepted.update(w for w, ok in zip(where, p >= net.threshold) if ok)
+        ok = net.accepts(_features(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)))
+        accepted.update(w for w, good in zip(where, ok) if good)
         where.clear(), raw.clear()
 
     for i, (t, base) in enumerate(zip(texts, out)):

@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small tables with nulls, empty, long and repeated
 texts, ties, empty tables and clashing column names."""
 
+import base64
 import collections
 import hashlib
 import re
@@ -208,6 +209,53 @@ def test_secret_scan_threshold_and_rest_of_touched_tokens():
     assert secret_scan.other_candidates(text, base) == [(0, 20), (48, 68)]
 
 
+def _findings_corpus(spark, n: int = 400):
+    rng = np.random.default_rng(21)
+    words = ["valley", "copper", "river", "under", "mostly", "garden", "system", "letter", "window", "market", "orange", "simple"]
+    say = lambda k: " ".join(rng.choice(words, k))
+    docs = [(i, f"{say(12)} token = {hashlib.sha1(bytes([i % 256, i // 256])).hexdigest()} {say(6)} {'window' * 3} {say(30)}") for i in range(n)]
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+
+def test_secret_scan_finds_keys_and_leaves_identifiers(spark):
+    """The network is calibrated (probabilities inside 0 and 1, recall as constrained, precise on held-back findings), finds keys of several
+    alphabets drawn here by other rules, and leaves UUIDs, dated paths, versions and numbers alone."""
+    ship_package(spark)
+    net = secret_scan.train(_findings_corpus(spark))
+    assert 0 < net.threshold < 1 and 0 < net.short_threshold < 1 and 0 < net.slope < 1e3
+    (n, recall, precision), (short_n, short_recall, short_precision) = net.held_back["long"], net.held_back["short"]
+    assert n > 50 and recall >= secret_scan.RECALL and precision > 0.95
+    assert short_n > 20 and short_recall >= secret_scan.SHORT_RECALL and short_precision > 0.9
+    raw = np.random.default_rng(4).bytes(500 * secret_scan.WIDTH) + bytes(100 * secret_scan.WIDTH)
+    p = net.probability(secret_scan._features(np.frombuffer(raw, np.uint8).reshape(-1, secret_scan.WIDTH)))
+    assert (p > 0).all() and (p < 1).all()
+
+    seen = [hashlib.sha512(f"key {i}".encode()).digest() for i in range(60)]
+    keys = [f(d) for d in seen for f in (lambda d: base64.b64encode(d[:33]).decode(), lambda d: base64.urlsafe_b64encode(d[:24]).decode(),
+                                         lambda d: "sk_live_" + re.sub("[^A-Za-z0-9]", "x", base64.b64encode(d[:21]).decode()),
+                                         lambda d: base64.b32encode(d[:20]).decode())]
+    plain = [f(i, d.hex()) for i, d in enumerate(seen) for f in (
+        lambda i, h: f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}", lambda i, h: f"archive/{1990 + i % 40}/{i % 12 + 1:02d}/{i % 28 + 1:02d}/report",
+        lambda i, h: f"release-{i % 9}-{i % 30}-{i}-final", lambda i, h: f"library/item/{i * 7919}/detail", lambda i, h: f"chapter{i}")]
+    found = lambda tokens: np.mean([any(s <= 11 < e for s, e, _ in f)
+                                    for f in secret_scan.find_all([f"the letter {t} was there" for t in tokens], net)])
+    assert found(keys) > 0.9 and found(plain) < 0.05
+
+
+def test_secret_scan_short_candidates():
+    """Short tokens need a digit and a letter and stand alone; a token too long or touched by a base finding is none of them."""
+    take = lambda t: [t[a:b] for a, b in secret_scan.short_candidates(t)]
+    assert take("ab12 abc123 123456 abcdef x7Kq9Lm2Zt utf8mb4. 1a2b3c") == ["abc123", "x7Kq9Lm2Zt", "utf8mb4", "1a2b3c"]
+    assert take("a1" * 8) == [] and take("a1" * 7 + "b") == ["a1" * 7 + "b"] and take("") == []
+    assert take("1" + "a" * 400_000 + "1" + "b" * 400_000 + " c3d4e5") == ["c3d4e5"]
+    text = "token=abc123 pass1234"
+    assert secret_scan.other_candidates(text, secret_scan.base_findings(text)) == [(13, 21)]
+    net = secret_scan.Network.fresh()
+    x = secret_scan._features(np.zeros((40, secret_scan.WIDTH), np.uint8))
+    far = net.calibrate(x, np.repeat([1.0, 0.0], 20))  # nothing to learn, no division by a zero spread
+    assert np.isfinite([far.slope, far.offset]).all()
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
