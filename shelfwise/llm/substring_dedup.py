@@ -7,7 +7,8 @@ always meet and a sort of the window hashes, with a check of the words, counts t
 
 Skew: inside a batch equal super-k-mers collapse into the smallest document that has them (the others are
 settled there, since a smaller document is known), so a passage found everywhere sends
-one string per batch; windows of minimisers that are frequent, by a fixed-size count table, are
+one string per batch; what is settled goes by its row, not by the bucket of the passage, so the rows that hold a frequent
+one spread over all buckets; windows of minimisers that are frequent, by a fixed-size count table, are
 dealt one by one by the hash of the whole window instead of by the minimiser.
 """
 
@@ -149,7 +150,8 @@ def _deal(size: int, buckets: int, hot_flags):
                     out[0].append(bucket), out[1].append(False), out[2].append(_frame(parts))
                 # a smaller document of the slab has every window of these: they need no meeting
                 last = start + num + size - 1
-                for bucket, at in _by_bucket(home, np.flatnonzero(done)):
+                by_row = (mix(row.view(np.uint64)) % _U(buckets)).astype(np.int64)
+                for bucket, at in _by_bucket(by_row, np.flatnonzero(done)):
                     parts = [row[at].tobytes(), start[at].astype(np.int32).tobytes(), last[at].astype(np.int32).tobytes()]
                     out[0].append(bucket), out[1].append(True), out[2].append(_frame(parts))
                 yield pa.RecordBatch.from_arrays(

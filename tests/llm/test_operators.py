@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,25 @@ def test_decontamination(spark, docs, rows):
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
 
+def test_substring_dedup_spreads_the_rows_of_a_frequent_line(spark):
+    """One line in a third of the rows: what is settled in a batch is dealt by row over all buckets, whole."""
+    from types import SimpleNamespace
+    line = " ".join(f"common{i}" for i in range(13))
+    texts = [f"{line} own{i}" if i % 3 == 0 else f"own{i} " * 14 for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([zlib.crc32(bytes([i % 256, i // 256])) << 20 for i in range(3000)], pa.int64()),
+                                        pa.array(texts)], names=["doc_id", "row_key", "text"])
+    flags = SimpleNamespace(value=np.packbits(np.ones(1 << substring_dedup.CELL_BITS, bool)).tobytes())  # frequent: windows travel singly
+    settled = collections.Counter()
+    for out in substring_dedup._deal(13, 16, flags)([batch]):
+        for r in out.to_pylist():
+            if r["settled"]:
+                settled[r["bucket"]] += len(substring_dedup._unframe(r["blob"])[0]) // 8
+    assert sum(settled.values()) == 999 and len(settled) == 16 and max(settled.values()) < 3 * 999 / 16
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_windows(df).collect()}
+    assert got == {i: 13 if i % 3 == 0 and i else 0 for i in range(3000)}
+
+
 def test_secret_scan(spark, docs, rows):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     rng = np.random.default_rng(9)
