@@ -359,6 +359,22 @@ def test_sharding(docs, rows):
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * .3 * .7 * 80 / 99) < 0.3
 
 
+def test_sharding_is_uniform(spark):
+    """Shards and places of consecutive ids look like a uniform permutation's: the cell counts of id range by shard and by slot range are within
+    five standard deviations of chi-square, and neighbours don't stay together."""
+    n, shards = 16_000, 16
+    got = sorted(sharding.uniform_shards(spark.range(n).withColumnRenamed("id", "doc_id"), "doc_id", shards).collect())
+    ids, shard, slot = (np.array([r[c] for r in got]) for c in ("doc_id", "shard", "slot"))
+    assert sorted(zip(shard.tolist(), slot.tolist())) == [(i, j) for i in range(shards) for j in range(n // shards)]
+    for place in (shard, slot // 100):
+        cells = np.histogram2d(ids // 1000, place, bins=(np.arange(17), np.arange(place.max() + 2)))[0]
+        want = cells.sum(axis=1, keepdims=True) * cells.sum(axis=0) / n
+        free = (cells.shape[0] - 1) * (cells.shape[1] - 1)
+        assert abs(((cells - want) ** 2 / want).sum() - free) < 5 * np.sqrt(2 * free)
+    at = shard * (n // shards) + slot
+    assert abs(np.corrcoef(ids, at)[0, 1]) < 5 / np.sqrt(n) and (np.abs(np.diff(at)) == 1).sum() < 15
+
+
 def test_language_id(spark):
     ship_package(spark)
     rng = np.random.default_rng(1)
