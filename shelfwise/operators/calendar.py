@@ -92,6 +92,14 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row), on=F.lit(True), how="inner")
 
 
+def only_row(df: DataFrame) -> DataFrame:
+    """df if it is exactly one row, by a global aggregate; none or several rows fail."""
+    n = F.count(F.lit(1))
+    message = F.concat(F.lit("expected exactly one row, got "), n.cast("string"))
+    row = F.when(n == 1, F.first(F.struct(*df.columns))).otherwise(F.raise_error(message))
+    return df.agg(row.alias("_row")).select("_row.*")
+
+
 def densify(sales: DataFrame, keys: Sequence[str] = ("item",), values: Sequence[str] = ("qty",),
             attrs: Sequence[str] = (), key_table: DataFrame | None = None, span: str = "global",
             date_col: str = "date", fill: Column | int = 0, partitions: int | None = None,

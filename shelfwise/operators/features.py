@@ -10,7 +10,7 @@ date (no unpartitioned window).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,12 +110,14 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 
 # --------------------------------------------------------- 25. assemble_features
-def assemble_features(blocks: Sequence[DataFrame], on: Sequence[str] = ("date", "item"),
+def assemble_features(blocks: Sequence[DataFrame | Callable[[DataFrame], DataFrame]], on: Sequence[str] = ("date", "item"),
                       how: str = "inner") -> DataFrame:
-    """Feature blocks side by side by key (the positional concat made explicit)."""
+    """Feature blocks side by side by key (the positional concat made explicit). The first block is a frame. A further one
+    is a frame, joined by key, or a function that adds its columns to what there is so far: blocks derived from the same
+    series need no join and share its partitioning."""
     out = blocks[0]
     for b in blocks[1:]:
-        out = out.join(b, list(on), how)
+        out = out.join(b, list(on), how) if isinstance(b, DataFrame) else b(out)
     return out
 
 
@@ -157,14 +159,6 @@ def lags(df: DataFrame, value: str = "qty", ks: Mapping[int, Sequence[str] | Non
     return out
 
 
-def day_lag(daily: DataFrame, cols: Sequence[str], days: int = 1, date_col: str = "date",
-            suffix: str = "_lag1") -> DataFrame:
-    """Per-date series lagged by calendar days: equi-join on the shifted date."""
-    prev = daily.select(F.date_add(date_col, days).alias(date_col),
-                        *[F.col(c).alias(c + suffix) for c in cols])
-    return daily.join(prev, date_col, "left")
-
-
 # -------------------------------------------------------- 44. dow_rolling_mean
 def dow_rolling_mean(df: DataFrame, n: int = 6, value: str = "qty", keys: Sequence[str] = ("item",),
                      dow_col: str = "dow", date_col: str = "date", out: str = "dow_avg",

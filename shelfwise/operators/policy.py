@@ -59,9 +59,9 @@ def adjust_buffer(base: float, ratio: float, orders: float, ladder=BUFFER_LADDER
     return base
 
 
-def representative_items(dish_item: DataFrame) -> DataFrame:
-    """First item (lowest ``ord``) of each dish represents it."""
-    return (dish_item.groupBy("dish")
+def representative_items(dish_item: DataFrame, site: Sequence[str] = ()) -> DataFrame:
+    """First item (lowest ``ord``) of each dish (of each site) represents it."""
+    return (dish_item.groupBy(*site, "dish")
             .agg(F.min_by("item", F.struct("ord", "item")).alias("item")))
 
 
@@ -69,13 +69,14 @@ def representative_items(dish_item: DataFrame) -> DataFrame:
 def buffers_rmse(dish_item: DataFrame, stats: DataFrame, rmse: DataFrame,
                  override_a: Sequence[str], override_b: Sequence[str], high: float = 3.0,
                  rmse_mult: float = 1.5, avg_mult: float = 0.25, floor_value: float = 0.25,
-                 a_value: float = 0.3, b_value: float = 2.0) -> DataFrame:
+                 a_value: float = 0.3, b_value: float = 2.0, site: Sequence[str] = ()) -> DataFrame:
     """Training-time buffer per dish from its representative item's training mean
     (``stats.avg_qty``) and RMSE: A -> a_value; avg>high -> ceil(rmse_mult*rmse);
-    avg>0 -> ceil(avg_mult*avg); else floor_value; then B -> b_value."""
-    rep = representative_items(dish_item)
-    j = (rep.join(stats.select("item", "avg_qty"), "item", "left")
-            .join(rmse.select("item", "rmse"), "item", "left"))
+    avg>0 -> ceil(avg_mult*avg); else floor_value; then B -> b_value. ``site`` names further key columns that all
+    three frames carry (a site's own means and errors)."""
+    rep = representative_items(dish_item, site)
+    j = (rep.join(stats.select(*site, "item", "avg_qty"), [*site, "item"], "left")
+            .join(rmse.select(*site, "item", "rmse"), [*site, "item"], "left"))
     avg = F.coalesce(F.col("avg_qty"), F.lit(0.0))
     r = F.coalesce(F.col("rmse"), F.lit(0.0))
     buf = (F.when(F.col("dish").isin(list(override_b)), F.lit(float(b_value)))
@@ -83,37 +84,39 @@ def buffers_rmse(dish_item: DataFrame, stats: DataFrame, rmse: DataFrame,
            .when(avg > high, F.ceil(r * rmse_mult).cast("double"))
            .when(avg > 0, F.ceil(avg * avg_mult).cast("double"))
            .otherwise(F.lit(float(floor_value))))
-    return j.select("dish", buf.alias("buffer"))
+    return j.select(*site, "dish", buf.alias("buffer"))
 
 
 # --------------------------------------------------------------- 58. buffers_share
 def buffers_share(dish_item: DataFrame, means: DataFrame, override_a: Sequence[str],
                   override_b: Sequence[str], high: float = 5.0, mid: float = 2.0,
                   shares: tuple[float, float, float] = (0.3, 0.25, 0.2),
-                  a_value: float = 0.3, b_value: float = 1.5) -> DataFrame:
+                  a_value: float = 0.3, b_value: float = 1.5, site: Sequence[str] = ()) -> DataFrame:
     """Serving buffer per dish from its representative item's mean over all data
     (``means.avg_qty``; a missing item counts 0): A, B fixed; avg>high -> ceil(.3 avg);
-    avg>mid -> ceil(.25 avg); else ceil(.2 avg)."""
-    rep = representative_items(dish_item)
-    j = rep.join(means.select("item", "avg_qty"), "item", "left")
+    avg>mid -> ceil(.25 avg); else ceil(.2 avg). ``site`` as in :func:`buffers_rmse`."""
+    rep = representative_items(dish_item, site)
+    j = rep.join(means.select(*site, "item", "avg_qty"), [*site, "item"], "left")
     avg = F.coalesce(F.col("avg_qty"), F.lit(0.0))
     buf = (F.when(F.col("dish").isin(list(override_a)), F.lit(float(a_value)))
            .when(F.col("dish").isin(list(override_b)), F.lit(float(b_value)))
            .when(avg > high, F.ceil(avg * shares[0]).cast("double"))
            .when(avg > mid, F.ceil(avg * shares[1]).cast("double"))
            .otherwise(F.ceil(avg * shares[2]).cast("double")))
-    return j.select("dish", buf.alias("buffer"))
+    return j.select(*site, "dish", buf.alias("buffer"))
 
 
 # ---------------------------------------------------------------- 27. order_inputs
 def order_inputs(fc: DataFrame, buffers: DataFrame, usable: DataFrame,
-                 keys: Sequence[str] = ("dish",), stock_key: str = "dish") -> DataFrame:
-    """Forecast left-joined to buffers and usable stock; missing values are 0."""
-    j = (fc.join(buffers.select(stock_key, F.col("buffer").alias("_b")), stock_key, "left")
-           .join(usable.select(stock_key, F.col("usable").alias("_u")), stock_key, "left"))
+                 keys: Sequence[str] = ("dish",), stock_key: str | Sequence[str] = "dish") -> DataFrame:
+    """Forecast left-joined to buffers and usable stock on the stock key (one column or several: a site and a dish);
+    missing values are 0, fractions of stock stay."""
+    on = [stock_key] if isinstance(stock_key, str) else list(stock_key)
+    j = (fc.join(buffers.select(*on, F.col("buffer").alias("_b")), on, "left")
+           .join(usable.select(*on, F.col("usable").alias("_u")), on, "left"))
     return j.select(*keys, *[c for c in fc.columns if c not in keys],
                     F.coalesce("_b", F.lit(0.0)).alias("buffer"),
-                    F.coalesce("_u", F.lit(0)).cast("bigint").alias("usable"))
+                    F.coalesce("_u", F.lit(0)).alias("usable"))
 
 
 # -------------------------------------------------------------- 59. order_quantity

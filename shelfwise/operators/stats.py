@@ -55,17 +55,19 @@ def dow_profile(df: DataFrame, year: int | None = None, value: str = "qty",
 
 
 # ----------------------------------------------------------------- 32. unit_price
-def unit_price(sales: DataFrame, dish_item: DataFrame, default: float = DEFAULT_PRICE) -> DataFrame:
+def unit_price(sales: DataFrame, dish_item: DataFrame, default: float = DEFAULT_PRICE, site: Sequence[str] = ()) -> DataFrame:
     """Per dish sum(revenue)/sum(qty) over its items whose total quantity is > 0;
-    ``default`` when none. Money stays DECIMAL until the final division."""
-    per_item = (sales.groupBy("dish", "item")
+    ``default`` when none. Money stays DECIMAL until the final division. ``site`` names further key columns of both
+    frames: a site's own prices."""
+    keys = [*site, "dish"]
+    per_item = (sales.groupBy(*keys, "item")
                 .agg(F.sum("revenue").alias("_rev"), F.sum("qty").alias("_q"))
                 .where(F.col("_q") > 0))
-    per_dish = per_item.groupBy("dish").agg(F.sum("_rev").alias("_rev"), F.sum("_q").alias("_q"))
-    dishes = dish_item.select("dish").distinct()
+    per_dish = per_item.groupBy(*keys).agg(F.sum("_rev").alias("_rev"), F.sum("_q").alias("_q"))
+    dishes = dish_item.select(*keys).distinct()
     price = F.try_divide(F.col("_rev").cast("double"), F.col("_q").cast("double"))
-    return (dishes.join(per_dish, "dish", "left")
-            .select("dish", F.coalesce(price, F.lit(float(default))).alias("price")))
+    return (dishes.join(per_dish, keys, "left")
+            .select(*keys, F.coalesce(price, F.lit(float(default))).alias("price")))
 
 
 # ----------------------------------------------------------- 33. accuracy_by_item

@@ -1,5 +1,5 @@
 """Perishable stock: 23 dish_rollup, 28 fifo_allocate, 36 usable_stock, 37-40 reports,
-49 lots_by_expiry, 50 pending_orders, 62 receive, 63 stock_ledger, 64 stock_on_hand,
+49 lots_by_expiry, 50 pending_orders (and what its accepted orders brought), 62 receive, 63 stock_ledger, 64 stock_on_hand,
 65 near_expiry, 66 policy_backtest, 67 policy_compare.
 
 Stock is keyed by the stock key (``dish`` in the app; ``item`` here is that key).
@@ -22,21 +22,25 @@ from pyspark.sql import types as T
 from shelfwise.functions.constants import COST_RATE, DEFAULT_PRICE, SHELF_DAYS
 from shelfwise.functions.exprs import date_lit
 from shelfwise.operators import folds, slices
-from shelfwise.operators.calendar import attach_row, densify
+from shelfwise.operators.calendar import attach_row, densify, only_row
 from shelfwise.operators.policy import (
     BUFFER_CAP, BUFFER_LADDER, BUFFER_LOW, FORECAST_LADDER, FORECAST_LOW)
 
 
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 # ---------------------------------------------------------------- 23. dish_rollup
-def dish_rollup(df: DataFrame, dish_item: DataFrame, values: Sequence[str] = ("qty",),
-                date_col: str = "date") -> DataFrame:
-    """Item values summed to their dish per day (items absent from the data add 0).
+def dish_rollup(df: DataFrame, dish_item: DataFrame | None = None, values: Sequence[str] = ("qty",),
+                date_col: str = "date", site: Sequence[str] = ()) -> DataFrame:
+    """Item values summed to their dish per day (items absent from the data add 0), per site where ``site`` names columns.
 
-    A series that already carries its dish (e.g. the dense item series) is summed
-    directly; otherwise the item -> dish mapping is joined first. Partial sums are
+    The mapping item -> dish decides (an item without a dish takes no part; a dish column of df is replaced); without
+    one, df carries its dish itself (e.g. the dense item series) and is summed directly. Partial sums are
     taken map-side, so a dish with many items is spread over tasks by day."""
-    src = df if "dish" in df.columns else df.join(dish_item.select("item", "dish"), "item", "inner")
-    return src.groupBy(date_col, "dish").agg(*[F.sum(v).alias(v) for v in values])
+    src = df if dish_item is None else df.drop("dish").join(dish_item.select(*site, "item", "dish").distinct(), [*site, "item"], "inner")
+    return src.groupBy(date_col, *site, "dish").agg(*[F.sum(v).alias(v) for v in values])
 
 
 # --------------------------------------------------------------------- 62. receive
@@ -49,27 +53,27 @@ def receive(orders: DataFrame, shelf_days: int = SHELF_DAYS, date_col: str = "da
 
 
 # ---------------------------------------------------------------- 36. usable_stock
-def usable_stock(lots: DataFrame, as_of, key: str = "item") -> DataFrame:
-    """Sum of lot quantities with expiry >= as_of, per key (0 when none usable)."""
+def usable_stock(lots: DataFrame, as_of, key: str | Sequence[str] = "item") -> DataFrame:
+    """Sum of lot quantities with expiry >= as_of, per key (0 when none usable); fractions stay."""
     d = date_lit(as_of)
-    return lots.groupBy(key).agg(
-        F.sum(F.when(F.col("expiry") >= d, F.col("qty")).otherwise(F.lit(0))).cast("bigint").alias("usable"))
+    return lots.groupBy(*_keys(key)).agg(
+        F.sum(F.when(F.col("expiry") >= d, F.col("qty")).otherwise(F.lit(0))).alias("usable"))
 
 
 # -------------------------------------------------------------- 64. stock_on_hand
-def stock_on_hand(lots: DataFrame, as_of, key: str = "item") -> DataFrame:
+def stock_on_hand(lots: DataFrame, as_of, key: str | Sequence[str] = "item") -> DataFrame:
     """Lots with qty > 0 and their days left (expiry - as_of)."""
     d = date_lit(as_of)
     return (lots.where(F.col("qty") > 0)
-            .select(key, "qty", "expiry", F.datediff("expiry", d).alias("days_left")))
+            .select(*_keys(key), "qty", "expiry", F.datediff("expiry", d).alias("days_left")))
 
 
 # ---------------------------------------------------------------- 65. near_expiry
-def near_expiry(lots: DataFrame, as_of, horizon: int = 2, key: str = "item") -> DataFrame:
+def near_expiry(lots: DataFrame, as_of, horizon: int = 2, key: str | Sequence[str] = "item") -> DataFrame:
     """Lots with 0 <= days_left <= horizon (no quantity test, as in the original)."""
     d = date_lit(as_of)
     dl = F.datediff("expiry", d)
-    return lots.where(dl.between(0, horizon)).select(key, "qty", "expiry", dl.alias("days_left"))
+    return lots.where(dl.between(0, horizon)).select(*_keys(key), "qty", "expiry", dl.alias("days_left"))
 
 
 # ------------------------------------------------------------- 49. lots_by_expiry
@@ -158,11 +162,45 @@ def pending_orders(events: DataFrame, site: str | None = None, dish: str = "dish
             .select(*keys, dish, F.col("_l.qty").alias("qty"), F.col("_l.ts").alias("ordered_at")))
 
 
-# ---------------------------------------------------------------- 63. stock_ledger
-def _keys(key: str | Sequence[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
+def accepted_orders(events: DataFrame, site: str | None = None, dish: str = "dish", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """What each 'accept' event brought into stock: ``(site, dish, ts, seq, ordered, qty)``, for :func:`receive`.
+
+    ``ordered`` is the dish's quantity in the book just before the event, by the rules of :func:`pending_orders`; with nothing
+    pending there is no row. ``qty`` is the event's own quantity (a delivery may differ from its order) or, where that is
+    null, the ordered one; not above 0 there is no row, but the order is gone all the same. Events of one instant count by
+    ``seq``, a replace batch after the others.
+
+    Two prefix passes in slices (:mod:`shelfwise.operators.slices`), so neither a site's nor a dish's events meet in one
+    task: the site's last batch before each event, then the dish's own last event. Nothing is paired."""
+    sites = [site] if site else []
+    order = ["_ts", "_batch", "_seq", "_action", "_qty"]
+    ev = events.where(F.col("action").isin("replace", "add", "accept") & ((F.col("action") != "add") | (F.col("qty") > 0))).select(
+        *sites, dish, F.col(ts).alias("_ts"), F.when(F.col("action") == "replace", 1).otherwise(0).alias("_batch"),
+        F.col(seq).alias("_seq"), F.col("action").alias("_action"), F.col("qty").alias("_qty"))
+
+    batch = F.max(F.when(F.col("_batch") == 1, F.col("_ts")))
+    cut = slices.sliced(ev, sites, order)
+    per = cut.groupBy(*sites, slices.SLICE).agg(batch.alias("_b"))
+    per = per.select(*sites, slices.SLICE, F.max("_b").over(slices.earlier(sites)).alias("_b0"))
+    before = slices.within(sites).rowsBetween(Window.unboundedPreceding, -1)
+    ev = slices.with_summary(cut, per, sites).select(*ev.columns, F.greatest(batch.over(before), "_b0").alias("_wiped"))
+
+    own = [*sites, dish]
+    event = F.struct("_ts", "_batch", "_action", "_qty")
+    cut = slices.sliced(ev, own, order)
+    per = cut.groupBy(*own, slices.SLICE).agg(F.max_by(event, slices.AT).alias("_e"))
+    per = per.select(*own, slices.SLICE, slices.last_before(per, own, "_e").alias("_e0"))
+    last = F.coalesce(F.lag(event).over(slices.within(own)), "_e0")
+    e = slices.with_summary(cut, per, own).withColumn("_last", last).where(F.col("_action") == "accept")
+    stands = (F.col("_wiped").isNull() | (F.col("_last._ts") > F.col("_wiped"))
+              | ((F.col("_last._ts") == F.col("_wiped")) & (F.col("_last._batch") == 1)))
+    out = e.where((F.col("_last._action") != "accept") & (F.col("_last._qty") > 0) & stands).select(
+        *own, F.col("_ts").alias(ts), F.col("_seq").alias(seq), F.col("_last._qty").alias("ordered"),
+        F.coalesce("_qty", "_last._qty").alias("qty"))
+    return out.where(F.col("qty") > 0)
 
 
+# ---------------------------------------------------------------- 63. stock_ledger
 def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHELF_DAYS,
                  key: str | Sequence[str] = "item", span: str = "global", chunk_rows: int = folds.CHUNK_ROWS,
                  with_left: bool = False) -> DataFrame:
@@ -198,12 +236,12 @@ def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHE
     return out if with_left else out.drop("left")
 
 
-def lots_left(ledger: DataFrame, as_of, key: str = "item") -> DataFrame:
+def lots_left(ledger: DataFrame, as_of, key: str | Sequence[str] = "item") -> DataFrame:
     """Lots on hand when ``as_of`` opens: what the ledger (``with_left``) has left at the close of
     the day before, as ``(item, expiry, qty)`` with qty > 0. A lot that expired that day is still listed, with an expiry before as_of."""
     day = F.date_sub(date_lit(as_of), 1)
-    lots = ledger.where(F.col("date") == day).select(key, "date", F.posexplode("left").alias("age", "qty"))
-    return lots.where("qty > 0").select(key, F.expr("date_add(date, age)").alias("expiry"), "qty")
+    lots = ledger.where(F.col("date") == day).select(*_keys(key), "date", F.posexplode("left").alias("age", "qty"))
+    return lots.where("qty > 0").select(*_keys(key), F.expr("date_add(date, age)").alias("expiry"), "qty")
 
 
 # -------------------------------------------------------------- 66. policy_backtest
@@ -239,9 +277,10 @@ def policy_backtest(plan: DataFrame, adaptive: bool = True, shelf_days: int = SH
 
 
 # ------------------------------------------------------------------ 37. waste_ratio
-def waste_ratio(ledger: DataFrame, key: str = "dish", order_col: str = "order_qty") -> DataFrame:
-    """waste/orders per key where orders > 0, else 0; display form x100 to 2 places."""
-    g = ledger.groupBy(key).agg(F.sum("waste").cast("bigint").alias("waste"),
+def waste_ratio(ledger: DataFrame, key: str | Sequence[str] = "dish", order_col: str = "order_qty") -> DataFrame:
+    """waste/orders per key where orders > 0, else 0; display form x100 to 2 places. The ledger is the back-test's (66) or
+    the recorded one (63; ``order_col`` = 'delivered')."""
+    g = ledger.groupBy(*_keys(key)).agg(F.sum("waste").cast("bigint").alias("waste"),
                                 F.sum(order_col).cast("bigint").alias("orders"))
     r = F.when(F.col("orders") > 0, F.col("waste") / F.col("orders")).otherwise(F.lit(0.0))
     return g.withColumn("waste_ratio", r).withColumn("waste_pct", F.round(F.col("waste_ratio") * 100, 2))
@@ -252,14 +291,14 @@ def high_waste(ratios: DataFrame, threshold: float = 0.15) -> DataFrame:
     return ratios.where(F.col("waste_ratio") > threshold)
 
 
-def _priced(ledger: DataFrame, price: DataFrame, key: str) -> DataFrame:
-    return ledger.join(price.select(key, "price"), key, "left").withColumn(
+def _priced(ledger: DataFrame, price: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    return ledger.join(price.select(*_keys(key), "price"), _keys(key), "left").withColumn(
         "price", F.coalesce(F.col("price"), F.lit(DEFAULT_PRICE)))
 
 
 # --------------------------------------------------------------- 39. monthly_losses
 def monthly_losses(ledger: DataFrame, price: DataFrame, cost_rate: float = COST_RATE,
-                   key: str = "dish", year: int | None = None) -> DataFrame:
+                   key: str | Sequence[str] = "dish", year: int | None = None) -> DataFrame:
     """Per month: waste money = waste*price*cost_rate, stock-out money = short*price;
     all 12 months present (0 when no data)."""
     led = ledger if year is None else ledger.where(F.year("date") == year)
@@ -275,7 +314,7 @@ def monthly_losses(ledger: DataFrame, price: DataFrame, cost_rate: float = COST_
 
 # -------------------------------------------------------------------- 40. year_kpis
 def year_kpis(ledger: DataFrame, price: DataFrame, cost_rate: float = COST_RATE,
-              key: str = "dish", actual: str = "actual") -> DataFrame:
+              key: str | Sequence[str] = "dish", actual: str = "actual") -> DataFrame:
     """Revenue (actual demand x price), cost of sales, waste and stock-out money and
     waste as a percentage of revenue and of cost of sales (null when the base is 0)."""
     p = _priced(ledger, price, key)
@@ -291,7 +330,8 @@ def year_kpis(ledger: DataFrame, price: DataFrame, cost_rate: float = COST_RATE,
 # --------------------------------------------------------------- 67. policy_compare
 def policy_compare(base: DataFrame, new: DataFrame) -> DataFrame:
     """Revenue change %, waste reduction % and stock-out change % of ``new`` against
-    ``base`` (two one-row KPI frames); 0 when the base value is 0."""
+    ``base`` (two one-row KPI frames, anything else fails); 0 when the base value is 0."""
+    base, new = only_row(base), only_row(new)
     b = base.select(*[F.col(c).alias("b_" + c) for c in ("revenue", "waste_money", "stockout_money")])
     n = new.select(*[F.col(c).alias("n_" + c) for c in ("revenue", "waste_money", "stockout_money")])
     j = attach_row(b, n)

@@ -25,7 +25,7 @@ from shelfwise.operators import stock as sk
 from shelfwise.operators import yoy
 from shelfwise.plans import params as P
 from shelfwise.plans import training as tr
-from shelfwise.plans.inputs import Inputs
+from shelfwise.plans.inputs import Inputs, SiteInputs
 from shelfwise.session import scratch_path
 from shelfwise.sources import daily
 
@@ -210,11 +210,10 @@ def drop_incomplete(spark, sf_dir):
 
 @query
 def assemble_features(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    a = fe.lags(i.dense, "qty", (1,)).select("date", "item", "qty_lag1")
-    b = fe.trend(i.dense, (7,)).select("date", "item", r6("trend_7").alias("trend_7"))
-    c = fe.dow_rolling_mean(i.dense_cal, 6).select("date", "item", r6("dow_avg").alias("dow_avg"))
-    return fe.assemble_features([a, b, c])
+    """Three blocks of one series, each adding its columns: one exchange, no join."""
+    f = fe.assemble_features([Inputs(spark, sf_dir).dense_cal, lambda s: fe.lags(s, "qty", (1,)), lambda s: fe.trend(s, (7,)),
+                              lambda s: fe.dow_rolling_mean(s, 6)])
+    return f.select("date", "item", "qty_lag1", r6("trend_7").alias("trend_7"), r6("dow_avg").alias("dow_avg"))
 
 
 @query
@@ -262,7 +261,9 @@ def map_stats(spark, sf_dir):
 
 @query
 def dish_rollup(spark, sf_dir):
-    return Inputs(spark, sf_dir).dish_daily
+    """Item series without a dish, rolled up by the mapping."""
+    i = Inputs(spark, sf_dir)
+    return sk.dish_rollup(i.dense.select("date", "item", "qty"), i.dish_item)
 
 
 @query
@@ -452,6 +453,17 @@ def pending_orders(spark, sf_dir):
     return sk.pending_orders(order_events(spark, sf_dir), site="site")
 
 
+@query
+def accepted_lots(spark, sf_dir):
+    """Accepted orders received as lots. The accept events with an odd number state the delivered quantity; the others
+    accept what was ordered."""
+    ev = order_events(spark, sf_dir)
+    stated = (F.col("action") != "accept") | (F.col("seq") % 2 == 1)
+    got = sk.accepted_orders(ev.withColumn("qty", F.when(stated, F.col("qty"))), site="site")
+    return sk.receive(got.withColumn("date", F.to_date("ts")), key="dish").select("site", "dish", F.to_date("ts").alias("accepted_at"), "seq",
+                                                                                  "ordered", "qty", "expiry")
+
+
 # ----------------------------------------------------------------- models
 @query
 def standardize(spark, sf_dir):
@@ -608,6 +620,45 @@ def policy_compare(spark, sf_dir):
     return c.select(*[r6(x).alias(x) for x in c.columns])
 
 
+# --------------------------------------- the same operators per (site, dish)
+@query
+def site_orders(spark, sf_dir):
+    """The as-of date's order of every site and dish, at the site's own price."""
+    i = SiteInputs(spark, sf_dir)
+    o = i.orders().join(i.price, list(i.DISH))
+    return o.select("site", "dish", "date", r6("forecast").alias("forecast"), "buffer", "usable", "order_qty", r6("price").alias("price"))
+
+
+@query
+def site_policy_backtest(spark, sf_dir):
+    b = SiteInputs(spark, sf_dir).backtest()
+    return b.select(*[r6(c).alias(c) if c in ("forecast", "forecast_adj", "buffer_adj", "waste_ratio") else F.col(c) for c in b.columns])
+
+
+@query
+def site_waste_ratio(spark, sf_dir):
+    """Waste by what was delivered, from the recorded ledger."""
+    i = SiteInputs(spark, sf_dir)
+    r = sk.waste_ratio(i.ledger, i.DISH, "delivered")
+    return r.select(*i.DISH, "waste", F.col("orders").alias("delivered"), r6("waste_ratio").alias("waste_ratio"), "waste_pct")
+
+
+@query
+def site_monthly_losses(spark, sf_dir):
+    """Losses of the recorded ledger, the test year's months."""
+    i = SiteInputs(spark, sf_dir)
+    m = sk.monthly_losses(i.ledger, i.price, key=i.DISH, year=P.TEST_YEAR)
+    return m.select("month", r2("waste_money").alias("waste_money"), r2("stockout_money").alias("stockout_money"))
+
+
+@query
+def site_year_kpis(spark, sf_dir):
+    """KPIs of the recorded ledger, all years."""
+    i = SiteInputs(spark, sf_dir)
+    k = sk.year_kpis(i.ledger, i.price, key=i.DISH, actual="demand")
+    return k.select(*[(r6(c) if c.startswith("waste_pct") else r2(c)).alias(c) for c in k.columns])
+
+
 # --------------------------------------------------------------- streaming
 @query
 def stream_daily_sales(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import calendar as cal
 from shelfwise.operators import stock
 from shelfwise.operators.forecast import same_weekday_forecast
-from shelfwise.operators.policy import buffers_share
+from shelfwise.operators.policy import buffers_share, order_inputs, order_quantity
 from shelfwise.operators.stats import item_stats, unit_price
 from shelfwise.plans import params as P
 from shelfwise.session import cut_lineage
@@ -112,7 +112,7 @@ class Inputs:
 
     @cached_property
     def dish_daily(self) -> DataFrame:
-        return stock.dish_rollup(self.dense, self.dish_item)
+        return stock.dish_rollup(self.dense)  # the series carries its dish
 
     @cached_property
     def dish_forecast(self) -> DataFrame:
@@ -138,3 +138,63 @@ class Inputs:
 
     def backtest(self, adaptive: bool = True) -> DataFrame:
         return stock.policy_backtest(self.backtest_plan(), adaptive=adaptive)
+
+
+class SiteInputs:
+    """The same frames per site: every key is (site, item) or (site, dish)."""
+    SITE, ITEM, DISH = ("site",), ("site", "item"), ("site", "dish")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Sales, deliveries and demand per (date, site, item) from one pass over the lines, materialised once."""
+        return cut_lineage(tables.site_daily(self.spark, self.sf_dir))
+
+    @cached_property
+    def dish_item(self) -> DataFrame:
+        return tables.dish_item(self.daily, self.SITE)
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return cal.densify(self.daily, self.ITEM, ("qty",), attrs=("dish", "channel"))
+
+    @cached_property
+    def dish_forecast(self) -> DataFrame:
+        return same_weekday_forecast(stock.dish_rollup(self.dense, site=self.SITE), keys=self.DISH, out="forecast")
+
+    @cached_property
+    def buffers(self) -> DataFrame:
+        return buffers_share(self.dish_item, item_stats(self.dense, keys=self.ITEM), P.OVERRIDE_A, P.OVERRIDE_B,
+                             P.SITE_BUFFER_HIGH, P.SITE_BUFFER_MID, site=self.SITE)
+
+    @cached_property
+    def price(self) -> DataFrame:
+        return unit_price(self.daily, self.dish_item, site=self.SITE)
+
+    def _flow(self, column: str) -> DataFrame:
+        return self.daily.where(F.col(column).isNotNull()).select("date", *self.DISH, F.col(column).alias("qty"))
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """The recorded stock ledger of every site's dishes."""
+        return stock.stock_ledger(self._flow("delivered"), self._flow("demand"), key=self.DISH)
+
+    @cached_property
+    def stock(self) -> DataFrame:
+        """Lots left when the as-of date opens."""
+        before = F.col("date") < F.lit(P.AS_OF).cast("date")
+        led = stock.stock_ledger(self._flow("delivered").where(before), self._flow("demand").where(before), key=self.DISH, with_left=True)
+        return stock.lots_left(led, P.AS_OF, self.DISH)
+
+    def orders(self) -> DataFrame:
+        """Order quantities of the as-of date: the site's forecast, buffers and stock."""
+        f = self.dish_forecast.where(F.col("date") == F.lit(P.AS_OF).cast("date")).select(*self.DISH, "date", "forecast")
+        usable = stock.usable_stock(self.stock, P.AS_OF, self.DISH)
+        return order_quantity(order_inputs(f, self.buffers, usable, keys=self.DISH, stock_key=self.DISH))
+
+    def backtest(self, year: int = P.TEST_YEAR) -> DataFrame:
+        f = self.dish_forecast.where(F.year("date") == year).join(self.buffers, list(self.DISH), "left")
+        return stock.policy_backtest(f.select(*self.DISH, "date", "forecast", F.col("qty").alias("actual"), "buffer"), key=self.DISH)

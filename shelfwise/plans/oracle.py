@@ -169,7 +169,7 @@ def _buffer_sql(base: str, ratio: str, orders: str) -> str:
     return f"CASE WHEN {orders} > 0 THEN {inner} ELSE {base} END"
 
 
-def _backtest_cte(name: str, adaptive: bool) -> str:
+def _backtest_cte(name: str, adaptive: bool, plan: str = "bt_plan") -> str:
     """Recursive replay of the dense test year per dish. State: lots by expiry offset
     e0..e3 relative to the last processed day, cumulative orders and waste, ratio."""
     adj = f"(p.forecast * ({_ladder_sql('b.waste_ratio')}))" if adaptive else "p.forecast"
@@ -186,27 +186,27 @@ def _backtest_cte(name: str, adaptive: bool) -> str:
                CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
                CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0::DOUBLE,
                CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
-        FROM (SELECT DISTINCT dish FROM bt_plan)
+        FROM (SELECT DISTINCT dish FROM {plan})
         UNION ALL
         SELECT p.dish, p.n, p.date, p.forecast, {adj}, {buf}, CAST({usable} AS BIGINT), {order}, p.actual,
                CAST(p.actual - {short} AS BIGINT), CAST({short} AS BIGINT), CAST(b.e0 AS BIGINT),
                CAST({orders_cum} AS BIGINT), CAST({waste_cum} AS BIGINT), {ratio},
                CAST({rem[0]} AS BIGINT), CAST({rem[1]} AS BIGINT), CAST({rem[2]} AS BIGINT), CAST({rem[3]} AS BIGINT)
-        FROM {name} b JOIN bt_plan p ON p.dish = b.dish AND p.n = b.n + 1)"""
+        FROM {name} b JOIN {plan} p ON p.dish = b.dish AND p.n = b.n + 1)"""
 
 
-def _ledger_cte() -> str:
+def _ledger_cte(name: str = "ledger_rec", flows: str = "flows") -> str:
     """Recursive stock ledger over the global dense day span per item (buckets by age)."""
     rem, short = _fifo(["l.b2", "l.b1", "l.b0", "f.delivered"], "f.demand")
-    return f"""ledger_rec(item, n, date, delivered, demand, sold, short, waste, b0, b1, b2, b3) AS (
+    return f"""{name}(item, n, date, delivered, demand, sold, short, waste, b0, b1, b2, b3) AS (
         SELECT item, CAST(-1 AS BIGINT), CAST(NULL AS DATE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
                CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
                CAST(0 AS BIGINT)
-        FROM (SELECT DISTINCT item FROM flows)
+        FROM (SELECT DISTINCT item FROM {flows})
         UNION ALL
         SELECT f.item, f.n, f.date, f.delivered, f.demand, CAST(f.demand - {short} AS BIGINT), CAST({short} AS BIGINT),
                l.b3, CAST({rem[3]} AS BIGINT), CAST({rem[2]} AS BIGINT), CAST({rem[1]} AS BIGINT), CAST({rem[0]} AS BIGINT)
-        FROM ledger_rec l JOIN flows f ON f.item = l.item AND f.n = l.n + 1)"""
+        FROM {name} l JOIN {flows} f ON f.item = l.item AND f.n = l.n + 1)"""
 
 
 CTES["flows"] = ("""
@@ -223,10 +223,54 @@ CTES["lots_left"] = (f"""
     FROM (SELECT item, date, 0 AS age, b3 AS qty FROM ledger_rec UNION ALL SELECT item, date, 1, b2 FROM ledger_rec
           UNION ALL SELECT item, date, 2, b1 FROM ledger_rec UNION ALL SELECT item, date, 3, b0 FROM ledger_rec)
     WHERE date = {AS_OF} - 1 AND qty > 0""", ("ledger_rec",))
+# per site: (site, dish) as one text, split where the result is returned
+CTES["site_lines"] = ("""
+    SELECT CAST(l_shipdate AS DATE) AS date, r_name AS site, p_brand AS dish, concat(p_brand, ' ', l_linestatus) AS item,
+           concat(r_name, '|', p_brand) AS site_dish, concat(r_name, '|', p_brand, ' ', l_linestatus) AS site_item,
+           CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS ord, l_returnflag AS flag, l_quantity AS qty,
+           CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))) AS revenue
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""", ())
+CTES["site_days"] = ("""
+    SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date
+    FROM site_lines""", ("site_lines",))
+CTES["site_dense"] = ("""
+    SELECT d.date, k.site_dish, k.site_item, k.ord, coalesce(s.qty, 0) AS qty
+    FROM (SELECT DISTINCT site_dish, site_item, ord FROM site_lines) k CROSS JOIN site_days d
+    LEFT JOIN (SELECT date, site_item, sum(qty) AS qty FROM site_lines GROUP BY 1, 2) s ON s.date = d.date AND s.site_item = k.site_item""",
+    ("site_lines", "site_days"))
+CTES["site_fc"] = ("""
+    SELECT site_dish, date, qty,
+           coalesce(avg(qty) OVER (PARTITION BY site_dish, dayname(date) ORDER BY date ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0.0) AS forecast
+    FROM (SELECT site_dish, date, CAST(sum(qty) AS BIGINT) AS qty FROM site_dense GROUP BY 1, 2)""", ("site_dense",))
+CTES["site_buffers"] = (f"""
+    SELECT site_dish, CASE WHEN split_part(site_dish, '|', 2) IN {_in(P.OVERRIDE_A)} THEN 0.3::DOUBLE
+        WHEN split_part(site_dish, '|', 2) IN {_in(P.OVERRIDE_B)} THEN 1.5::DOUBLE
+        WHEN m > {P.SITE_BUFFER_HIGH}::DOUBLE THEN CAST(ceil(m * 0.3::DOUBLE) AS DOUBLE)
+        WHEN m > {P.SITE_BUFFER_MID}::DOUBLE THEN CAST(ceil(m * 0.25::DOUBLE) AS DOUBLE)
+        ELSE CAST(ceil(m * 0.2::DOUBLE) AS DOUBLE) END AS buffer
+    FROM (SELECT site_dish, arg_min(m, ord) AS m FROM (SELECT site_dish, site_item, ord, avg(qty) AS m FROM site_dense GROUP BY 1, 2, 3) GROUP BY 1)""",
+    ("site_dense",))
+CTES["site_price"] = ("""
+    SELECT site_dish, coalesce(CAST(sum(rev) FILTER (WHERE q > 0) AS DOUBLE) / CAST(nullif(sum(q) FILTER (WHERE q > 0), 0) AS DOUBLE),
+                               10.0::DOUBLE) AS price
+    FROM (SELECT site_dish, site_item, sum(revenue) AS rev, sum(qty) AS q FROM site_lines GROUP BY 1, 2) GROUP BY 1""", ("site_lines",))
+CTES["site_flows"] = ("""
+    SELECT k.item, CAST(d.date - b.lo AS BIGINT) AS n, d.date, CAST(coalesce(f.delivered, 0) AS BIGINT) AS delivered, CAST(coalesce(f.demand, 0) AS BIGINT) AS demand
+    FROM (SELECT DISTINCT site_dish AS item FROM site_lines WHERE flag IN ('R', 'A')) k
+    CROSS JOIN (SELECT min(date) AS lo, max(date) AS hi FROM site_lines WHERE flag IN ('R', 'A')) b
+    JOIN site_days d ON d.date BETWEEN b.lo AND b.hi
+    LEFT JOIN (SELECT date, site_dish AS item, sum(qty) FILTER (WHERE flag = 'R') AS delivered, sum(qty) FILTER (WHERE flag = 'A') AS demand
+               FROM site_lines GROUP BY 1, 2) f ON f.date = d.date AND f.item = k.item""", ("site_lines", "site_days"))
+CTES["site_plan"] = (f"""
+    SELECT f.site_dish AS dish, f.date, f.forecast, f.qty AS actual, b.buffer, row_number() OVER (PARTITION BY f.site_dish ORDER BY f.date) AS n
+    FROM site_fc f JOIN site_buffers b USING (site_dish) WHERE year(f.date) = {P.TEST_YEAR}""", ("site_fc", "site_buffers"))
 RECURSIVE = {
     "bt_adaptive": (_backtest_cte("bt_adaptive", True), ("bt_plan",)),
     "bt_standard": (_backtest_cte("bt_standard", False), ("bt_plan",)),
     "ledger_rec": (_ledger_cte(), ("flows",)),
+    "site_ledger": (_ledger_cte("site_ledger", "site_flows"), ("site_flows",)),
+    "site_bt": (_backtest_cte("site_bt", True, "site_plan"), ("site_plan",)),
 }
 
 
@@ -514,6 +558,21 @@ latest AS (SELECT site, dish, arg_max(action, (ts, seq)) AS action, arg_max(qty,
                   max(ts) AS ordered_at FROM live GROUP BY site, dish)
 SELECT site, dish, qty, ordered_at FROM latest WHERE action <> 'accept' AND qty > 0""")
 
+_add("accepted_lots", (), """
+WITH ev AS (
+  SELECT l_suppkey AS site, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, p_brand AS dish,
+         CASE WHEN l_returnflag = 'R' THEN 'replace' WHEN l_returnflag = 'N' THEN 'add' ELSE 'accept' END AS action,
+         CAST(l_quantity AS BIGINT) AS qty
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+live AS (SELECT *, action = 'replace' AS batch FROM ev WHERE action <> 'add' OR qty > 0),
+o AS (SELECT *, lag(action) OVER own AS was, lag(qty) OVER own AS ordered, lag(ts) OVER own AS since,
+             max(ts) FILTER (WHERE batch) OVER (PARTITION BY site ORDER BY ts, batch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wiped
+      FROM live WINDOW own AS (PARTITION BY site, dish ORDER BY ts, batch, seq))
+SELECT site, dish, CAST(ts AS DATE) AS accepted_at, seq, ordered, CASE WHEN seq % 2 = 1 THEN qty ELSE ordered END AS qty,
+       CAST(ts AS DATE) + 3 AS expiry
+FROM o WHERE action = 'accept' AND was <> 'accept' AND ordered > 0 AND CASE WHEN seq % 2 = 1 THEN qty ELSE ordered END > 0
+  AND (wiped IS NULL OR since > wiped OR (since = wiped AND was = 'replace'))""")
+
 # ---------------------------------------------------------------------- models
 for _name, _flags in (("save_pipeline", ("same_scores",)), ("fit_forest", ("in_range",)), ("fit_boosted", ("finite", "beats_mean")),
                       ("predict", ("blended", "corrected", "not_negative"))):
@@ -599,6 +658,33 @@ SELECT round(CASE WHEN a.revenue > 0 THEN (b.revenue - a.revenue) / a.revenue *
                   ELSE 0.0 END, 6) AS stockout_change_pct
 FROM a, b""")
 
+# ------------------------------------------------------------------- per site
+_SITE = "split_part({0}, '|', 1) AS site, split_part({0}, '|', 2) AS dish"
+_add("site_orders", ("site_fc", "site_buffers", "site_ledger", "site_price"), f"""
+, u AS (SELECT item, b3 * CAST(date >= {AS_OF} AS INT) + b2 * CAST(date + 1 >= {AS_OF} AS INT) + b1 * CAST(date + 2 >= {AS_OF} AS INT)
+               + b0 * CAST(date + 3 >= {AS_OF} AS INT) AS usable
+        FROM site_ledger WHERE date = {AS_OF} - 1)
+SELECT {_SITE.format('f.site_dish')}, f.date, round(f.forecast, 6) AS forecast, b.buffer, CAST(coalesce(u.usable, 0) AS BIGINT) AS usable,
+       CAST(greatest(0, ceil(f.forecast + b.buffer - coalesce(u.usable, 0))) AS BIGINT) AS order_qty, round(p.price, 6) AS price
+FROM site_fc f JOIN site_buffers b USING (site_dish) JOIN site_price p USING (site_dish) LEFT JOIN u ON u.item = f.site_dish
+WHERE f.date = {AS_OF}""")
+_add("site_policy_backtest", ("site_bt",), f"SELECT split_part(dish, '|', 1) AS site, split_part(dish, '|', 2) AS {BACKTEST_OUT} FROM site_bt WHERE n > 0")
+_add("site_waste_ratio", ("site_ledger",), f"""
+SELECT {_SITE.format('item')}, waste, delivered, round(r, 6) AS waste_ratio, round(r * 100, 2) AS waste_pct
+FROM (SELECT item, CAST(sum(waste) AS BIGINT) AS waste, CAST(sum(delivered) AS BIGINT) AS delivered,
+             CASE WHEN sum(delivered) > 0 THEN CAST(sum(waste) AS DOUBLE) / sum(delivered) ELSE 0.0 END AS r
+      FROM site_ledger WHERE n >= 0 GROUP BY item)""")
+_SITE_MONEY = """sum(l.waste * (p.price * 0.25::DOUBLE)) AS w, sum(l.short * p.price) AS s, sum(l.demand * p.price) AS revenue
+      FROM site_ledger l JOIN site_price p ON p.site_dish = l.item WHERE l.n >= 0"""
+_add("site_monthly_losses", ("site_ledger", "site_price"), f"""
+SELECT m.month, round(coalesce(g.w, 0.0), 2) AS waste_money, round(coalesce(g.s, 0.0), 2) AS stockout_money
+FROM (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) m
+LEFT JOIN (SELECT CAST(month(l.date) AS INTEGER) AS month, {_SITE_MONEY} AND year(l.date) = {P.TEST_YEAR} GROUP BY 1) g ON g.month = m.month""")
+_add("site_year_kpis", ("site_ledger", "site_price"), f"""
+SELECT round(revenue, 2) AS revenue, round(revenue * 0.25::DOUBLE, 2) AS cost_of_sales, round(w, 2) AS waste_money, round(s, 2) AS stockout_money,
+       round(w / nullif(revenue, 0) * 100, 6) AS waste_pct_revenue, round(w / nullif(revenue * 0.25::DOUBLE, 0) * 100, 6) AS waste_pct_cost
+FROM (SELECT {_SITE_MONEY})""")
+
 # ------------------------------------------------------------------- streaming
 _add("stream_daily_sales", (), """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS day, user_id, count(*) AS n_events, round(sum(value), 6) AS total_value

@@ -27,5 +27,6 @@ LAG_GROUPS = {1: None, 2: HARD, 3: HARD, 4: LAG45, 5: LAG45}
 STABLE_MAX_AVG, STABLE_MAX_STD = 12.0, 20.0
 RMSE_BUFFER_HIGH = 12.0
 SHARE_BUFFER_HIGH, SHARE_BUFFER_MID = 13.0, 11.5
+SITE_BUFFER_HIGH, SITE_BUFFER_MID = 2.4, 2.1   # item means per site: about a fifth
 HIGH_WASTE = 0.15
 NEAR_EXPIRY_DAYS = 2

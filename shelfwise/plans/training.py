@@ -82,7 +82,7 @@ def learner_orders(i: Inputs, scores: DataFrame, as_of=P.AS_OF) -> DataFrame:
     """Forecast to order with the learners: corrected item forecasts of the day rolled up to dishes (23), buffers from the
     learners' own error (57), usable stock (36), order (27, 59)."""
     day = scores.where(F.col("date") == F.lit(as_of).cast("date"))
-    forecast = sk.dish_rollup(day, i.dish_item, ("pred_adj",)).select("dish", "date", F.col("pred_adj").alias("forecast"))
+    forecast = sk.dish_rollup(day, values=("pred_adj",)).select("dish", "date", F.col("pred_adj").alias("forecast"))
     buffers = po.buffers_rmse(i.dish_item, st.item_stats(i.dense, P.TRAIN_YEAR), learner_accuracy(scores), P.OVERRIDE_A, P.OVERRIDE_B,
                               high=P.RMSE_BUFFER_HIGH)
     usable = sk.usable_stock(i.stock, as_of).withColumnRenamed("item", "dish")

@@ -85,6 +85,27 @@ def stock_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum(F.when(F.col("l_returnflag") == "A", q)).cast("bigint").alias("demand")))
 
 
+def site_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily totals per site and item in one pass over the lines: sales (qty, revenue), deliveries ('R') and demand ('A'),
+    the last two null on days without such lines. The site is the supplier's region."""
+    li = read_parquet(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    pt = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    su = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    na = read_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    re = read_parquet(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("site"))
+    sites = su.join(na, su.s_nationkey == na.n_nationkey).join(re, na.n_regionkey == re.r_regionkey).select("s_suppkey", "site")
+    lp = li.join(pt, li.l_partkey == pt.p_partkey).join(sites, li.l_suppkey == sites.s_suppkey)
+    q = F.col("l_quantity")
+    g = lp.groupBy(F.to_date("l_shipdate").alias("date"), "site", "p_brand", "l_linestatus").agg(
+        F.sum(q).cast("bigint").alias("qty"), units_to_money(F.sum(net_revenue_units())).alias("revenue"),
+        F.sum(F.when(F.col("l_returnflag") == "R", q)).cast("bigint").alias("delivered"),
+        F.sum(F.when(F.col("l_returnflag") == "A", q)).cast("bigint").alias("demand"))
+    return g.select("date", "site", F.concat_ws(" ", "p_brand", "l_linestatus").alias("item"), F.col("p_brand").alias("dish"),
+                    F.when(F.col("l_linestatus") == "O", F.lit("DINE_IN")).otherwise(F.lit("TAKEAWAY")).alias("channel"),
+                    "qty", "revenue", "delivered", "demand")
+
+
 def delivery_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single deliveries (date, item, qty, lot): one lot per line, told apart by the line's number."""
     li = read_parquet(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select(
@@ -118,7 +139,7 @@ def item_type(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
-def dish_item(sales_df: DataFrame) -> DataFrame:
-    """Dish -> item dimension; the dine-in item is the dish's representative (ord 1)."""
-    return (sales_df.select("dish", "item", "channel").distinct()
+def dish_item(sales_df: DataFrame, site: Sequence[str] = ()) -> DataFrame:
+    """Dish -> item dimension (of each site); the dine-in item is the dish's representative (ord 1)."""
+    return (sales_df.select(*site, "dish", "item", "channel").distinct()
             .withColumn("ord", F.when(F.col("channel") == "DINE_IN", 1).otherwise(2)))

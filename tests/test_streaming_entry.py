@@ -112,18 +112,19 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() == 25
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(QUERIES) == 70 and set(QUERIES) <= set(E.queries())
+    assert len(QUERIES) == 76 and set(QUERIES) <= set(E.queries())
 
 
 FAST = ["densify", "calendar_features", "lags", "trend", "sales_ratio_dow", "unit_price", "fifo_allocate",
         "stock_ledger", "policy_backtest", "yoy_weekday_report", "pending_orders", "order_quantity",
-        "waste_adjust_buffer", "year_kpis", "pair_qty_revenue", "stream_stock_ledger"]
+        "waste_adjust_buffer", "year_kpis", "pair_qty_revenue", "stream_stock_ledger", "accepted_lots", "site_orders",
+        "site_policy_backtest", "site_waste_ratio", "site_monthly_losses", "site_year_kpis", "assemble_features", "dish_rollup"]
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events"):
+    for t in ("lineitem", "part", "orders", "events", "supplier", "nation", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con
 
