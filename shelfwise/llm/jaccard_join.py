@@ -348,7 +348,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
                           .select("rep", "n", "d1", "d2", "least_id", "any_key"), "ids")
 
     # star round: every group against one centre of each list, every member against one of its group
-    groups = members.groupBy("gkey", "n").agg(F.min("rep").alias("centre"), *maps)
+    # a table of its own, so that nothing but the exchange is under its joins and the adaptive skew join can split a hot centre
+    groups = materialise(members.groupBy("gkey", "n").agg(F.min("rep").alias("centre"), *maps), "groups")
     centre = (lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("gkey").alias("h"), "gkey", "n")).alias("c"),
                                          F.count(F.lit(1)).alias("k")).where("k > 1")
               .select("token", F.col("c.gkey").alias("g"), F.col("c.n").alias("gn")))
