@@ -31,7 +31,7 @@ LEVELS = 48
 OPEN = -1                # level of an n-gram that is looked up by a join
 HEAD_WORDS = 1 << 19     # bound of the broadcast table of frequent words
 BUCKET_NGRAMS = 1 << 20  # training bytes / 4 of one counting bucket, about
-COUNT_BYTES = 16 << 20   # text counted together in a task
+COUNT_BYTES = 8 << 20    # text counted together in a task
 PAIR_WEIGHT = 0.7
 
 _U = np.uint64
@@ -81,6 +81,7 @@ def _count(buckets: int):
         out = ([], [], [])
         for order, parts in zip((1, 2), tallies):
             keys, n = _tally([p[0] for p in parts], [p[1] for p in parts])
+            parts.clear()
             home = (mix(keys) % _U(buckets)).astype(np.int32)
             at = np.argsort(home, kind="stable")
             keys, n, home = keys[at], n[at], home[at]
