@@ -236,12 +236,16 @@ def stock_ledger(deliveries: DataFrame, demand: DataFrame, shelf_days: int = SHE
     return out if with_left else out.drop("left")
 
 
-def lots_left(ledger: DataFrame, as_of, key: str | Sequence[str] = "item") -> DataFrame:
+def lots_left(ledger: DataFrame, as_of, key: str | Sequence[str] = "item", shelf_days: int = SHELF_DAYS) -> DataFrame:
     """Lots on hand when ``as_of`` opens: what the ledger (``with_left``) has left at the close of
-    the day before, as ``(item, expiry, qty)`` with qty > 0. A lot that expired that day is still listed, with an expiry before as_of."""
+    the day before, as ``(item, expiry, qty)`` with qty > 0. A lot that expired that day is still listed, with an expiry before as_of.
+    A ledger without a row for that day (nothing moved since) counts by the key's last row before it."""
     day = F.date_sub(date_lit(as_of), 1)
-    lots = ledger.where(F.col("date") == day).select(*_keys(key), "date", F.posexplode("left").alias("age", "qty"))
-    return lots.where("qty > 0").select(*_keys(key), F.expr("date_add(date, age)").alias("expiry"), "qty")
+    # what an older row has left has expired before that day
+    near = ledger.where(F.col("date").between(F.date_sub(day, shelf_days), day))
+    last = near.groupBy(*_keys(key)).agg(F.max("date").alias("date"), F.max_by("left", "date").alias("left"))
+    lots = last.select(*_keys(key), "date", F.posexplode("left").alias("age", "qty"))
+    return lots.where("qty > 0").select(*_keys(key), F.expr("date_add(date, age)").alias("expiry"), "qty").where(F.col("expiry") >= day)
 
 
 # -------------------------------------------------------------- 66. policy_backtest

@@ -155,3 +155,13 @@ def test_assembled_blocks_share_one_exchange(spark):
     chained = fe.assemble_features([base, lambda s: fe.lags(s, "qty", (1,)), lambda s: fe.trend(s, (7,))])
     assert rows(joined, "item", "date", "qty", "qty_lag1", "trend_7") == rows(chained, "item", "date", "qty", "qty_lag1", "trend_7")
     assert "Join" not in chained._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("span", ["global", "events"])
+def test_lots_left_after_days_without_a_row(spark, span):
+    dl = spark.createDataFrame([(d("2023-01-01"), "x", 3), (d("2023-01-02"), "x", 4), (d("2022-12-20"), "old", 9)], "date date, item string, qty long")
+    dm = spark.createDataFrame([(d("2023-01-02"), "x", 1)], "date date, item string, qty long")
+    led = sk.stock_ledger(dl, dm, span=span, with_left=True)
+    both = [("x", d("2023-01-04"), 2), ("x", d("2023-01-05"), 4)]
+    for as_of, want in (("2023-01-03", both), ("2023-01-05", both), ("2023-01-06", both[1:]), ("2023-01-07", [])):
+        assert rows(sk.lots_left(led, as_of)) == want, as_of
