@@ -52,7 +52,8 @@ def with_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> Da
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None = None, rank: str = "rank",
             upto: str = "upto") -> DataFrame:
     """df plus ``rank`` (long, from 1, within the keys by order) and, with a value column, ``upto``: its sum up to and with
-    the row. The order must be unique within the keys: a tie fails the job, as it has no defined result."""
+    the row. Rows that tie must be equal in every column, so that any order of them is the same result; a tie of rows that
+    differ fails the job, as it has no defined result. The columns must be comparable (no maps)."""
     cut = sliced(df, keys, order)
     total = [F.sum(value).alias("_sum")] if value else []
     per = cut.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"), *total)
@@ -60,8 +61,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     per = per.select(*keys, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
                      *([F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum0")] if value else []))
     w = within(keys)
-    place = F.struct(*order)
-    tie = F.lag(place).over(w) == place
+    place, whole = F.struct(*order), F.struct(*df.columns)
+    tie = (F.lag(place).over(w) == place) & (F.lag(whole).over(w) != whole)
     message = F.concat(F.lit(f"rows of one key tie on {', '.join(order)}: "), F.to_json(F.struct(*keys, *order)))
     number = F.when(F.coalesce(tie, F.lit(False)), F.raise_error(message).cast("bigint")).otherwise(
         F.row_number().over(w).cast("bigint") + F.col("_n0"))

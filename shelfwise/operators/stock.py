@@ -79,7 +79,8 @@ def near_expiry(lots: DataFrame, as_of, horizon: int = 2, key: str | Sequence[st
 # ------------------------------------------------------------- 49. lots_by_expiry
 def lots_by_expiry(lots: DataFrame, key: str = "item", seq: str | Sequence[str] = "lot") -> DataFrame:
     """Consumption order of lots within a key: by expiry, then ``seq``, which must tell lots of one expiry apart (a tie
-    fails). The rank is distributed: counts of the key's earlier slices plus the place in the own slice."""
+    fails, but for lots equal in every column). The rank is distributed: counts of the key's earlier slices plus the place
+    in the own slice."""
     order = ["expiry", *([seq] if isinstance(seq, str) else seq)]
     return slices.running(lots, [key], order, rank="lot_rank").withColumn("lot_rank", F.col("lot_rank").cast("int"))
 

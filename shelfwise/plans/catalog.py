@@ -430,7 +430,8 @@ def table_profile(spark, sf_dir):
 # ------------------------------------------------------------ sort / latest row
 @query
 def lots_by_expiry(spark, sf_dir):
-    return sk.lots_by_expiry(Inputs(spark, sf_dir).lot_lines)
+    # a line's number may repeat: the quantity tells such lots apart, and lots that share it too are interchangeable
+    return sk.lots_by_expiry(Inputs(spark, sf_dir).lot_lines, seq=("lot", "qty"))
 
 
 def order_events(spark, sf_dir) -> DataFrame:

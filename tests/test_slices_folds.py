@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from conftest import d, rows
 from shelfwise.operators import folds, slices
 from shelfwise.operators import stock as sk
+from shelfwise.plans.catalog import QUERIES
 
 
 @pytest.fixture
@@ -60,6 +61,31 @@ def test_lots_by_expiry_needs_a_unique_lot(spark, many_slices):
         sk.lots_by_expiry(lots.withColumn("lot", F.lit(1))).collect()
 
 
+@pytest.fixture
+def repeated_lines(spark, tmp_path):
+    """Lines whose number comes again: in whole copies, with another quantity, and without a number."""
+    day = dt.datetime(2000, 1, 1)
+    lines = [(1, 1, 7.0), (1, 1, 7.0), (1, 1, 7.0), (1, 1, 4.0), (1, 2, 5.0), (None, 1, 2.0), (None, 1, 2.0), (None, 1, 1.0)]
+    made = [(o, 1, 1, n, q, 10.0, 0.0, "R", "F", day) for o, n, q in lines]
+    spark.createDataFrame(made, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_lots_of_repeated_lines_are_ranked(spark, many_slices, repeated_lines):
+    got = QUERIES["lots_by_expiry"](spark, repeated_lines)
+    assert [r[1:] for r in rows(got, "item", "lot_rank", "lot", "qty")] == [
+        (1, None, 1), (2, None, 2), (3, None, 2), (4, 11, 4), (5, 11, 7), (6, 11, 7), (7, 11, 7), (8, 12, 5)]
+
+
+def test_ties_of_rows_that_differ_fail(spark, many_slices):
+    lots = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", 1, 3)], "item string, expiry int, qty long")
+    assert rows(sk.lots_by_expiry(lots.where("qty = 2"), seq=()), "lot_rank", "qty") == [(1, 2), (2, 2)]
+    with pytest.raises(Exception, match="tie"):
+        sk.lots_by_expiry(lots, seq=()).collect()
+
+
 def test_fifo_over_slices_tells_lots_apart(spark, many_slices):
     lots = _hot_lots(spark, 900)
     demand = spark.range(400).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 50)).alias("item"),
