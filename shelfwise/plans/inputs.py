@@ -56,7 +56,8 @@ class Inputs:
 
     @cached_property
     def weather(self) -> DataFrame:
-        return tables.weather(self.spark, self.sf_dir)
+        """A row a day, materialised once: the feature matrix needs it for the day and for the day after."""
+        return cut_lineage(tables.weather(self.spark, self.sf_dir))
 
     @cached_property
     def flows(self) -> DataFrame:

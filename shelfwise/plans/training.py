@@ -21,6 +21,7 @@ from shelfwise.session import scratch_path
 from shelfwise.sources import daily
 
 ROWS_A_PARTITION = 2_500  # of the training rows: a layout that depends on the data, not on the cluster
+SERIES_ROWS = 20_000  # of the sales per task of the feature windows; a whole item is the least that a task holds
 
 _done: dict[tuple[str, str, str], str] = {}
 _lock = threading.RLock()  # the pipeline is made from the matrix
@@ -35,11 +36,17 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
         return _done[key]
 
 
+def spread(dense: DataFrame, n_sales: int) -> DataFrame:
+    """The dense series dealt by item over a number of tasks that grows with the sales. The adaptive plan merges small shuffle
+    parts up to 64 MB, which the sorts of the feature windows multiply in the task's memory; a given number stays."""
+    return dense.repartition(max(64, -(-n_sales // SERIES_ROWS)), "item")
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete rows of the feature matrix, every year, stored by year."""
     def make() -> str:
         i = Inputs(spark, sf_dir)
-        m = fc.complete_rows(fc.feature_matrix(i.dense, i.weather, i.holidays, P.TRAIN_YEAR, P.LAG_GROUPS, item_type=i.item_type,
+        m = fc.complete_rows(fc.feature_matrix(spread(i.dense, i.sales.count()), i.weather, i.holidays, P.TRAIN_YEAR, P.LAG_GROUPS, item_type=i.item_type,
                                                high_demand=P.HIGH_DEMAND, watched=P.WATCHED))
         path = scratch_path(spark, "matrix")
         m.select("date", "item", "dish", "qty", "year", *fc.FEATURE_COLUMNS).write.partitionBy("year").parquet(path)
