@@ -209,6 +209,19 @@ def predict(models: Sequence, df: DataFrame, keep: Sequence[str] = ("date", "ite
     return out.select(*keep, *[c for c in SCORES if c in out.columns])
 
 
+def same_scores(a, b, df: DataFrame, keep: Sequence[str] = ("date", "item", "qty")) -> DataFrame:
+    """The kept columns, the scores of ``a`` and whether those of ``b`` are equal. Each row is scored by both in one pass
+    over df: two scored tables are never joined."""
+    own = {c: f"_a_{c}" for c in SCORES}
+    first = predict([a], df, df.columns).withColumnsRenamed(own)
+    names = [n for n in own.values() if n in first.columns]
+    both = predict([b], first, [*keep, *names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(n[3:]))
+    return both.select(*keep, *[F.col(n).alias(n[3:]) for n in names], same.alias("same_scores"))
+
+
 # ----------------------------------------------------------------------- 55. blend
 def blend(df: DataFrame, override_items: Sequence[str], rf: str = "rf_pred", gbt: str = "gbt_pred",
           weights: tuple[float, float] = BLEND_WEIGHTS, item_col: str = "item", out: str = "pred") -> DataFrame:

@@ -86,13 +86,8 @@ def save_pipeline(spark, sf_dir):
     loaded = daily.load_pipeline(path)
     # fitted earlier in this application: a second save and load stands in for the model in memory
     memory = fitted[0] if fitted else daily.load_pipeline(daily.save_pipeline(loaded, scratch_path(spark, "pipeline")))
-    rows = tr.matrix(spark, sf_dir)
-    a = fc.predict([loaded], rows)
-    b = fc.predict([memory], rows).select("date", "item", *[F.col(c).alias(f"m_{c}") for c in fc.SCORES])
-    same = F.lit(True)
-    for c in fc.SCORES:
-        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
-    return a.join(b, ["date", "item"]).select("date", "item", "qty", same.alias("same_scores"))
+    rows = tr.matrix(spark, sf_dir).dropna(subset=["date", "item"])
+    return fc.same_scores(loaded, memory, rows).select("date", "item", "qty", "same_scores")
 
 
 # -------------------------------------------------------------------- reshape

@@ -8,11 +8,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF001, rows
 from shelfwise.operators import forecast as fc
 from shelfwise.operators import stats as st
 from shelfwise.operators.pipeline import Standardizer
-from shelfwise.sources import daily
+from shelfwise.plans import training as tr
+from shelfwise.plans.inputs import Inputs
+from shelfwise.sources import daily, tables
 
 START, DAYS, YEAR = dt.date(2021, 12, 1), 500, 2022
 ITEMS = {"A1": ("A", "Main", 10), "B1": ("B", "Side", 30), "C1": ("C", "Starter", 5)}
@@ -105,3 +107,29 @@ def test_standardizer_stage(spark, tmp_path):
     again = type(model).load(path)
     assert rows(again.transform(df), "a_z", "b_z") == want
     assert "Join" not in again.transform(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_models_score_in_one_pass(spark, matrix, tmp_path):
+    fc.complete_rows(matrix).where(F.year("date") == YEAR).write.parquet(f"{tmp_path}/rows")
+    train = spark.read.parquet(f"{tmp_path}/rows")
+    model, other = (daily.load_pipeline(daily.save_pipeline(fc.fit_all(train, ["C1"], forest={"numTrees": n}, boosted={"maxIter": 1}), f"{tmp_path}/{n}"))
+                    for n in (1, 2))
+    same = fc.same_scores(model, daily.load_pipeline(f"{tmp_path}/1"), train)
+    assert rows(same, "date", "item", *fc.SCORES) == rows(fc.predict([model], train), "date", "item", *fc.SCORES)
+    assert same.where("not same_scores").count() == 0 and fc.same_scores(model, other, train).where("not same_scores").count() > 0
+    plan = same._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Relation ") == 3  # those with the bias factors; the rows are read once
+
+
+def test_series_are_dealt_over_tasks(spark, matrix):
+    dealt = tr.spread(matrix.select("date", "item", "qty"), 1_500).withColumn("task", F.spark_partition_id())
+    assert dealt.select("task").distinct().count() == len(ITEMS) and dealt.select("item", "task").distinct().count() == len(ITEMS)
+    assert tr.spread(matrix.select("item"), 5_000_000).rdd.getNumPartitions() == 250  # more sales, more tasks
+
+
+def test_orders_are_read_once_for_the_weather(spark):
+    i = Inputs(spark, SF001)
+    plan = i.weather.unionByName(i.weather)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
+    want = tables.weather(spark, SF001)
+    assert i.weather.exceptAll(want).count() == want.exceptAll(i.weather).count() == 0
